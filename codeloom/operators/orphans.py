@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from codeloom.functions.keys import key_form
 from codeloom.operators.skew import salted_join
 
-_FIRST = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
-_LAST = F.to_timestamp(F.lit("9999-12-31 00:00:00"))
+
+def _first() -> Column:
+    """Before every time that occurs."""
+    return F.expr("timestamp'0001-01-01 00:00:00'")
+
+
+def _last() -> Column:
+    """The end of what is still live."""
+    return F.expr("timestamp'9999-12-31 00:00:00'")
 
 
 def references(edges: DataFrame, routes: DataFrame, call_edges: DataFrame) -> DataFrame:
@@ -25,14 +32,14 @@ def references(edges: DataFrame, routes: DataFrame, call_edges: DataFrame) -> Da
         .unionByName(part(routes, "routes", "route_ord", "id", "handler_chunk_id"))
         .unionByName(part(call_edges, "call_edges", "call_ord", "name", "callee"))
         .withColumn("period", F.date_format("seen_at", "yyyy-MM"))
-        .withColumn("at", F.coalesce("seen_at", _FIRST))
+        .withColumn("at", F.coalesce("seen_at", _first()))
     )
 
 
 def _merged(intervals: Column) -> Column:
     """Sorted, disjoint form of an array of (s, e) intervals."""
     joined = F.aggregate(
-        F.slice(F.array_sort(intervals), 2, 2147483647),
+        F.slice(F.array_sort(intervals), 2, F.size(intervals)),
         F.slice(F.array_sort(intervals), 1, 1),
         lambda acc, x: F.when(
             x["s"] <= F.element_at(acc, -1)["e"],
@@ -57,11 +64,11 @@ def live_intervals(chunks: DataFrame, external_symbols: DataFrame) -> DataFrame:
             F.struct(F.lit("id").alias("kind"), key_form("id").alias("key")),
             F.struct(F.lit("name").alias("kind"), key_form("name").alias("key")),
         )).alias("k"),
-        F.col("indexed_at").alias("s"), F.coalesce("removed_at", _LAST).alias("e"),
+        F.col("indexed_at").alias("s"), F.coalesce("removed_at", _last()).alias("e"),
     ).where("k.key is not null and s < e").select("k.kind", "k.key", F.struct("s", "e").alias("iv"))
     by_month = versions.groupBy("kind", "key", F.trunc(F.col("iv.s").cast("date"), "month").alias("m")).agg(_merged(F.collect_set("iv")).alias("iv"))
     merged = by_month.groupBy("kind", "key").agg(_merged(F.flatten(F.collect_list("iv"))).alias("iv")).select("kind", "key", F.inline("iv"))
-    external = external_symbols.select(F.lit("name").alias("kind"), key_form("symbol").alias("key"), _FIRST.alias("s"), _LAST.alias("e")).where("key is not null").distinct()
+    external = external_symbols.select(F.lit("name").alias("kind"), key_form("symbol").alias("key"), _first().alias("s"), _last().alias("e")).where("key is not null").distinct()
     return merged.unionByName(external)
 
 
