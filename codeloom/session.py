@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,29 @@ def make_session(app: str = "codeloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-    if sc.getCheckpointDir() is None:
+        shared = "file://" + tempfile.mkdtemp(prefix="codeloom-shared-")
         sc.setCheckpointDir(shared)
     return shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later reads survive lost executors and get column pruning. The table is removed when the
+    driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/codeloom/{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
