@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import sql_key_form as key
-from codeloom.llm import encode, splitter, termfreq, tfidf
+from codeloom.llm import encode, functions_docs, splitter, termfreq, tfidf
 from codeloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_documented_functions(spark, d).select("chunk_id", "func_name").distinct()
+
+
+def p1_documented_functions(spark: SparkSession, d: str) -> DataFrame:
+    return functions_docs.documented_functions(table(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitter.split_chunks(table(spark, d, "chunks")).where("piece_no = 0").select("chunk_id").distinct()
 
@@ -67,7 +75,7 @@ n as (select count(distinct chunk_id) n_records from counting),
 freq as (select term, cast(sum(tf) as bigint) total_tf, count(*) df from counting group by term)"""
 _MARK = "case when df <= 2 then 'rare' when df * 100 > n_records * 10 then 'common' end"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p7_found, p7_term_scores, p8_ids, p8_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p7_found, p7_term_scores, p8_ids, p8_decoded)}
 
 SQL = {
     "p2_found": "select distinct id chunk_id from chunks where removed_at is null and length(code_snippet) > 3000",
