@@ -225,7 +225,7 @@ _LICENCE = re.compile(
     r"spdx-|copyright|\(c\)\s|©\s*\d|all rights reserved|\blicen[cs]ed?\b.*\b(?:under|see|file|terms|upstream|mit|bsd|apache|gpl)|^@?licen[cs]e\b|released under the|permission to use|permission is hereby|provided that (?:this|the) (?:notice|above)|this notice is kept|without warranty|redistribut\w+ .*permitted|©.*\b(?:19|20)\d\d", re.I
 )
 _ORIGIN = re.compile(
-    r"auto[\s_-]*generated|machine[\s-]*(?:made|generated)|\bgenerated (?:by|from|code|file|with|using|automatically)|^@generated\b|automatically (?:created|generated)|do not (?:edit|modify|change)|don't edit|changes will be lost|(?:imported|copied|vendored|taken) from (?:upstream|\S+ v?\d)"
+    r"auto[\s_-]*generated|machine[\s-]*(?:made|generated)|\bgenerated (?:by|from|with|using|automatically)|^@generated\b|automatically (?:created|generated)|do not (?:edit|modify|change)|don't edit|changes will be lost|(?:imported|copied|vendored|taken) from (?:upstream|\S+ v?\d)"
     r"|(?:bundled|vendored) (?:copy|version) of|^@?[\w.-]+ (?:- )?(?:version |v)?\d+\.\d+(?:\.\d+)?\b.{0,60}$|自动生成|自動生成|automatisch (?:erzeugt|erstellt|generiert)|nicht (?:ändern|bearbeiten)|ne pas modifier|(?:produit|généré) (?:par|automatiquement)|generado (?:por|automáticamente)|no (?:editar|modificar)|não (?:editar|modificar)|сгенерирован", re.I
 )
 _DISABLED = re.compile(r"^(?:(?:export|default|async|public|private|protected|static|final)\s+)*(?:def|function|func|fn)\s+\w+\s*\(")

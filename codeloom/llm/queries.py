@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import sql_key_form as key
-from codeloom.llm import encode, functions_docs, splitter, termfreq, tfidf
+from codeloom.llm import encode, functions_docs, genfiles, splitter, termfreq, tfidf
 from codeloom.sources.tables import table
 
 
@@ -47,6 +47,14 @@ def p5_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _frequencies(spark, d).join(published, "term", "full")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_not_hand_written(spark, d).select("file_path")
+
+
+def p6_not_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    return genfiles.not_hand_written(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_terms(tfidf.term_scores(table(spark, d, "postings")))
 
@@ -75,7 +83,7 @@ n as (select count(distinct chunk_id) n_records from counting),
 freq as (select term, cast(sum(tf) as bigint) total_tf, count(*) df from counting group by term)"""
 _MARK = "case when df <= 2 then 'rare' when df * 100 > n_records * 10 then 'common' end"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p7_found, p7_term_scores, p8_ids, p8_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p7_found, p7_term_scores, p8_ids, p8_decoded)}
 
 SQL = {
     "p2_found": "select distinct id chunk_id from chunks where removed_at is null and length(code_snippet) > 3000",
