@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import sql_key_form as key
-from codeloom.llm import encode, functions_docs, genfiles, packing, splitter, termfreq, tfidf
+from codeloom.llm import encode, functions_docs, genfiles, mojibake, packing, splitter, termfreq, tfidf
 from codeloom.sources.tables import table
 
 
@@ -81,6 +81,14 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents"))
+
+
 _COUNTING = f"""counting as (
   select term, chunk_id, tf from (
     select *, row_number() over (partition by term, chunk_id order by indexed_at desc nulls last, tf desc nulls last) r
@@ -91,7 +99,7 @@ n as (select count(distinct chunk_id) n_records from counting),
 freq as (select term, cast(sum(tf) as bigint) total_tf, count(*) df from counting group by term)"""
 _MARK = "case when df <= 2 then 'rare' when df * 100 > n_records * 10 then 'common' end"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "select distinct id chunk_id from chunks where removed_at is null and length(code_snippet) > 3000",
