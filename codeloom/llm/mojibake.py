@@ -9,6 +9,7 @@ of a lattice that is searched with Viterbi.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 import zlib
@@ -355,6 +356,8 @@ def _fill(source: Source, line: str) -> str:
     """The line with lost single characters filled in, where a known word fits."""
     def fill(m: re.Match[str]) -> str:
         word = m.group()
+        if (held := source.cache.get((word,))) is not None:
+            return held
         beam: list[tuple[float, str]] = [(0.0, "")]
         for i, c in enumerate(word):
             nxt = word[i + 1] if i + 1 < len(word) else ""
@@ -365,9 +368,10 @@ def _fill(source: Source, line: str) -> str:
                     if c == LOST and nxt and nxt != LOST:
                         s += 0.5 * source.pair(o, nxt)
                     grown.append((s, text + o))
-            beam = sorted(grown, reverse=True)[:150]
+            beam = heapq.nlargest(64, grown)
         best = max(beam, key=lambda b: (float(source.words[_word_slot(b[1])]), b[0]))
-        return best[1] if float(source.words[_word_slot(best[1])]) > 0 else word
+        out = source.cache[(word,)] = best[1] if float(source.words[_word_slot(best[1])]) > 0 else word
+        return out
 
     return _HOLED.sub(fill, line)
 
