@@ -130,12 +130,12 @@ def blend(a: Column, b: Column, alpha: float = 0.5) -> Column:
 
 def type_tokens(text: Column) -> Column:
     """Capitalised identifiers in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Z][A-Za-z0-9_]*)"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)"), 1), F.lower))
 
 
 def single_type(text: Column) -> Column:
     """The only capitalised identifier of a type, null if there are several."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Z][A-Za-z0-9_]*)"), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)"), 1))
     return F.when(F.size(found) == 1, found[0])
 
 
