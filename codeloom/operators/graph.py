@@ -66,10 +66,10 @@ def symbol_centrality(edges: DataFrame, iterations: int = 100, tolerance: float
     for i in range(1, iterations + 1):
         lost = rank.where("not sends").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost")).withColumn("_one", F.lit(1))  # one row
         sent = links.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("sent"))
-        rank = nodes.join(sent, "node", "left").withColumn("_one", F.lit(1)).join(F.broadcast(lost), "_one").select(
-            "node", "sends", ((1 - DAMPING) / max(1, n) + DAMPING * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("score"))
-        if i % 5 == 0 or i == iterations:
-            rank = cut_lineage(rank)
+        # a round is read twice by the next one, so each is written
+        rank = cut_lineage(nodes.join(sent, "node", "left").withColumn("_one", F.lit(1)).join(F.broadcast(lost), "_one").select(
+            "node", "sends", ((1 - DAMPING) / max(1, n) + DAMPING * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("score")))
+        if tolerance and i % 5 == 0:
             moved = rank.join(before.select("node", F.col("score").alias("old")), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
             if moved is not None and moved < tolerance:
                 break

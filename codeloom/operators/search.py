@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
@@ -63,18 +68,48 @@ def _spread(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
 
 
+def _score_block(min_score: float, schema: pa.Schema):
+    def matrix(table: pa.Table, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose vector has ``size`` values, and their unit vectors."""
+        vectors = table.column(column).combine_chunks()
+        rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False).to_numpy(zero_copy_only=False))
+        values = pc.list_flatten(vectors.take(pa.array(rows))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), size)
+        norms = np.linalg.norm(values, axis=1, keepdims=True)
+        return rows, np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        sizes = [n for n in pc.unique(pc.list_value_length(right.column("qvec").combine_chunks())).to_pylist() if n]
+        for size in sizes:
+            q_rows, q = matrix(right, "qvec", size)
+            v_rows, v = matrix(left, "vec", size)
+            for at in range(0, len(v_rows), 4096):
+                scores = np.round(v[at : at + 4096] @ q.T, 9)
+                i, j = np.nonzero(scores > min_score)
+                vi = pa.array(v_rows[at : at + 4096][i])
+                out.append(pa.Table.from_arrays([right.column("query_id").take(pa.array(q_rows[j])), left.column("vec_id").take(vi), left.column("chunk_id").take(vi), pa.chunked_array([scores[i, j]])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return score
+
+
+#: Queries that meet vectors at once, and vectors that meet them in one task.
+BLOCK_QUERIES, BLOCK_VECTORS = 1024, 20_000
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, min_score: float) -> DataFrame:
-    """query_id, vec_id, chunk_id, score above ``min_score`` of a stated set of query vectors against all vectors.
+    """query_id, vec_id, chunk_id, cosine above ``min_score`` of a stated set of query vectors against all vectors.
 
-    queries: query_id, qvec; vectors: vec_id, chunk_id, vec. Both are normalised once; queries are
-    grouped into BLOCKS blocks, each of which meets all vectors in SALTS tasks, and only scores
-    above the limit are kept.
+    queries: query_id, qvec; vectors: vec_id, chunk_id, vec. Blocks of queries meet blocks of
+    vectors, both of bounded size, as matrices; only scores above the limit (rounded to 9 places)
+    leave the task. Vectors of another length than the query's, and null ones, are left out.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    blocks = _blocks(queries.select("query_id", unit(F.col("qvec")).alias("q")), "query_id", "q")
-    scored = _spread(vectors.withColumn("v", unit(F.col("vec")))).join(blocks, ["block", "salt"]).select("vec_id", "chunk_id", F.explode(F.transform("qs", lambda q: F.struct(
-        q["query_id"].alias("query_id"), F.round(F.aggregate(F.zip_with(q["q"], F.col("v"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9).alias("score")))).alias("s"))
-    return scored.select("s.query_id", "vec_id", "chunk_id", "s.score").where(F.col("score") > min_score)
+    blocks, salts = -(-max(1, queries.count()) // BLOCK_QUERIES), max(8, -(-vectors.count() // BLOCK_VECTORS))
+    left = vectors.select("vec_id", "chunk_id", "vec").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.select("query_id", "qvec").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    kind = lambda df, c: df.schema[c].dataType
+    schema = StructType([StructField("query_id", kind(queries, "query_id")), StructField("vec_id", kind(vectors, "vec_id")), StructField("chunk_id", kind(vectors, "chunk_id")), StructField("score", DoubleType())])
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_score_block(min_score, to_arrow_schema(schema)), schema)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, min_score: float = 0.3, cap: int = VECTOR_CAP) -> DataFrame:
@@ -86,7 +121,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, min_score: float = 0.3
 def sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: int = 4, least: int = 64, min_score: float = 0.3) -> DataFrame:
     """Two phases: the nearest max(over · top, least) by Hamming distance of sign bits, then their exact cosine.
 
-    queries: query_id, qvec; vectors: vec_id, vec. Blocks as in :func:`vector_scores`.
+    queries: query_id, qvec; vectors: vec_id, vec. Blocks of queries meet all vectors,
+    spread over SALTS tasks.
     """
     sketches = vectors.select("vec_id", T.sign_bits(F.col("vec")).alias("bits"))
     blocks = _blocks(queries.select("query_id", T.sign_bits(F.col("qvec")).alias("qbits")), "query_id", "qbits")

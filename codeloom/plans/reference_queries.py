@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
 from codeloom.functions.keys import sql_key_form as key
-from codeloom.operators import embed, graph, index, search, signals, taint
+from codeloom.operators import embed, extract, graph, index, search, signals, taint
+from codeloom.session import shared_folder
 from codeloom.sources.tables import table
+from codeloom.streaming import changes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -302,8 +306,9 @@ def sparse_model(spark, d):
 
 _EXPANDED = f"""nq as (select doc_id query_id, coalesce(text, '') "text" from documents where doc_id % 50 = 0),
 nt as materialized (select distinct query_id, unnest({tokens_sql('"text"')}) term from nq where {nl_sql('"text"')}),
-expanded as materialized (select query_id, assoc term, max(round(weight * 0.35, 6)) weight from nt join model using (term) where round(weight * 0.35, 6) >= 0.05
-  and not exists (select 1 from nt x where x.query_id = nt.query_id and x.term = assoc) group by all qualify row_number() over (partition by query_id order by max(round(weight * 0.35, 6)) desc, assoc) <= 12)"""
+added as (select query_id, assoc term, max(round(weight * 0.35, 6)) weight from nt join model using (term) where round(weight * 0.35, 6) >= 0.05
+  and not exists (select 1 from nt x where x.query_id = nt.query_id and x.term = assoc) group by all),
+expanded as materialized (select * from added qualify row_number() over (partition by query_id order by weight desc, term) <= 12)"""
 
 
 @query(f"with {_MODEL}, {_EXPANDED} select * from expanded")
@@ -383,12 +388,12 @@ p{i} as materialized (select nodes.node, sends, 0.15 / n + 0.85 * (coalesce(sent
 links as materialized (select src, dst, w / sum(w) over (partition by src) w from w),
 nodes as materialized (select node, max(s)::int = 1 sends from (select src node, 1 s from links union all select dst, 0 from links) group by all),
 n as materialized (select count(*)::double n from nodes), p0 as materialized (select node, sends, 1 / n score from nodes, n){steps}
-select node chunk_id, round(score, 6) score from p{rounds}"""
+select node chunk_id, floor(score * 1e8 + 0.5) / 1e8 score from p{rounds}"""
 
 
 @query(_centrality_sql(40))
 def graph_centrality(spark, d):
-    return graph.symbol_centrality(edges(spark, d), 40, 0.0).select("chunk_id", F.round("score", 6).alias("score"))
+    return graph.symbol_centrality(edges(spark, d), 40, 0.0).select("chunk_id", "score")
 
 
 @query(f"with {NAMED}, {CALLS} select distinct callee, chunk_id from calls where callee in (select name_lower from named)")
@@ -577,7 +582,7 @@ def git_file_stats(spark, d):
     return signals.file_stats(_commits(spark, d))
 
 
-@query(f"with {_COMMITS}, few as (select commit_id from c group by all having count(*) between 2 and 50) select a.file, b.file partner, count(*) n from c a join c b using (commit_id) join few using (commit_id) where a.file <> b.file group by all qualify row_number() over (partition by a.file order by count(*) desc, b.file) <= 8")
+@query(f"with {_COMMITS}, few as (select commit_id from c group by all having count(*) between 2 and 50), together as (select a.file, b.file partner, count(*) n from c a join c b using (commit_id) join few using (commit_id) where a.file <> b.file group by all) select * from together qualify row_number() over (partition by file order by n desc, partner) <= 8")
 def git_co_change(spark, d):
     return signals.co_change(_commits(spark, d))
 
@@ -608,3 +613,49 @@ def upkeep_missing_vectors(spark, d):
 @query(f"with {NAMED} select id, file_path from named where name_lower is not null and end_line - start_line >= 3 and not regexp_matches(file_path, '{TEST}') and not regexp_matches(file_path, '{EXAMPLE}') order by file_path, id limit 500")
 def upkeep_core_chunks(spark, d):
     return index.core_chunks(current(spark, d)).select("id", "file_path")
+
+
+# -- streams, extraction -----------------------------------------------------------------------------------
+
+def _streamed(spark, d, make, mode):
+    sink = f"{shared_folder(spark).rstrip('/')}/codeloom/stream-{uuid.uuid4().hex}"
+    return changes.run_to_table(make(changes.events_stream(spark, d)), mode, f"{sink}/checkpoint", f"{sink}/out")
+
+
+@query("""select date_trunc('hour', ts) at time zone 'UTC' as start, event_type, count(*) n, round(sum(value), 4) total from events group by all""")
+def stream_windows(spark, d):
+    return _streamed(spark, d, changes.windowed_counts, "complete")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) k from g)
+select user_id, min(ts)::timestamp at time zone 'UTC' as start, count(*) n from s group by user_id, k""")
+def stream_sessions(spark, d):
+    return _streamed(spark, d, changes.session_counts, "complete")
+
+
+@query("select distinct event_id, user_id, event_type from events")
+def stream_distinct(spark, d):
+    return _streamed(spark, d, lambda e: changes.without_duplicates(e).select("event_id", "user_id", "event_type"), "append")
+
+
+def _files(spark, d):
+    """Documents that are source files, with a path whose extension is that of their first code line's language."""
+    docs = table(spark, d, "documents").where("kind = 'source_file' and text is not null")
+    ext = F.when(F.col("text").rlike(r"(?m)^\s*(?:async )?def "), "py").when(F.col("text").rlike(r"(?m)^func "), "go").otherwise("ts")
+    return docs.select(F.concat(F.lit("src/file_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("file_path"), F.col("text").alias("content"))
+
+
+@query()
+def extract_chunks(spark, d):
+    return extract.extract_chunks(_files(spark, d))
+
+
+@query()
+def extract_imports(spark, d):
+    return extract.extract_imports(_files(spark, d))
+
+
+@query()
+def extract_routes(spark, d):
+    return extract.extract_routes(_files(spark, d))
