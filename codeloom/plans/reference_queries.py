@@ -11,7 +11,7 @@ from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
 from codeloom.functions.keys import sql_key_form as key
 from codeloom.operators import embed, extract, graph, index, search, signals, taint
-from codeloom.session import shared_folder
+from codeloom.session import cut_lineage, shared_folder
 from codeloom.sources.tables import table
 from codeloom.streaming import changes
 
@@ -231,13 +231,13 @@ lex as materialized (select query_id, chunk_id, round(sum(n * ln((n_docs - df +
 
 @query(f"with {POSTINGS}, {_BM25} select query_id, chunk_id, round(score, 6) score from lex")
 def lex_bm25(spark, d):
-    scores = search.bm25_scores(search.query_tokens(titles(spark, d)), postings(spark, d))
+    scores = search.bm25_scores(search.query_tokens(titles(spark, d)), cut_lineage(postings(spark, d)))
     return scores.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {POSTINGS}, {_BM25} select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) \"rank\" from lex qualify \"rank\" <= 10")
 def lex_top10(spark, d):
-    return search.lexical_search(titles(spark, d), postings(spark, d), 10).select("query_id", "chunk_id", "rank")
+    return search.lexical_search(titles(spark, d), cut_lineage(postings(spark, d)), 10).select("query_id", "chunk_id", "rank")
 
 
 def _vectors(spark, d):
@@ -318,16 +318,17 @@ def sparse_expand(spark, d):
 
 @query()
 def sparse_bm25(spark, d):
-    added = search.expanded_query(questions(spark, d), _model(spark, d)).withColumnRenamed("weight", "n")
-    return search.ranked(search.bm25_scores(added, postings(spark, d)), search.LEXICAL_CAP)
+    added = cut_lineage(search.expanded_query(questions(spark, d), _model(spark, d))).withColumnRenamed("weight", "n")
+    return search.ranked(search.bm25_scores(added, cut_lineage(postings(spark, d))), search.LEXICAL_CAP)
 
 
 @query()
 def search_hybrid(spark, d):
-    chunks, asked, terms = current(spark, d), questions(spark, d), postings(spark, d)
+    chunks = cut_lineage(current(spark, d))
+    asked, terms = questions(spark, d), cut_lineage(index.chunk_terms(chunks))
     vectors = embed.embedded(chunks.select(F.col("id").alias("chunk_id"), T.embedding_payload().alias("text"))).withColumn("vec_id", F.col("chunk_id"))
     qvec = embed.embedded(asked.select("query_id", "text"), key="query_id").withColumnRenamed("vec", "qvec")
-    added = search.expanded_query(asked, _model(spark, d)).withColumnRenamed("weight", "n")
+    added = cut_lineage(search.expanded_query(asked, _model(spark, d))).withColumnRenamed("weight", "n")
     channels = {"lexical": search.lexical_search(asked, terms), "vector": search.vector_search(qvec, vectors), "sparse": search.ranked(search.bm25_scores(added, terms), search.LEXICAL_CAP)}
     return search.fuse(asked, channels, chunks, terms)
 
@@ -335,7 +336,8 @@ def search_hybrid(spark, d):
 @query()
 def search_lexical(spark, d):
     """Flagship: the ten best chunks for each title, fused with boosts, with their place."""
-    chunks, terms = current(spark, d), postings(spark, d)
+    chunks = current(spark, d)
+    terms = cut_lineage(index.chunk_terms(chunks))
     found = search.fuse(titles(spark, d), {"lexical": search.lexical_search(titles(spark, d), terms)}, chunks, terms, top=10)
     return found.join(chunks.select(F.col("id").alias("chunk_id"), "name", "file_path", "start_line"), "chunk_id")
 
@@ -418,7 +420,7 @@ classified as materialized (select name, caller, case when (select count(*) from
 
 
 def _deps(spark, d):
-    return graph.file_graph(edges(spark, d), current(spark, d))
+    return cut_lineage(graph.file_graph(edges(spark, d), current(spark, d)))
 
 
 @query(f"""with {_CLASSIFY} select name, caller, reason, case when reason = 'name only' then 'name_only' else 'high' end confidence, reason in ('sole definition', 'own class', 'receiver type') proven from classified""")
@@ -555,12 +557,12 @@ flows as (select src, dst, s.kind, category, label, line, hops, s1 or s2 sanitiz
 
 @query(f"with recursive {_FLOWS} select *, case when sanitized then 'low' when hops = 0 then 'high' else 'medium' end confidence from flows")
 def taint_flows(spark, d):
-    return taint.flows(taint.scan(current(spark, d)), _call_links(spark, d))
+    return taint.flows(cut_lineage(taint.scan(current(spark, d))), _call_links(spark, d))
 
 
 @query(f"with recursive {_FLOWS} select category, count(*) n_sinks, count(*) filter (where reached) n_reached from (select distinct h.chunk_id, what category, label, line, exists (select 1 from flows f where f.dst = h.chunk_id and f.category = h.what and f.line = h.line) reached from hits h where role = 'sink') group by all")
 def taint_sinks(spark, d):
-    hits = taint.scan(current(spark, d))
+    hits = cut_lineage(taint.scan(current(spark, d)))
     found = taint.tainted_sinks(hits, taint.flows(hits, _call_links(spark, d)))
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_sinks"), F.count(F.when(F.col("reached"), 1)).alias("n_reached"))
 
