@@ -167,7 +167,7 @@ def language_votes(chunks: DataFrame) -> DataFrame:
 
 def replace_files(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
     """``old`` without all rows of the files in ``changed`` (file_path), plus ``new``."""
-    return old.join(changed.select("file_path").distinct(), "file_path", "left_anti").unionByName(new)
+    return old.join(changed.select("file_path").distinct(), "file_path", "left_anti").unionByName(new).select(old.columns)
 
 
 def missing_vectors(expected: DataFrame, cached: DataFrame) -> DataFrame:
