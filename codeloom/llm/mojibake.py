@@ -215,7 +215,7 @@ def _wide_bytes(text: str, codec: str) -> list[int | None] | None:
 def _from_utf8(source: Source, token: str, codec: str) -> str | None:
     """The token if it was UTF-8 read in ``codec``; null if it wasn't."""
     if codec in WIDE:
-        if not _CJK.search(token) and not (codec == "gbk" and len(token) > 1):
+        if not _CJK.search(token):
             return None
         data = _wide_bytes(token, codec)
         if not data or len(data) < 3:
@@ -286,7 +286,7 @@ def _readings(source: Source, token: str) -> dict[tuple[str, str], tuple[str, fl
     own = source.score(token)
     made: dict[str, float] = {}
     beyond = {c for c in token if c > "\x7f"}
-    possible = {c for c in SINGLE if beyond <= _CHARS[c]} | (set(WIDE) if _CJK.search(token) or LOST in token or len(token) > 2 else set())
+    possible = {c for c in SINGLE if beyond <= _CHARS[c]} | (set(WIDE) if _CJK.search(token) else set())
     for channel in _channels():
         read, written = channel
         if read not in possible:

@@ -48,12 +48,18 @@ def _best_fill(gap: int, sizes: Sequence[int]) -> list[int]:
 
 
 def recipes(histogram: dict[int, int], capacity: int, tiers: Sequence[int]) -> list[Recipe]:
+    """The better of the two ways of :func:`_recipes`, by the number of containers."""
+    return min((_recipes(histogram, capacity, tiers, greedy) for greedy in (False, True)), key=lambda r: sum(x.count for x in r))
+
+
+def _recipes(histogram: dict[int, int], capacity: int, tiers: Sequence[int], greedy: bool) -> list[Recipe]:
     """Contents of containers for items of the sizes in ``histogram``.
 
     Sizes are routed to tiers by the upper bounds ``tiers``. Tiers are packed from the longest to
-    the shortest: a container takes the largest size left, then the largest ones of the same tier
-    that fit; what is left of it is filled from the shorter tiers by the subset of sizes with the
-    largest sum. Each content is repeated as often as the counts allow, so there are about as
+    the shortest: a container takes the largest size left of the tier; its gap is filled from this
+    tier and the shorter ones by the subset of sizes with the largest sum, large ones preferred,
+    again and again; with ``greedy`` the largest ones of the tier that fit are taken first, all but
+    the last of which stay. Each content is repeated as often as the counts allow, so there are about as
     many contents as sizes.
     """
     left = {s: c for s, c in histogram.items() if c > 0}
@@ -61,21 +67,22 @@ def recipes(histogram: dict[int, int], capacity: int, tiers: Sequence[int]) -> l
     out: list[Recipe] = []
     for low, high in reversed(list(zip(bounds, bounds[1:]))):
         while tier := sorted((s for s in left if low < s <= high), reverse=True):
-            content: list[int] = []
-            gap, free = capacity, dict(left)
-            for s in tier:
-                while free[s] and s <= gap and (not content or gap - s == 0 or low == 0 or gap - s >= min(free)):
-                    content.append(s)
+            content, gap, free = [tier[0]], capacity - tier[0], dict(left)
+            free[tier[0]] -= 1
+            if greedy:
+                for s in tier:
+                    while free[s] and s <= gap:
+                        free[s] -= 1
+                        content.append(s)
+                        gap -= s
+                if gap and len(content) > 1:
+                    free[content[-1]] += 1
+                    gap += content.pop()
+            while gap and (fill := _best_fill(gap, sorted((s for s, c in free.items() if c and s <= gap), reverse=True))):
+                for s in fill:
                     free[s] -= 1
-                    gap -= s
-            shorter = sorted((s for s, c in free.items() if c and s <= min(gap, low or gap)), reverse=True)
-            if gap and shorter:
-                content += _best_fill(gap, shorter)
-            if low == 0 and len(content) > 1:  # among the shortest: exchange the last one for what fills better
-                last = content.pop()
-                room = capacity - sum(content)
-                used = {s: content.count(s) for s in set(content)}
-                content += _best_fill(room, sorted((s for s, c in left.items() if c > used.get(s, 0) and s <= room), reverse=True)) or [last]
+                content += fill
+                gap -= sum(fill)
             times = min(left[s] // content.count(s) for s in set(content))
             for s in set(content):
                 left[s] -= times * content.count(s)
