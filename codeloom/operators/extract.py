@@ -28,8 +28,9 @@ _CHUNK = pa.schema([
     ("id", pa.string()), ("file_path", pa.string()), ("node_type", pa.string()), ("name", pa.string()), ("docstring", pa.string()), ("code_snippet", pa.string()), ("content_hash", pa.string()),
     ("start_line", pa.int32()), ("end_line", pa.int32()), ("calls", pa.list_(pa.string())), ("params", pa.list_(pa.string())), ("return_type", pa.string()), ("class_context", pa.string()),
     ("decorators", pa.list_(pa.string())), ("extends", pa.list_(pa.string())),
+    ("call_sites", pa.list_(pa.struct([(f, pa.string()) for f in ("name", "recv", "recv_type", "recv_via_call", "recv_resolved_type")]))),
 ])
-CHUNK_DDL = "id string, file_path string, node_type string, name string, docstring string, code_snippet string, content_hash string, start_line int, end_line int, calls array<string>, params array<string>, return_type string, class_context string, decorators array<string>, extends array<string>"
+CHUNK_DDL = "id string, file_path string, node_type string, name string, docstring string, code_snippet string, content_hash string, start_line int, end_line int, calls array<string>, params array<string>, return_type string, class_context string, decorators array<string>, extends array<string>, call_sites array<struct<name:string,recv:string,recv_type:string,recv_via_call:string,recv_resolved_type:string>>"
 
 _DECLARATION = re.compile(
     r"^[ \t]*(?:(?:export|default|public|private|protected|static|final|abstract|async|pub|unsafe|inline|extern|override|open|internal)\s+)*"
@@ -67,12 +68,39 @@ def call_sites(code: str) -> list[tuple[str, str]]:
     return list(found)[:MAX_SITES]
 
 
+_NEW = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?::\s*[\w.<>\[\]]+\s*)?(?::=|=)\s*(?:await\s+)?(?:new\s+|&)?([A-Z]\w*)\s*[({]")
+_TYPED_NAME = re.compile(r"\b([a-z_$][\w$]*)\s*:\s*([A-Z]\w*)\b|\b([A-Z]\w*)(?:<[^<>]*>)?\s+([a-z_]\w*)\s*[=;,)]")
+_FROM_CALL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?::=|=)\s*(?:await\s+)?(?:[\w$]+\.)*([a-z_$][\w$]*)\s*\(")
+
+
+def local_types(code: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Types of local names by construction or annotation, and the calls others come from; names bound differently are dropped."""
+    bound: dict[str, set[str]] = {}
+    for m in _NEW.finditer(code):
+        bound.setdefault(m.group(1), set()).add(m.group(2))
+    for m in _TYPED_NAME.finditer(code):
+        bound.setdefault(m.group(1) or m.group(4), set()).add(m.group(2) or m.group(3))
+    via: dict[str, set[str]] = {}
+    for m in _FROM_CALL.finditer(code):
+        if m.group(2) not in _STOP:
+            via.setdefault(m.group(1), set()).add(m.group(2))
+    one = lambda d: {k: next(iter(v)) for k, v in d.items() if len(v) == 1}
+    types = one(bound)
+    return types, {k: v for k, v in one(via).items() if k not in bound}
+
+
+def typed_call_sites(code: str) -> list[dict[str, str | None]]:
+    """Call sites with the type of their receiver, or the call that it comes from, where that is clear."""
+    types, via = local_types(code)
+    return [{"name": n, "recv": "this" if r == "self" else r, "recv_type": types.get(r), "recv_via_call": via.get(r), "recv_resolved_type": None} for n, r in call_sites(code)]
+
+
 def _row(path: str, lines: list[str], kind: str, name: str | None, doc: str, start: int, end: int, column: int, cls: str, params: list[str], returns: str, decorators: list[str], bases: list[str]) -> tuple:
     code = "\n".join(lines[start:end])
     names = list(dict.fromkeys(n for n, _ in call_sites(code) if n != name))
     return (
         chunk_id(path, start, column), path, kind, name or f"{path.rsplit('/', 1)[-1].split('.')[0]}_{kind}", doc, code[:SNIPPET], hashlib.sha256((doc + code).encode()).hexdigest(),
-        start + 1, end, names, params[:15], returns[:80], cls, decorators[:24], bases[:12],
+        start + 1, end, names, params[:15], returns[:80], cls, decorators[:24], bases[:12], typed_call_sites(code),
     )
 
 

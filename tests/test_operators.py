@@ -203,6 +203,27 @@ def test_extraction(spark):
     assert {(r.file, r.dep) for r in deps.collect()} == {("pkg/a.py", "pkg/util.py"), ("src/b.ts", "src/util.ts")}
 
 
+def test_typed_call_sites():
+    sites = {s["name"]: s for s in extract.typed_call_sites("const r = new Repo();\nr.save(x);\nlet q = build(1);\nq.flush();\nlet z = new A(); z = new B(); z.drop();\nself.mine()")}
+    assert (sites["save"]["recv_type"], sites["flush"]["recv_via_call"], sites["drop"]["recv_type"], sites["mine"]["recv"]) == ("Repo", "build", None, "this")
+
+
+def test_models(spark):
+    from codeloom.operators import models
+
+    pools = spark.createDataFrame([(float(i), 0.5, int(i > 5)) for i in range(20)], "a double, b double, label int")
+    assert models.train_ranker(pools, ["a", "b"])["a"] > 0 and models.train_ranker(pools.where("label = 1"), ["a"]) == {"a": 0.0, "bias": 0.0}
+    chunks = spark.createDataFrame([("h1", "f", "x"), ("h1", "f", "x"), ("h2", "g", "y"), ("h3", "k", "z")], "content_hash string, name string, code_snippet string")
+    cache = spark.createDataFrame([("h1", "known", ["a"]), ("h9", "other", [])], "content_hash string, summary string, concepts array<string>")
+
+    def generator():
+        return lambda text: 1 / 0 if " k " in text else "SUMMARY: does it\nTAGS: t"
+
+    assert {(r.content_hash, r.summary) for r in models.enrich(chunks, cache, generator).collect()} == {("h1", "known"), ("h2", "does it")}
+    q = spark.createDataFrame([(1, "how does the parser recover from errors"), (2, "parse")], "query_id int, text string")
+    assert {r.query_id: len(r.qvec) for r in models.hypothetical_query_vectors(q, lambda: lambda t: "code").collect()} == {1: 64, 2: 64}
+
+
 def test_routes(spark):
     files = spark.createDataFrame([("a.js", "app.get('/users', auth, listUsers)"), ("b.py", "@app.post('/x')\ndef make(): pass"), ("C.java", '@RequestMapping("/api")\nclass C { @GetMapping("/y") public String y() {} }')], "file_path string, content string")
     assert {(r.method, r.path, r.handler_name) for r in extract.extract_routes(files).collect()} == {("GET", "/users", "listUsers"), ("POST", "/x", "make"), ("GET", "/api/y", "y")}
