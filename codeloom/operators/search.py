@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
+from codeloom.session import cut_lineage
 
 #: How many candidates a channel passes on, the constant and weights of rank fusion.
 LEXICAL_CAP, VECTOR_CAP, RRF_K = 2000, 200, 60
@@ -203,7 +204,8 @@ def fuse(queries: DataFrame, channels: dict[str, DataFrame], chunks: DataFrame,
             F.sort_array(F.collect_list(F.when(idf >= F.log(F.greatest(F.col("n_docs"), F.lit(2)) / 2), F.col("term")))).alias("rare"),
             F.sort_array(F.collect_list(F.when((F.length("term") >= 5) | (F.col("df") <= 0.15 * F.col("n_docs")), F.col("term")))).alias("name_tokens"),
         )
-        q = q.join(gates, "query_id", "left").withColumn("path_tokens", F.when(F.col("nl"), F.coalesce("rare", F.array().cast("array<string>"))).otherwise(F.col("tokens"))).withColumn("name_tokens", F.coalesce("name_tokens", F.array().cast("array<string>")))
+        # one row per query, read several times below
+        q = cut_lineage(q.join(gates, "query_id", "left").withColumn("path_tokens", F.when(F.col("nl"), F.coalesce("rare", F.array().cast("array<string>"))).otherwise(F.col("tokens"))).withColumn("name_tokens", F.coalesce("name_tokens", F.array().cast("array<string>"))))
     else:
         q = q.withColumn("path_tokens", F.col("tokens")).withColumn("name_tokens", F.filter("tokens", lambda t: F.length(t) >= 5))
     info = chunks.select(F.col("id").alias("chunk_id"), "name", "node_type", "file_path")
