@@ -128,6 +128,8 @@ def path_features(path: str) -> list[int]:
             found.add("d:#version")
     if len(dirs) > 2:
         found.add(f"r:{dirs[1]}")
+    if path_marks(path):
+        found.add("p:convention")  # rare conventions share what is learnt of the others
     stem, _, suffix = name.partition(".")
     found |= {f"b:{t}" for t in re.split(r"[_-]", stem) if not t.isdigit()} | {f"s:{s}" for s in suffix.split(".")[:-1] if not any(c.isdigit() for c in s)}
     if m := _PATH_NAME.search(name):

@@ -63,7 +63,7 @@ def pieces(text: str, limit: int = 3000, low_overlap: int = 200, high_overlap: i
     if n <= limit:
         return [(0, n, 0)]
     strength = boundaries(text)
-    ends, backs = StrongestCut(strength, limit - least + 1), StrongestCut(strength, high_overlap - low_overlap + 1)
+    ends, early, backs = (StrongestCut(strength, w) for w in (limit - least + 1, max(1, least - high_overlap - 1), high_overlap - low_overlap + 1))
     out, start, end = [], 0, 0
     while True:
         overlap = end - start if out else 0
@@ -71,6 +71,9 @@ def pieces(text: str, limit: int = 3000, low_overlap: int = 200, high_overlap: i
             out.append((start, n, overlap))
             return out
         end = ends.at(start + least, start + limit)
+        if strength[end] < LINE and least > high_overlap + 1:  # no line ends in the second half: one in the first is better
+            first = early.at(start + high_overlap + 1, start + least - 1)
+            end = first if strength[first] >= LINE else end
         out.append((start, end, overlap))
         start = backs.at(end - high_overlap, end - low_overlap)
 
@@ -90,7 +93,8 @@ def _lines(text: str, start_line: int | None, end_line: int | None) -> tuple[np.
 def split_chunks(chunks: DataFrame, limit: int = 3000, low_overlap: int = 200, high_overlap: int = 300) -> DataFrame:
     """Pieces of the current versions (removed_at null) of more than ``limit`` characters: _DDL.
 
-    Pieces are cut at the strongest boundary in the second half of what the limit permits.
+    Pieces are cut at the strongest boundary in the second half of what the limit permits; if no
+    line ends there, at the strongest line end of the first half, if there is one.
     start_line and end_line are the lines a piece covers, counted from the start_line of the
     chunk; where that is null, back from its end_line; where both are, from 1; swapped ones are
     put right. Line ends may be mixed. Rows repeated exactly come out once; null ids stay null.
