@@ -243,7 +243,7 @@ def train(chunks: DataFrame, max_files: int = TRAINING_FILES, max_rows: int = TR
         value = np.frombuffer(r.counts, "<u2") * (_GRAM_SCALE / max(1, r.gram_n))
         shapes = tuple(float(r[c]) for c in SHAPE_COLUMNS)
         by_head, other = any(head_marks(h) for h in r.heads), path_marks(r.file_path) or shape_marks(*shapes)
-        margins = [max([-1.0, *(model.head_margin(h) for h in r.heads)])] + [-1.0] * (by_head and other)
+        margins = [max([1.0 if by_head else -1.0, *(model.head_margin(h) for h in r.heads)])] + [-1.0] * (by_head and other)
         paths = GRAMS + np.array(path_features(r.file_path), np.int64)
         held_out = _hash(r.file_path.split("/")[0], 5) == 0
         for m in margins:
@@ -258,8 +258,8 @@ def train(chunks: DataFrame, max_files: int = TRAINING_FILES, max_rows: int = TR
         scores = np.array([w[e[2][0]] @ e[2][1] + w[size] for e in examples])
         test = held if held.any() else fit
         if labels[test].any():
-            # the exact check follows, so the threshold is set for recall
-            model.threshold = min(0.0, float(np.quantile(scores[test & labels], 0.002)) - 0.2)
+            # the exact check follows, so all but the files beyond the margin of the others are taken
+            model.threshold = min(-0.9, float(np.quantile(scores[test & labels], 0.002)) - 0.2)
             found = scores[test] > 0
             model.validation |= {"held_out": int(held.sum()), "precision": float((labels[test] & found).sum() / max(1, found.sum())), "recall": float((labels[test] & found).sum() / labels[test].sum()), "recall_at_threshold": float((scores[test & labels] > model.threshold).mean())}
     return model
@@ -287,7 +287,8 @@ def judged_files(chunks: DataFrame, model: Model) -> DataFrame:
                     if text not in head_cache:
                         if len(head_cache) > 50_000:
                             head_cache.clear()
-                        head_cache[text] = model.head_margin(text), head_marks(text)
+                        told_here = head_marks(text)
+                        head_cache[text] = max(model.head_margin(text), 1.0 if told_here else -1.0), told_here
                     head, told = max(head, head_cache[text][0]), told or head_cache[text][1]
                 g = grams(masked(code), GRAMS) if code else np.empty(0, np.int64)
                 out.append((path, float(model.gram[g].sum()), len(g), *shape(code or ""), head, told))
