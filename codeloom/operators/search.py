@@ -123,7 +123,8 @@ def sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: i
     """Two phases: the nearest max(over · top, least) by Hamming distance of sign bits, then their exact cosine.
 
     queries: query_id, qvec; vectors: vec_id, vec. Blocks of queries meet all vectors,
-    spread over SALTS tasks.
+    spread over SALTS tasks. The number of candidates is fixed, so neighbours are lost;
+    ``exact_sketch_search`` loses none.
     """
     sketches = vectors.select("vec_id", T.sign_bits(F.col("vec")).alias("bits"))
     blocks = _blocks(queries.select("query_id", T.sign_bits(F.col("qvec")).alias("qbits")), "query_id", "qbits")
@@ -135,6 +136,35 @@ def sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: i
     return ranked(exact.select("query_id", "vec_id", "distance", "score"), top, key="vec_id")
 
 
+def exact_sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: int = 4, least: int = 64, min_score: float = 0.3) -> DataFrame:
+    """The ``top`` nearest by cosine, as brute force has them: query_id, vec_id, distance, score, rank.
+
+    Values of unlike sign only lower a product, so at Hamming distance h the cosine is at most
+    sqrt(1 - the h smallest squares of the query / all its squares). The lowest score of
+    ``sketch_search`` bounds the distance of what can still enter; all vectors within are scored.
+    Vectors of another length than the query's are left out.
+    """
+    first = sketch_search(queries, vectors, top, over, least, min_score)
+    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
+    squares = F.array_sort(F.transform("qvec", lambda x: x.cast("double") * x.cast("double")))
+    total = F.aggregate("squares", F.lit(0.0), lambda s, x: s + x)
+    # a margin for the rounding of scores and of the sum
+    room = (1 - F.pow(F.greatest(F.col("floor") - 1e-8, F.lit(0.0)), 2)) * F.col("total") * (1 + 1e-9)
+    within = F.aggregate("squares", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + F.when(s["sum"] + x <= F.col("room"), 1).otherwise(0)).alias("n")))["n"]
+    asked = queries.select("query_id", "qvec").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(min_score)))
+    asked = asked.withColumn("squares", squares).withColumn("total", total).withColumn("room", room).select("query_id", "qvec", T.sign_bits(F.col("qvec")).alias("qbits"), "floor", within.alias("within"))
+    blocks = _blocks(asked, "query_id", "qvec", "qbits", "floor", "within")
+
+    def scored(q: Column) -> Column:
+        distance = T.hamming(q["qbits"], F.col("bits"))
+        near = (F.size(q["qvec"]) == F.size("vec")) & (distance <= q["within"])
+        return F.struct(q["query_id"].alias("query_id"), distance.alias("distance"), F.when(near, F.round(T.cosine(q["qvec"], F.col("vec")), 9)).alias("score"), q["floor"].alias("floor"))
+
+    met = _spread(vectors.select("vec_id", "vec", T.sign_bits(F.col("vec")).alias("bits"))).join(blocks, ["block", "salt"])
+    kept = met.select("vec_id", F.explode(F.filter(F.transform("qs", scored), lambda s: (s["score"] > min_score) & (s["score"] >= s["floor"]))).alias("s"))
+    return ranked(kept.select("s.query_id", "vec_id", "s.distance", "s.score"), top, key="vec_id")
+
+
 def max_sim(query_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame:
     """Late interaction: the sum over query vectors of the best cosine of a candidate's vectors.
 

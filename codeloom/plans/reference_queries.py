@@ -273,6 +273,16 @@ def vec_sketch(spark, d):
     return out.select("query_id", "vec_id", "distance", F.round("score", 6).alias("score"))
 
 
+@query("""with v as (select vec_id, embedding::double[] vec, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings),
+pairs as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.bits, v.bits), lambda x: abs(x[1] - x[2])))::int distance, round(list_cosine_similarity(q.vec, v.vec), 9) score
+  from v q, v where q.vec_id % 50 = 0)
+select query_id, vec_id, distance, round(score, 6) score from pairs where score > 0.3 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
+def vec_sketch_exact(spark, d):
+    """As vec_sketch, but without its bound of 64 candidates, which loses neighbours."""
+    out = search.exact_sketch_search(_vector_queries(spark, d), _vectors(spark, d))
+    return out.select("query_id", "vec_id", "distance", F.round("score", 6).alias("score"))
+
+
 @query(f"""with {_COS}, qs as (select a.query_id, b.vec_id q_ord, b.vec qvec from vq a join v b on b.vec_id between a.query_id and a.query_id + 2),
 best as (select query_id, q_ord, label, max(list_cosine_similarity(qvec, vec)) b from qs, v group by all)
 select query_id, label::varchar chunk_id, round(sum(b), 6) score from best group by all""")

@@ -4,6 +4,7 @@ import json
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,20 @@ def test_vector_scores_leave_out_other_lengths(spark):
     assert {(r.vec_id, r.score) for r in search.vector_scores(q, v, -1.0).collect()} == {(1, 1.0), (2, 0.0), (5, 0.0)}
 
 
+@pytest.mark.parametrize("n", [200, 1500])
+def test_exact_sketch_search_against_brute_force(spark, n):
+    v = np.random.default_rng(7).normal(size=(n, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, vec array<float>")
+    q = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    scores = np.round(unit[:5] @ unit.T, 9)
+    want = {i: [int(j) for j in np.lexsort((np.arange(n), -s)) if s[j] > 0.1][:10] for i, s in enumerate(scores)}
+    got = {i: [] for i in range(5)}
+    for r in search.exact_sketch_search(q, rows, min_score=0.1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == want
+
+
 def test_windows(spark):
     cut = one(spark, "a" * 8001, T.embedding_windows(F.col("x")))
     assert [len(c) for c in cut] == [8000, 961]
