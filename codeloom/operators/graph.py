@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
 from codeloom.operators.index import with_symbol
+from codeloom.operators.skew import salted_join
 from codeloom.session import cut_lineage
 
-#: Damping of both page ranks, edges kept per name.
-DAMPING, MAX_PER_NAME = 0.85, 20_000
+#: Damping of both page ranks.
+DAMPING = 0.85
 
 
 def file_graph(edges: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -160,22 +161,19 @@ def referers(chunks: DataFrame, deps: DataFrame) -> DataFrame:
 _STRENGTH = {"resolved": 2, "high": 1, "name_only": 0}
 
 
-def symbol_graph(chunks: DataFrame, deps: DataFrame, resolver: str = "heuristic", max_per_name: int = MAX_PER_NAME) -> DataFrame:
+def symbol_graph(chunks: DataFrame, deps: DataFrame, resolver: str = "heuristic") -> DataFrame:
     """src, dst, kind, confidence: an edge from every caller or referer to each definition of the name, the strongest once.
 
-    resolver: heuristic keeps the confidence; precise makes proven calls ``resolved``. At most
-    ``max_per_name`` edges per name (by src, dst); ``capped_names`` lists names beyond.
+    resolver: heuristic keeps the confidence; precise makes proven calls ``resolved``. All edges of a
+    name are kept; names with many callers are salted.
     """
     calls = classify_callers(chunks, deps).withColumn("kind", F.lit("calls"))
     if resolver == "precise":
         calls = calls.withColumn("confidence", F.when((F.col("confidence") == "high") & F.col("proven"), "resolved").otherwise(F.col("confidence")))
     refs = calls.select("name", "caller", "kind", "confidence").unionByName(referers(chunks, deps).select("name", "caller", "kind", "confidence"))
-    edges = refs.join(definitions(chunks).select("name", F.col("def_id").alias("dst")), "name").withColumnRenamed("caller", "src")
-    window = Window.partitionBy("name", F.pmod(F.xxhash64("src"), F.lit(16))).orderBy("src", "dst", "kind")
-    kept = edges.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= max_per_name)
-    kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("src", "dst", "kind"))).where(F.col("_r") <= max_per_name)
+    edges = salted_join(cut_lineage(refs), definitions(chunks).select("name", F.col("def_id").alias("dst")), ["name"], "inner", F.xxhash64("caller")).withColumnRenamed("caller", "src")
     level = F.when(F.col("confidence") == "resolved", 2).when(F.col("confidence") == "high", 1).otherwise(0)
-    best = kept.groupBy("src", "dst", "kind").agg(F.max(level).alias("level"))
+    best = edges.groupBy("src", "dst", "kind").agg(F.max(level).alias("level"))
     return best.select("src", "dst", "kind", F.when(F.col("level") == 2, "resolved").when(F.col("level") == 1, "high").otherwise("name_only").alias("confidence"))
 
 

@@ -116,6 +116,12 @@ def test_referers_and_symbol_graph(spark, program, deps):
     assert {(r.src, r.dst, r.confidence) for r in bound.where("kind = 'calls' and dst in ('d1', 'd2')").collect()} == {("u5", "d2", "resolved")}
 
 
+def test_symbol_graph_keeps_all_edges_of_a_hot_name(spark):
+    rows = [chunk(f"d{i}", "hot", f"d{i}.ts") for i in range(150)] + [chunk(f"u{i}", f"use{i}", f"u{i}.ts", sites=[("hot", "x")]) for i in range(150)]
+    edges = graph.symbol_graph(spark.createDataFrame(rows, CHUNK), spark.createDataFrame([], "file string, dep string"))
+    assert edges.count() == 150 * 150 and edges.select("src", "dst", "kind").distinct().count() == 150 * 150
+
+
 def test_resolve_symbol(spark, program):
     assert {r.id for r in index.resolve_symbol(program, " SAVE ").collect()} == {"d1", "d2"}
     assert index.resolve_symbol(program, "anonymous").count() == 0
