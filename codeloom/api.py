@@ -61,7 +61,7 @@ class Index:
     def search_code(self, queries: DataFrame, top_k: int = 5, min_score: float = 0.3, learned: bool = False, git_weight: float = 0.0) -> DataFrame:
         """Chunks for queries (query_id, text, and optionally exact), with their pruned bodies."""
         pool = min(max(2 * top_k, 12), 25) if learned or git_weight else top_k
-        channels = {"lexical": search.lexical_search(queries, self.postings)}
+        channels = {"lexical": search.lexical_search(queries, self.postings, stems=index.stem_postings(self.postings))}
         if self.vectors is not None:
             asked = embed.embedded(queries, "query_id").withColumnRenamed("vec", "qvec")
             channels["vector"] = search.vector_search(asked, self.vectors, min_score)

@@ -44,11 +44,8 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return tokens.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def stem_postings(postings: DataFrame) -> DataFrame:
-    """Postings of the stems that differ from their token, in the name space of stems.
-
-    Stems are computed once per distinct token, in Arrow batches.
-    """
+def stems_of(tokens: DataFrame) -> DataFrame:
+    """term, stem of the distinct tokens (term) whose stem differs, in the name space of stems; in Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column("term").to_pylist()
@@ -56,8 +53,15 @@ def stem_postings(postings: DataFrame) -> DataFrame:
             kept = [(t, T.STEM_PREFIX + s) for t, s in zip(tokens, stems) if s != t and len(s) >= 3]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.string())], ["term", "stem"])
 
-    stems = postings.select("term").distinct().mapInArrow(run, "term string, stem string")
-    return postings.join(stems, "term").groupBy("chunk_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return tokens.select("term").distinct().mapInArrow(run, "term string, stem string")
+
+
+def stem_postings(postings: DataFrame) -> DataFrame:
+    """Postings of the stems that differ from their token, in the name space of stems.
+
+    Stems are computed once per distinct token.
+    """
+    return postings.join(stems_of(postings), "term").groupBy("chunk_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def document_lengths(postings: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
+from codeloom.operators.index import stems_of
 from codeloom.session import cut_lineage
 
 #: How many candidates a channel passes on, the constant and weights of rank fusion.
@@ -33,15 +34,17 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.raw_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bm25_scores(tokens: DataFrame, postings: DataFrame) -> DataFrame:
+def bm25_scores(tokens: DataFrame, postings: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score: the sum of BM25 over the tokens (query_id, term, n: a count or weight).
 
-    Postings are cut to the terms asked for before anything is joined to them. Scores are
+    Postings are cut to the terms asked for before anything is joined to them. Postings of
+    ``stems`` can be asked for too, but don't add to the length of documents. Scores are
     rounded to 9 places, so that ranks don't depend on the order of addition.
     """
     lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("doc_len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avgdl")).withColumn("_one", F.lit(1))  # one row
-    asked = postings.join(tokens.select("term").distinct(), "term", "left_semi")
+    held = postings if stems is None else postings.unionByName(stems)
+    asked = held.join(tokens.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     term_idf = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").select("term", T.okapi_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     weighted = tokens.join(term_idf, "term")
@@ -49,9 +52,19 @@ def bm25_scores(tokens: DataFrame, postings: DataFrame) -> DataFrame:
     return asked.join(lengths, "chunk_id").join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(score, 9).alias("score"))
 
 
-def lexical_search(queries: DataFrame, postings: DataFrame, cap: int = LEXICAL_CAP) -> DataFrame:
-    """BM25 over raw tokens: query_id, chunk_id, score, rank."""
-    return ranked(bm25_scores(query_tokens(queries), postings), cap)
+def lexical_search(queries: DataFrame, postings: DataFrame, cap: int = LEXICAL_CAP, stems: DataFrame | None = None) -> DataFrame:
+    """BM25 over raw tokens: query_id, chunk_id, score, rank.
+
+    With ``stems`` (index.stem_postings) queries in natural language also ask for the stems of their
+    tokens. A token that is its own stem has no posting of it, as in the index.
+    """
+    tokens = query_tokens(queries)
+    if stems is None:
+        return ranked(bm25_scores(tokens, postings), cap)
+    asked = query_tokens(queries.where(T.is_natural_language(F.col("text"))))
+    pairs = stems_of(asked)
+    added = asked.join(pairs, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
+    return ranked(bm25_scores(tokens.unionByName(added), postings, stems), cap)
 
 
 #: Blocks of queries, and tasks among which the vectors that meet a block are spread.

@@ -339,7 +339,7 @@ def search_hybrid(spark, d):
     vectors = embed.embedded(chunks.select(F.col("id").alias("chunk_id"), T.embedding_payload().alias("text"))).withColumn("vec_id", F.col("chunk_id"))
     qvec = embed.embedded(asked.select("query_id", "text"), key="query_id").withColumnRenamed("vec", "qvec")
     added = cut_lineage(search.expanded_query(asked, _model(spark, d))).withColumnRenamed("weight", "n")
-    channels = {"lexical": search.lexical_search(asked, terms), "vector": search.vector_search(qvec, vectors), "sparse": search.ranked(search.bm25_scores(added, terms), search.LEXICAL_CAP)}
+    channels = {"lexical": search.lexical_search(asked, terms, stems=cut_lineage(index.stem_postings(terms))), "vector": search.vector_search(qvec, vectors), "sparse": search.ranked(search.bm25_scores(added, terms), search.LEXICAL_CAP)}
     return search.fuse(asked, channels, chunks, terms)
 
 
@@ -348,7 +348,7 @@ def search_lexical(spark, d):
     """Flagship: the ten best chunks for each title, fused with boosts, with their place."""
     chunks = current(spark, d)
     terms = cut_lineage(index.chunk_terms(chunks))
-    found = search.fuse(titles(spark, d), {"lexical": search.lexical_search(titles(spark, d), terms)}, chunks, terms, top=10)
+    found = search.fuse(titles(spark, d), {"lexical": search.lexical_search(titles(spark, d), terms, stems=cut_lineage(index.stem_postings(terms)))}, chunks, terms, top=10)
     return found.join(chunks.select(F.col("id").alias("chunk_id"), "name", "file_path", "start_line"), "chunk_id")
 
 

@@ -194,6 +194,16 @@ def test_fusion(spark):
     assert math.isclose(got[0].score, 1.5 / 62 * 1.4 * 2.0, abs_tol=1e-8) and math.isclose(got[1].score, 1 / 61, abs_tol=1e-8)
 
 
+def test_stems_in_lexical_search(spark):
+    chunks = spark.createDataFrame([chunk("b", "connections", "b.ts"), chunk("c", "other", "c.ts"), chunk("d", "connecting", "d.ts")], CHUNK)
+    terms = index.chunk_terms(chunks)
+    q = spark.createDataFrame([(1, "how are the connections of it made"), (2, "connections")], "query_id int, text string")
+    got = {(r.query_id, r.chunk_id): r for r in search.lexical_search(q, terms, stems=index.stem_postings(terms)).collect()}
+    assert set(got) == {(1, "b"), (1, "d"), (2, "b")} and got[(1, "b")]["rank"] == 1
+    raw = {(r.query_id, r.chunk_id): r.score for r in search.lexical_search(q, terms).collect()}
+    assert raw[(2, "b")] == got[(2, "b")].score  # lengths of documents are those of raw tokens
+
+
 def test_reranking(spark):
     pool = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 0.9, 2), (1, "c", 0.8, 3)], "query_id int, chunk_id string, score double, rank int")
     order = spark.createDataFrame([(1, "c", 1)], "query_id int, chunk_id string, place int")
