@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Files that are not indexed.
 IGNORED = r"(?:^|/)(?:\.[^/]+|node_modules|dist|build|out|target|vendor|coverage|__pycache__)/|\.bundle\.|\.min\."
-MAX_BYTES, MAX_SITES, SNIPPET = 500_000, 256, 3000
+MAX_BYTES = 500_000
 #: Language of each extension.
 LANGUAGES = {
     "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "java": "java", "rs": "rust",
@@ -63,9 +63,9 @@ def chunk_id(path: str, row: int, column: int) -> str:
 
 
 def call_sites(code: str) -> list[tuple[str, str]]:
-    """Distinct (name, receiver) of the calls in a text, at most MAX_SITES; short and control words are noise."""
+    """Distinct (name, receiver) of the calls in a text; short and control words are noise."""
     found = dict.fromkeys((m.group(2), m.group(1) or "") for m in _CALL.finditer(code) if len(m.group(2)) > 2 and m.group(2) not in _STOP)
-    return list(found)[:MAX_SITES]
+    return list(found)
 
 
 _NEW = re.compile(r"\b([A-Za-z_$][\w$]*)\s*(?::\s*[\w.<>\[\]]+\s*)?(?::=|=)\s*(?:await\s+)?(?:new\s+|&)?([A-Z]\w*)\s*[({]")
@@ -99,8 +99,8 @@ def _row(path: str, lines: list[str], kind: str, name: str | None, doc: str, sta
     code = "\n".join(lines[start:end])
     names = list(dict.fromkeys(n for n, _ in call_sites(code) if n != name))
     return (
-        chunk_id(path, start, column), path, kind, name or f"{path.rsplit('/', 1)[-1].split('.')[0]}_{kind}", doc, code[:SNIPPET], hashlib.sha256((doc + code).encode()).hexdigest(),
-        start + 1, end, names, params[:15], returns[:80], cls, decorators[:24], bases[:12], typed_call_sites(code),
+        chunk_id(path, start, column), path, kind, name or f"{path.rsplit('/', 1)[-1].split('.')[0]}_{kind}", doc, code, hashlib.sha256((doc + code).encode()).hexdigest(),
+        start + 1, end, names, params, returns, cls, decorators, bases, typed_call_sites(code),
     )
 
 

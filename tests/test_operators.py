@@ -234,6 +234,17 @@ def test_extraction(spark):
     assert {(r.file, r.dep) for r in deps.collect()} == {("pkg/a.py", "pkg/util.py"), ("src/b.ts", "src/util.ts")}
 
 
+def test_extraction_keeps_whole_nodes(spark):
+    params, bases = ", ".join(f"arg{i}" for i in range(20)), ", ".join(f"Base{i}" for i in range(15))
+    returns = "dict[" + ", ".join(["AVeryLongTypeName"] * 8) + "]"
+    code = "\n".join(f"@deco{i}" for i in range(30)) + f"\ndef long({params}) -> {returns}:\n" + "\n".join(f"    call_{i}(x)" for i in range(400)) + "\n    return eval(x)"
+    files = spark.createDataFrame([("a.py", f"{code}\n\nclass C({bases}):\n    x = 1\n")], "file_path string, content string")
+    got = {r.name: r for r in extract.extract_chunks(files).collect()}
+    long = got["long"]
+    assert len(code) > 3000 and long.code_snippet == code and len(long.calls) == 401 and len(long.call_sites) == 402  # its own name too
+    assert len(long.params) == 20 and long.return_type == returns and len(long.decorators) == 30 and len(got["C"].extends) == 15
+
+
 def test_typed_call_sites():
     sites = {s["name"]: s for s in extract.typed_call_sites("const r = new Repo();\nr.save(x);\nlet q = build(1);\nq.flush();\nlet z = new A(); z = new B(); z.drop();\nself.mine()")}
     assert (sites["save"]["recv_type"], sites["flush"]["recv_via_call"], sites["drop"]["recv_type"], sites["mine"]["recv"]) == ("Repo", "build", None, "this")
