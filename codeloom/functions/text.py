@@ -76,9 +76,10 @@ def embedding_payload() -> Column:
     )
 
 
-def embedding_windows(payload: Column) -> Column:
-    """Overlapping windows of a payload beyond one window, at most MAX_WINDOWS; none if it fits."""
-    last = F.least(F.lit(MAX_WINDOWS - 1), F.ceil((F.length(payload) - WINDOW) / F.lit(STRIDE)).cast("int"))
+def embedding_windows(payload: Column, most: int | None = MAX_WINDOWS) -> Column:
+    """Overlapping windows of a payload beyond one window, at most ``most``, the whole payload if None; none if it fits."""
+    last = F.ceil((F.length(payload) - WINDOW) / F.lit(STRIDE)).cast("int")
+    last = F.least(F.lit(most - 1), last) if most else last
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(payload, i * STRIDE + 1, F.lit(WINDOW)))
     return F.when(F.length(payload) > WINDOW, cut).otherwise(F.array().cast("array<string>"))
 

@@ -117,6 +117,15 @@ def fn_embedding_windows(spark, d):
     return cut.select("id", F.length("payload").alias("n_chars"), F.md5("payload").alias("md5"), F.size("w").alias("n_windows"), F.md5(F.try_element_at("w", F.lit(2))).alias("second_window"))
 
 
+@query(f"""with {CUR}, pay as (select id, {_PAYLOAD} payload from cur),
+w as (select id, payload, case when length(payload) > 8000 then (ceil((length(payload) - 8000) / 7040) + 1)::int else 0 end n from pay)
+select id, length(payload) n_chars, n n_windows, case when n > 0 then md5(substring(payload, (n - 1) * 7040 + 1, 8000)) end last_window from w""")
+def fn_embedding_windows_whole(spark, d):
+    """As fn_embedding_windows, but the windows cover the whole payload."""
+    cut = current(spark, d).withColumn("payload", T.embedding_payload()).withColumn("w", T.embedding_windows(F.col("payload"), None))
+    return cut.select("id", F.length("payload").alias("n_chars"), F.size("w").alias("n_windows"), F.md5(F.try_element_at("w", F.lit(-1))).alias("last_window"))
+
+
 @query(f"""with {CUR} select id, case when coalesce(summary, '') <> '' or len(coalesce(concepts, [])) > 0
   then content_hash || '|e:' || substring(sha256(coalesce(summary, '') || '|' || coalesce(array_to_string(concepts, ','), '')), 1, 12) else content_hash end vec_key, content_hash base from cur""")
 def fn_embedding_key(spark, d):

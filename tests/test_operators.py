@@ -68,6 +68,14 @@ def test_windows(spark):
     assert len(one(spark, "a" * 100_000, T.embedding_windows(F.col("x")))) == 4
 
 
+def test_windows_of_the_whole_payload(spark):
+    text = "".join(f"{i:08d}" for i in range(12_500))
+    cut = one(spark, text, T.embedding_windows(F.col("x"), None))
+    assert cut[0] + "".join(c[960:] for c in cut[1:]) == text and len(cut) == 15
+    assert [len(c) for c in one(spark, "a" * 15_040, T.embedding_windows(F.col("x"), None))] == [8000, 8000]
+    assert one(spark, "a" * 8000, T.embedding_windows(F.col("x"), None)) == []
+
+
 def test_parsers(spark):
     got = one(spark, "SUMMARY: Reads it.\nTAGS: a, B,a,", T.parsed_enrichment(F.col("x")))
     assert (got.summary, got.concepts) == ("Reads it.", ["a", "b"])
