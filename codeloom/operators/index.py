@@ -179,11 +179,11 @@ def missing_vectors(expected: DataFrame, cached: DataFrame) -> DataFrame:
     return expected.select("key").distinct().join(cached.select("key"), "key", "left_anti")
 
 
-def core_chunks(chunks: DataFrame, rank: DataFrame | None = None, most: int = 500) -> DataFrame:
-    """Chunks worth enriching: named, at least four lines, neither test nor example; by rank of their file."""
+def core_chunks(chunks: DataFrame, rank: DataFrame | None = None, most: int | None = 500) -> DataFrame:
+    """Chunks worth enriching: named, at least four lines, neither test nor example; by rank of their file, all if ``most`` is None."""
     found = with_symbol(chunks).where("name_lower is not null").where(F.col("end_line") - F.col("start_line") >= 3).where(~T.is_test_file(F.col("file_path")) & ~T.is_example_dir(F.col("file_path")))
     found = found.join(rank, "file_path", "left").fillna(0.0, ["score"]) if rank is not None else found.withColumn("score", F.lit(0.0))
-    return found.orderBy(F.desc("score"), "file_path", "id").limit(most)
+    return found.orderBy(F.desc("score"), "file_path", "id").limit(most) if most else found
 
 
 def symbol_column(name: str) -> Column:

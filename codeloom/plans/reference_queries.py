@@ -636,6 +636,16 @@ def upkeep_core_chunks(spark, d):
     return index.core_chunks(current(spark, d)).select("id", "file_path")
 
 
+@query(f"""{_page_rank_sql(30).rpartition("select node file_path")[0].replace(CUR, NAMED)}
+select id, named.file_path, round(coalesce(score, 0), 6) score from named left join p30 on node = named.file_path
+where name_lower is not null and end_line - start_line >= 3 and not regexp_matches(named.file_path, '{TEST}') and not regexp_matches(named.file_path, '{EXAMPLE}')""")
+def upkeep_core_ranked(spark, d):
+    """All chunks that upkeep_core_chunks chooses from, with the rank of their file; the caller takes the first."""
+    chunks = current(spark, d)
+    rank = graph.file_page_rank(graph.file_graph(edges(spark, d), chunks), chunks.select("file_path"))
+    return index.core_chunks(chunks, rank, None).select("id", "file_path", F.round("score", 6).alias("score"))
+
+
 # -- streams, extraction -----------------------------------------------------------------------------------
 
 def _streamed(spark, d, make, mode):

@@ -152,6 +152,13 @@ def test_impact(spark, links):
     assert {r.node for r in nodes.collect()} == {"a", "b", "c"} and among.count() == 3
 
 
+def test_core_chunks_of_all_files(spark):
+    rows = [chunk(f"c{i:03d}", f"f{i}", f"p{i:03d}.ts") for i in range(600)] + [chunk("t", "t", "a.test.ts")]
+    rank = spark.createDataFrame([("p599.ts", 0.5)], "file_path string, score double")
+    got = {r.id: r.score for r in index.core_chunks(spark.createDataFrame(rows, CHUNK), rank, None).collect()}
+    assert len(got) == 600 and got["c599"] == 0.5 and got["c000"] == 0.0 and "t" not in got
+
+
 def test_page_ranks(spark, links):
     score = {r.chunk_id: (r.score, r["rank"]) for r in graph.symbol_centrality(links).collect()}
     assert math.isclose(sum(s for s, _ in score.values()), 1, abs_tol=1e-6) and sorted(r for _, r in score.values()) == [1, 2, 3, 4, 5]
