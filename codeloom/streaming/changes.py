@@ -77,8 +77,10 @@ def run_to_table(result: DataFrame, mode: str, checkpoint: str, sink: str) -> Da
     query = result.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     schema = result.schema
-    path = sink.removeprefix("file://")
-    numbers = sorted(int(n) for n in os.listdir(path) if n.isdigit()) if os.path.isdir(path) else []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = sorted(int(n) for n in names if n.isdigit())
     if not numbers:
         return spark.createDataFrame([], schema)
     wanted = [numbers[-1]] if mode == "complete" else numbers

@@ -324,6 +324,13 @@ def test_catalog_and_stream(spark, tmp_path):
     assert catalog.table("chunks").collect() == rebuilt.collect()
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_stream_to_table_in_any_form_of_path(spark, tmp_path, scheme):
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    assert changes.run_to_table(stream, "append", f"{scheme}{tmp_path}/cp", f"{scheme}{tmp_path}/out").count() == 7
+
+
 def test_lock(tmp_path):
     path = str(tmp_path / "lock")
     release = changes.single_writer(path)
