@@ -220,7 +220,11 @@ def _sample_features(keys: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
 
 
 def train(chunks: DataFrame, max_files: int = TRAINING_FILES, max_rows: int = TRAINING_ROWS) -> Model:
-    """Both classifiers, trained on at most ``max_files`` files chosen by the hash of their path and about ``max_rows`` rows of each."""
+    """Both classifiers, trained on at most ``max_files`` files chosen by the hash of their path and about ``max_rows`` rows of each.
+
+    Where no threshold can be found (no marked file, or no other, is in the sample, or no marked one
+    is held out), it is minus infinity: the exact check alone decides.
+    """
     files = chunks.where("file_path is not null").groupBy("file_path").count()
     chosen = F.broadcast(files.orderBy(F.xxhash64("file_path"), "file_path").limit(max_files))
     rows = chunks.join(chosen, "file_path").where(F.pmod(F.xxhash64("id", "indexed_at"), F.greatest("count", F.lit(max_rows))) < max_rows)
@@ -236,7 +240,7 @@ def train(chunks: DataFrame, max_files: int = TRAINING_FILES, max_rows: int = TR
         head = train_svm([head_vector(t) for t in texts], told, HEADS, weight)
 
     size = GRAMS + PATHS + SHAPES
-    model = Model(head, np.zeros(GRAMS), np.zeros(PATHS), np.zeros(SHAPES), -1.0, 0.0, {"files": len(sample)})
+    model = Model(head, np.zeros(GRAMS), np.zeros(PATHS), np.zeros(SHAPES), -1.0, -np.inf, {"files": len(sample)})
     examples: list[tuple[bool, bool, tuple[np.ndarray, np.ndarray]]] = []
     for r in sample:
         index = np.frombuffer(r.indices, "<u2").astype(np.int64)

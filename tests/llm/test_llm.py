@@ -216,6 +216,11 @@ def test_not_hand_written(spark):
     assert genfiles.not_hand_written(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_not_hand_written_if_all_files_are_marked(spark):
+    rows = [chunk(f"n{i}", f"repo{i}/node_modules/lib/n{i}.js", None, "x", None, "x = 1") for i in range(4)]
+    assert {r.file_path for r in genfiles.not_hand_written(spark.createDataFrame(rows, CHUNKS)).collect()} == {r[1] for r in rows}
+
+
 # -- 8 and 9 ----------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
