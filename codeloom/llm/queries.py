@@ -55,6 +55,11 @@ def p6_not_hand_written(spark: SparkSession, d: str) -> DataFrame:
     return genfiles.not_hand_written(table(spark, d, "chunks"))
 
 
+def p6_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How well each classifier agrees, on held-out repositories, with marks that its training never saw."""
+    return genfiles.validation(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_terms(tfidf.term_scores(table(spark, d, "postings")))
 
@@ -99,7 +104,7 @@ n as (select count(distinct chunk_id) n_records from counting),
 freq as (select term, cast(sum(tf) as bigint) total_tf, count(*) df from counting group by term)"""
 _MARK = "case when df <= 2 then 'rare' when df * 100 > n_records * 10 then 'common' end"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p6_validation, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "select distinct id chunk_id from chunks where removed_at is null and length(code_snippet) > 3000",

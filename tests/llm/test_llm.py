@@ -204,11 +204,13 @@ def test_svm_separates():
     assert all((w[i] @ v + w[10] > 0) == y for (i, v), y in zip(rows, labels))
 
 
+PLAIN = "def {n}(a):\n    # keeps {n} sorted\n    for x in a:\n        log(x)\n    return {n}\n"
+
+
 def test_not_hand_written(spark):
-    plain = "def {n}(a):\n    # keeps {n} sorted\n    for x in a:\n        log(x)\n    return {n}\n"
-    rows = [chunk(f"h{i}", f"repo{i % 9}/src/m{i}.py", None, "x", None, plain.format(n=f"name{i}")) for i in range(120)]
-    rows += [chunk(f"g{i}", f"repo{i % 9}/src/g{i}.py", None, "x", "[File Context]: # Code generated by tool v1.2. DO NOT EDIT.", plain.format(n=f"gen{i}")) for i in range(20)]
-    rows += [chunk(f"n{i}", f"repo{i % 9}/node_modules/lib/n{i}.js", None, "x", None, plain.format(n=f"lib{i}")) for i in range(20)]
+    rows = [chunk(f"h{i}", f"repo{i % 9}/src/m{i}.py", None, "x", None, PLAIN.format(n=f"name{i}")) for i in range(120)]
+    rows += [chunk(f"g{i}", f"repo{i % 9}/src/g{i}.py", None, "x", "[File Context]: # Code generated by tool v1.2. DO NOT EDIT.", PLAIN.format(n=f"gen{i}")) for i in range(20)]
+    rows += [chunk(f"n{i}", f"repo{i % 9}/node_modules/lib/n{i}.js", None, "x", None, PLAIN.format(n=f"lib{i}")) for i in range(20)]
     rows += [chunk("z", None, None, None, None, "x"), chunk("y", "repo1/src/none.py", None, None, None, None)]
     chunks = spark.createDataFrame(rows + rows[:5], CHUNKS)
     got = {r.file_path for r in genfiles.not_hand_written(chunks).collect()}
@@ -216,11 +218,33 @@ def test_not_hand_written(spark):
     assert genfiles.not_hand_written(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_views_learn_from_the_marks_of_others(spark, monkeypatch):
+    """Heads that no pattern knows and folders that no list holds are found, as they occur with known ones."""
+    monkeypatch.setattr(genfiles, "LEAST_F1", 0.3)  # no pattern confirms the unknown heads
+    unknown = "[File Context]: # Emitted mechanically out of schema {i}; hands off."
+    rows = [chunk(f"h{i}", f"repo{i % 11}/src/m{i}.py", None, "x", f"[File Context]: # Keeps rows of {i} in order.", PLAIN.format(n=f"name{i}")) for i in range(300)]
+    rows += [chunk(f"b{i}", f"repo{i % 11}/node_modules/lib/b{i}.js", None, "x", unknown.format(i=i), PLAIN.format(n=f"gen{i}")) for i in range(40)]
+    rows += [chunk(f"k{i}", f"repo{i % 11}/node_modules/lib/k{i}.js", None, "x", "[File Context]: # Code generated by tool v1.2. DO NOT EDIT.", PLAIN.format(n=f"lib{i}")) for i in range(40)]
+    rows += [chunk(f"u{i}", f"repo{i % 11}/src/u{i}.py", None, "x", unknown.format(i=i), PLAIN.format(n=f"own{i}")) for i in range(20)]
+    model = genfiles.train(spark.createDataFrame(rows, CHUNKS))
+    assert [v["learnt_from"] for v in model.validation[:2]] == ["other marks", "other marks"]
+    assert not genfiles.head_marks(unknown) and model.head_margin(unknown.format(i=5).split(": ", 1)[1]) > model.head_margin("# Keeps rows of 7 in order.")
+    got = {r.file_path for r in genfiles.not_hand_written(spark.createDataFrame(rows, CHUNKS), model).collect()}
+    assert {r[1] for r in rows if r[0][0] == "b"} <= got and not {r[1] for r in rows if r[0][0] == "h"} & got
+
+
 def test_not_hand_written_if_all_files_are_marked(spark):
     rows = [chunk(f"n{i}", f"repo{i}/node_modules/lib/n{i}.js", None, "x", None, "x = 1") for i in range(4)]
     assert {r.file_path for r in genfiles.not_hand_written(spark.createDataFrame(rows, CHUNKS)).collect()} == {r[1] for r in rows}
 
 
+def test_thresholds():
+    truth = np.array([True, True, False, False])
+    assert genfiles.best_threshold(np.array([3.0, 2.0, 1.0, 0.0]), truth) == (1.5, 1.0, 1.0, 1.0)
+    assert genfiles.best_threshold(np.array([1.0, 1.0, 1.0, 0.0]), truth)[1:] == (0.8, 2 / 3, 1.0)  # ties stay together
+    assert genfiles.best_threshold(np.zeros(4), ~truth | truth)[0] == -np.inf and genfiles.best_threshold(np.zeros(4), truth & ~truth)[0] == np.inf
+
+
 # -- 8 and 9 ----------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
