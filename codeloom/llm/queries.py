@@ -65,7 +65,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_term_scores(spark: SparkSession, d: str) -> DataFrame:
-    return tfidf.term_scores(table(spark, d, "postings"))
+    return tfidf.term_scores(table(spark, d, "postings")).drop("is_top")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import key_form
-from codeloom.llm.termrows import counting_rows
+from codeloom.llm.termrows import fold_group, grouped_rows, numbers_of
+from codeloom.operators.skew import salted_join
 from codeloom.session import cut_lineage
 
-#: Postings per container, about: what one task holds at a time.
-CONTAINER_ROWS = 200_000
 _ARRAY_MAX = 4096  # above this many of 65,536 identifiers a bit set is smaller than a list
-_DDL = "term string, container bigint, kind string, bitmap binary, records bigint, occurrences bigint"
-_SCHEMA = pa.schema([("term", pa.string()), ("container", pa.int64()), ("kind", pa.string()), ("bitmap", pa.binary()), ("records", pa.int64()), ("occurrences", pa.int64())])
+_DDL = "term string, container bigint, kind string, bitmap binary, occurrences bigint"
+_SCHEMA = pa.schema([("term", pa.string()), ("container", pa.int64()), ("kind", pa.string()), ("bitmap", pa.binary()), ("occurrences", pa.int64())])
 
 
 def compress(low: np.ndarray) -> tuple[str, bytes]:
@@ -43,83 +44,157 @@ def union(bitmaps: list[tuple[str, bytes]]) -> tuple[str, bytes]:
     return compress(np.flatnonzero(bits))
 
 
-def _cardinality(kind: str, data: bytes) -> int:
-    return len(data) // 2 if kind == "list" else int(np.bitwise_count(np.frombuffer(data, np.uint8)).sum())
+def cardinalities(kinds: pa.ChunkedArray, bitmaps: pa.ChunkedArray) -> np.ndarray:
+    """Number of identifiers of each compressed bitmap."""
+    out = pc.binary_length(bitmaps).to_numpy().astype(np.int64) // 2
+    for i in np.flatnonzero(pc.equal(kinds, "bits").to_numpy()):
+        out[i] = int(np.bitwise_count(np.frombuffer(bitmaps[int(i)].as_py(), np.uint8)).sum())
+    return out
+
 
+def _rows(term: list, container: list, bitmaps: list[tuple[str, bytes]], occurrences: list) -> pa.Table:
+    columns = (term, container, [k for k, _ in bitmaps], [b for _, b in bitmaps], occurrences)
+    return pa.table([pa.array(c, t.type) for c, t in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
-def _containers(keys: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+
+def _containers(group: int, terms: pa.Array, term: np.ndarray, record: np.ndarray, tf: np.ndarray) -> pa.Table:
     """Bitmaps of all terms over the records of one group, and of all records under the null term."""
-    group = keys[0].as_py()
-    chunks = table.column("chunk_id").combine_chunks().dictionary_encode()
-    terms = table.column("term").combine_chunks().dictionary_encode()
-    rank = np.empty(len(chunks.dictionary), np.int64)
-    rank[pc.array_sort_indices(chunks.dictionary).to_numpy()] = np.arange(len(rank))  # identifiers don't depend on the order of rows
-    record = rank[chunks.indices.to_numpy()]
-    term, tf = terms.indices.to_numpy().astype(np.int64), table.column("tf").to_numpy().astype(np.int64)
+    if not len(term):
+        return _SCHEMA.empty_table()
     high = record >> 16
     order = np.lexsort((record, high, term))
     term, record, high, tf = term[order], record[order], high[order], tf[order]
     starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (high[1:] != high[:-1])])
     ends = np.r_[starts[1:], len(term)]
-    count, low = ends - starts, (record & 0xFFFF).astype("<u2")
-    container = group * 65536 + high[starts]
-    out = []
-    small = count <= _ARRAY_MAX
-    if small.any():
-        keep = np.repeat(small, count)
-        offsets = np.r_[0, np.cumsum(count[small])] * 2
-        bitmap = pa.Array.from_buffers(pa.large_binary(), int(small.sum()), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(low[keep].tobytes())]).cast(pa.binary())
-        out.append(pa.table([terms.dictionary.take(pa.array(term[starts][small])), pa.array(container[small]), pa.array(["list"] * int(small.sum())), bitmap, pa.array(count[small]), pa.array(np.add.reduceat(tf, starts)[small])], schema=_SCHEMA))
-    rows = []
-    for i in np.flatnonzero(~small):
-        kind, data = compress(low[starts[i] : ends[i]])
-        rows.append((terms.dictionary[int(term[starts[i]])].as_py(), int(container[i]), kind, data, _cardinality(kind, data), int(tf[starts[i] : ends[i]].sum())))
-    for h in np.unique(high):  # the union over all terms
-        kind, data = compress(np.unique(low[high == h]))
-        rows.append((None, int(group * 65536 + h), kind, data, _cardinality(kind, data), int(tf[high == h].sum())))
-    out.append(pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA))
-    return pa.concat_tables(out)
-
-
-def term_bitmaps(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Vertical index of ``rows`` (term, chunk_id, tf, one per term and chunk): _DDL.
-
-    Chunks are hashed to groups of about CONTAINER_ROWS of ``n_rows`` postings; within a group
-    they get dense identifiers, so that bitmaps stay small and a hot term is cut into one bitmap
-    per group. The row with the null term is the union of all terms of its container.
-    """
-    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CONTAINER_ROWS))
-    return (
-        rows.withColumn("_group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)))
-        .groupBy("_group").applyInArrow(_containers, _DDL)
-    )
+    size, low = ends - starts, (record & 0xFFFF).astype("<u2")
+    container, total = (group << 16) + high[starts], np.add.reduceat(tf, starts)
+    small = size <= _ARRAY_MAX
+    offsets = np.r_[0, np.cumsum(size[small])] * 2
+    bitmap = pa.Array.from_buffers(pa.large_binary(), int(small.sum()), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(low[np.repeat(small, size)].tobytes())]).cast(pa.binary())
+    lists = pa.table([terms.take(pa.array(term[starts][small])), pa.array(container[small]), pa.array(["list"] * int(small.sum()), pa.string()), bitmap, pa.array(total[small])], schema=_SCHEMA)
+    large = np.flatnonzero(~small)
+    sets = _rows([terms[int(term[starts[i]])].as_py() for i in large], container[large].tolist(), [compress(low[starts[i] : ends[i]]) for i in large], total[large].tolist())
+    highs = np.unique(high)  # the union over all terms
+    unions = _rows([None] * len(highs), ((group << 16) + highs).tolist(), [compress(np.unique(low[high == h])) for h in highs], [int(tf[high == h].sum()) for h in highs])
+    return pa.concat_tables([lists, sets, unions])
 
 
-def _merge(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    parts = table.to_pylist()
-    kind, data = union([(p["kind"], p["bitmap"]) for p in parts])
-    row = (parts[0]["term"], parts[0]["container"], kind, data, _cardinality(kind, data), sum(p["occurrences"] for p in parts))
-    return pa.table([pa.array([v], t.type) for v, t in zip(row, _SCHEMA)], schema=_SCHEMA)
+def _cold_containers(keys: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+    rows = fold_group(table)
+    return _containers(keys[0].as_py(), rows.terms, rows.term, rows.chunk, rows.tf)
 
 
-def merge_bitmaps(*indexes: DataFrame) -> DataFrame:
-    """Union of vertical indexes whose containers number the same records alike (e.g. one per batch of terms)."""
+def _hot_containers(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    return _containers(keys[0].as_py(), terms.dictionary, terms.indices.to_numpy().astype(np.int64), table.column("record").to_numpy(), table.column("tf").to_numpy())
+
+
+def term_bitmaps(postings: DataFrame) -> DataFrame:
+    """Vertical index of the rows that count: _DDL.
+
+    The number of a record is its group of chunks (by hash) and its place among the chunks of the group
+    that have rows at all; container is the number without its last 16 bits. Identifiers depend on the
+    set of chunks only, so that indexes over the same chunks (other terms, other times) number them alike
+    and can be merged. Chunks are hashed to groups of about GROUP_ROWS postings: a hot term is one bitmap
+    per group, a hot group (see grouped_rows) is split into buckets of terms. The row with the null term
+    is the union of all terms of a container and bucket.
+    """
+    grouped = grouped_rows(postings)
+    index = grouped.cold.groupBy("_group").applyInArrow(_cold_containers, _DDL)
+    if grouped.hot is not None:
+        numbered = salted_join(grouped.hot, numbers_of(grouped.hot), ["_group", "chunk_id"], "inner", F.xxhash64("term"))
+        bucketed = numbered.withColumn("_bucket", F.pmod(F.xxhash64("term"), F.col("_buckets")).cast("int"))
+        index = index.unionByName(bucketed.select("_group", "_bucket", "term", "record", "tf").groupBy("_group", "_bucket").applyInArrow(_hot_containers, _DDL))
+    return index
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by term and container with the bitmaps of equal ones united; equal ones may lie in several batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        if not table.num_rows:
+            continue
+        codes = pc.fill_null(table.column("term").combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        container = table.column("container").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (container[1:] != container[:-1])])
+        held = table.slice(int(starts[-1]))
+        yield _united(table.slice(0, int(starts[-1])), starts[:-1])
+    if held is not None:
+        yield _united(held, np.zeros(1, np.int64))
+
+
+def _united(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    sizes = np.diff(np.r_[starts, table.num_rows])
+    if (sizes <= 1).all():
+        return table
+    single = table.take(pa.array(starts[sizes == 1]))
+    parts = []
+    for i in np.flatnonzero(sizes > 1):
+        own = table.slice(int(starts[i]), int(sizes[i]))
+        bitmap = union(list(zip(own.column("kind").to_pylist(), own.column("bitmap").to_pylist())))
+        parts.append((int(starts[i]), _rows([own.column("term")[0].as_py()], [own.column("container")[0].as_py()], [bitmap], [sum(own.column("occurrences").to_pylist())])))
+    place = np.r_[starts[sizes == 1], [p for p, _ in parts]]
+    return pa.concat_tables([single, *(t for _, t in parts)]).take(pa.array(np.argsort(place, kind="stable")))
+
+
+def _by_term(*indexes: DataFrame) -> DataFrame:
     both = indexes[0]
     for other in indexes[1:]:
         both = both.unionByName(other)
-    return both.groupBy("term", "container").applyInArrow(_merge, _DDL)
+    return both.repartition("term").sortWithinPartitions("term", "container")
+
+
+def merge_bitmaps(*indexes: DataFrame) -> DataFrame:
+    """Union of vertical indexes that number records alike, one row per term and container: _DDL."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _merged(batches):
+            yield from table.combine_chunks().to_batches()
+
+    return _by_term(*indexes).mapInArrow(run, _DDL)
+
+
+_COUNTS = pa.schema([("term", pa.string()), ("total_tf", pa.int64()), ("df", pa.int64())])
+
+
+def document_frequencies(*indexes: DataFrame) -> DataFrame:
+    """term, total_tf, df of merged indexes: bitmaps of a term and container are united, and df is the cardinality of the
+    bitmaps of all containers. The row of the null term has the number of records."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # the term whose rows may go on, with its counts so far
+        for table in _merged(batches):
+            if not table.num_rows:
+                continue
+            encoded = table.column("term").combine_chunks().dictionary_encode()
+            codes = pc.fill_null(encoded.indices, -1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            terms = [encoded.dictionary[int(c)].as_py() if c >= 0 else None for c in codes[starts]]
+            total = np.add.reduceat(table.column("occurrences").to_numpy(), starts).tolist()
+            df = np.add.reduceat(cardinalities(table.column("kind"), table.column("bitmap")), starts).tolist()
+            if last is not None and last[0] == terms[0]:
+                total[0] += last[1]
+                df[0] += last[2]
+            elif last is not None:
+                terms, total, df = [last[0], *terms], [last[1], *total], [last[2], *df]
+            last = terms.pop(), total.pop(), df.pop()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((terms, total, df), _COUNTS)], schema=_COUNTS)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(last, _COUNTS)], schema=_COUNTS)
+
+    return _by_term(*indexes).mapInArrow(run, "term string, total_tf bigint, df bigint")
 
 
 def term_frequencies(postings: DataFrame, rare: int = 2, common_percent: int = 10) -> DataFrame:
     """term, total_tf, df, n_records, mark for every term of ``postings``.
 
-    df is the cardinality of the term's bitmaps, n_records that of their union. mark: 'rare' if
+    df is the cardinality of the term's bitmaps, n_records that of the union of all. mark: 'rare' if
     df <= ``rare``, 'common' if df is more than ``common_percent`` % of n_records, else null; what
-    is both is rare. Rows that count: see counting_rows. An empty table gives no rows.
+    is both is rare. Rows that count: see folded_rows. An empty table gives no rows.
     """
-    index = cut_lineage(term_bitmaps(counting_rows(postings), postings.count()))
-    total = index.where("term is null").agg(F.sum("records").alias("n_records")).withColumn("_one", F.lit(1))  # one row
-    terms = index.where("term is not null").groupBy("term").agg(F.sum("occurrences").alias("total_tf"), F.sum("records").alias("df"))
+    counts = cut_lineage(document_frequencies(term_bitmaps(postings)))
+    total = counts.where("term is null").select(F.col("df").alias("n_records"), F.lit(1).alias("_one"))  # one row
+    terms = counts.where("term is not null")
     return (
         terms.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
         .withColumn("mark", F.when(F.col("df") <= rare, "rare").when(F.col("df") * 100 > F.col("n_records") * common_percent, "common"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.llm import encode, functions_docs, genfiles, mojibake, packing, splitter, termfreq, tfidf
+from codeloom.llm import encode, functions_docs, genfiles, mojibake, packing, splitter, termfreq, termrows, tfidf
 from codeloom.llm.termrows import counting_rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -161,17 +161,54 @@ def test_no_postings(spark):
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 65535), max_size=50), st.sets(st.integers(0, 65535), max_size=50), st.booleans())
 def test_bitmaps(a, b, dense):
+    import pyarrow as pa
+
     a = a | set(range(0, 10_000)) if dense else a
     x, y = (termfreq.compress(np.array(sorted(s), np.int64)) for s in (a, b))
-    assert set(termfreq.expand(*x).tolist()) == a and termfreq._cardinality(*x) == len(a)
+    assert set(termfreq.expand(*x).tolist()) == a and termfreq.cardinalities(pa.chunked_array([[x[0]]]), pa.chunked_array([[x[1]]], pa.binary())).tolist() == [len(a)]
     assert set(termfreq.expand(*termfreq.union([x, y])).tolist()) == a | b
 
 
 def test_merging_bitmaps(spark):
-    part = lambda ids, n: [("t", 0, *termfreq.compress(np.array(ids)), len(ids), n)]
-    a, b = (spark.createDataFrame(p, termfreq._DDL) for p in (part([1, 2], 5), part([2, 9], 7)))
-    r = termfreq.merge_bitmaps(a, b).first()
-    assert (r.records, r.occurrences, termfreq.expand(r.kind, r.bitmap).tolist()) == (3, 12, [1, 2, 9])
+    row = lambda term, container, ids, n: (term, container, *termfreq.compress(np.array(ids)), n)
+    a = spark.createDataFrame([row("t", 0, [1, 2], 5), row("t", 1, range(5000), 9), row(None, 0, [1, 2], 5)], termfreq._DDL)
+    b = spark.createDataFrame([row("t", 0, [2, 9], 7), row("u", 0, [9], 1), row(None, 0, [9], 8)], termfreq._DDL)
+    got = {(r.term, r.container): (termfreq.expand(r.kind, r.bitmap).tolist(), r.occurrences) for r in termfreq.merge_bitmaps(a, b).collect()}
+    assert got == {("t", 0): ([1, 2, 9], 12), ("t", 1): (list(range(5000)), 9), ("u", 0): ([9], 1), (None, 0): ([1, 2, 9], 13)}
+    assert sorted(map(tuple, termfreq.document_frequencies(a, b).collect()), key=str) == [("t", 21, 5003), ("u", 1, 1), (None, 13, 3)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_merging_over_batches(size):
+    import pyarrow as pa
+
+    rows = [(t, c, *termfreq.compress(np.array(ids)), len(ids)) for t, c, ids in [(None, 0, [1]), (None, 0, [2]), ("a", 0, [1]), ("a", 0, [1, 3]), ("a", 0, [4]), ("a", 1, [4]), ("b", 1, [5])]]
+    batches = [termfreq._rows(*zip(*[(r[0], r[1], (r[2], r[3]), r[4]) for r in rows[i : i + size]])).combine_chunks().to_batches()[0] for i in range(0, len(rows), size)]
+    got = [(r["term"], r["container"], termfreq.expand(r["kind"], r["bitmap"]).tolist(), r["occurrences"]) for t in termfreq._merged(iter(batches)) for r in t.to_pylist()]
+    assert got == [(None, 0, [1, 2], 2), ("a", 0, [1, 3, 4], 4), ("a", 1, [4], 1), ("b", 1, [5], 1)]
+
+
+def test_indexes_over_the_same_chunks_merge(spark, postings):
+    """Two indexes of other terms number the chunks alike if each holds all of them."""
+    both = [r for r in postings if r[0] and r[1]]
+    marks = [("all", f"c{i}", 1, T0, 1, 1.0, 1) for i in range(60)]
+    halves = [spark.createDataFrame([r for r in both if (r[0].strip().lower() < "t3") == side] + marks, POSTINGS) for side in (True, False)]
+    merged = {r.term: (r.total_tf, r.df) for r in termfreq.document_frequencies(*map(termfreq.term_bitmaps, halves)).collect()}
+    whole = {r.term: (r.total_tf, r.df) for r in termfreq.document_frequencies(termfreq.term_bitmaps(spark.createDataFrame(both + marks, POSTINGS))).collect()}
+    assert {t: v for t, v in merged.items() if t not in (None, "all")} == {t: v for t, v in whole.items() if t not in (None, "all")} and merged["all"] == (120, 60) and merged[None][1] == 60
+
+
+def test_hot_chunk(spark, postings, monkeypatch):
+    """A chunk with a third of all rows, many of them repeated, takes the way of hot groups; the results are the same."""
+    rows = [r for r in postings if r[0]] + [(f"T{i % 700}", "Big", 1 + i % 3, T0 + dt.timedelta(days=i % 5), 1, 1.0, 1) for i in range(1500)]
+    table = spark.createDataFrame(rows, POSTINGS)
+    plain = {r.term: tuple(r) for r in termfreq.term_frequencies(table).collect()}, {(r.chunk_id, r.term): tuple(r) for r in tfidf.term_scores(table).collect()}
+    monkeypatch.setattr(termrows, "LEAST_HOT", 300)
+    monkeypatch.setattr(termrows, "HOT_FACTOR", 1)
+    assert termrows.grouped_rows(table).hot.select("chunk_id").distinct().where("chunk_id = 'big'").count() == 1
+    assert termfreq.term_bitmaps(table).where("term is null").count() > 4
+    assert {r.term: tuple(r) for r in termfreq.term_frequencies(table).collect()} == plain[0]
+    assert {(r.chunk_id, r.term): tuple(r) for r in tfidf.term_scores(table).collect()} == plain[1]
 
 
 # -- 6 ---------------------------------------------------------------------------------------------------
