@@ -144,11 +144,11 @@ class Index:
 
     def trace_taint(self, kind: str | None = None, category: str | None = None, max_depth: int = 4, max_flows: int = 100) -> DataFrame:
         calls = self.edges.where("kind = 'calls'").select("src", "dst")
-        return taint.trace(taint.flows(taint.scan(self.chunks), calls, max_depth), kind, category, max_flows)
+        return taint.trace(taint.flows(taint.scan(self.chunks), calls, taint.sanitizing(self.chunks), max_depth), kind, category, max_flows)
 
     def find_tainted_sinks(self, category: str | None = None, reachable_only: bool = False, max_depth: int = 4) -> DataFrame:
         hits = taint.scan(self.chunks)
-        found = taint.tainted_sinks(hits, taint.flows(hits, self.edges.where("kind = 'calls'").select("src", "dst"), max_depth), reachable_only)
+        found = taint.tainted_sinks(hits, taint.flows(hits, self.edges.where("kind = 'calls'").select("src", "dst"), taint.sanitizing(self.chunks), max_depth), reachable_only)
         return found.where(F.col("category") == category) if category else found
 
     def co_changed(self, files: DataFrame, most: int = 5) -> DataFrame:

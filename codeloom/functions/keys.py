@@ -13,9 +13,13 @@ WHITE_SPACE = (
 
 
 def key_form(col: Column | str) -> Column:
-    """Trimmed, lower-case form of a key; null if nothing is left."""
+    """Trimmed, lower-case form of a key; null if nothing is left.
+
+    Most keys begin and end with a visible character of ASCII and need no search for white space.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.nullif(F.lower(F.btrim(col, F.lit(WHITE_SPACE))), F.lit(""))
+    trimmed = F.when(col.rlike(r"(?s)^[!-~](?:.*[!-~])?\z"), col).otherwise(F.btrim(col, F.lit(WHITE_SPACE)))
+    return F.nullif(F.lower(trimmed), F.lit(""))
 
 
 def sql_key_form(col: str) -> str:

@@ -24,6 +24,11 @@ K1, B = 1.5, 0.3
 WINDOW, STRIDE, MAX_WINDOWS = 8000, 7040, 4
 STEM_PREFIX = "~stem~"
 SPLIT = r"[\s\W_]+"
+#: Lines that open a body, leave a function, branch, or call.
+_OPENS = r"[{:]\s*$"
+_LEAVES = r"^\s*(return|throw|raise|yield)\b"
+_BRANCHES = r"^\s*(if |else |for |while |switch |try |catch |finally |return |throw |raise |yield |await )"
+_CALLS = r"[a-zA-Z_]\w*\s*\("
 
 
 def words(text: Column) -> Column:
@@ -141,10 +146,10 @@ def single_type(text: Column) -> Column:
 
 
 def signature_line(code: Column, most: int = 10) -> Column:
-    """The first lines up to one that opens a body or holds an arrow, joined."""
-    lines = F.slice(F.split(F.coalesce(code, F.lit("")), "\n"), 1, most)
-    ends = F.transform(lines, lambda line, i: F.when((i > 0) & (F.rtrim(line).endswith("{") | F.rtrim(line).endswith(":")) | line.contains("=>"), i + 1).otherwise(most))
-    return F.trim(F.array_join(F.slice(lines, 1, F.array_min(ends)), "\n"))
+    """The first lines up to one after the first that opens a body or holds an arrow, as they are; empty for no code."""
+    lines = F.slice(F.split(F.coalesce(code, F.lit("")), "\n", -1), 1, most)
+    ends = F.transform(lines, lambda line, i: F.when((i > 0) & (line.rlike(_OPENS) | line.contains("=>")), i + 1).otherwise(most))
+    return F.array_join(F.slice(lines, 1, F.array_min(ends)), "\n")
 
 
 def skeleton(code: Column, lines: int = 15) -> Column:
@@ -155,12 +160,20 @@ def skeleton(code: Column, lines: int = 15) -> Column:
 
 
 def pruned_body(code: Column, tokens: Column, head: int = 5, tail: int = 3, most: int = 40) -> Column:
-    """First and last lines and those between that hold a query token or leave the function; at most ``most``."""
-    lines = F.split(F.coalesce(code, F.lit("")), "\n")
+    """The first and last lines of a body of more than ``most``, and of those between the ones that hold a query token or leave the function.
+
+    Without such a line the first that branch or call; without those, or without tokens of three
+    characters, the first ``most`` lines with a mark. Empty for no code.
+    """
+    lines = F.split(F.coalesce(code, F.lit("")), "\n", -1)
     n = F.size(lines)
-    useful = F.filter(tokens, lambda t: F.length(t) >= 3)
-    kept = F.filter(lines, lambda line, i: (i < head) | (i >= n - tail) | line.rlike(r"\b(return|throw|raise|yield)\b") | F.exists(useful, lambda t: F.lower(line).contains(t)))
-    return F.when(n <= most, code).otherwise(F.array_join(F.slice(kept, 1, most), "\n"))
+    useful = F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), F.lower)
+    first, last, between = F.slice(lines, 1, head), F.slice(lines, -tail, tail), F.slice(lines, head + 1, F.greatest(n - head - tail, F.lit(0)))
+    relevant = F.filter(between, lambda line: F.lower(line).rlike(_LEAVES) | F.exists(useful, lambda t: F.lower(line).contains(t)))
+    structural = F.slice(F.filter(between, lambda line: F.lower(line).rlike(_BRANCHES) | (line.rlike(_CALLS) & (F.length(F.regexp_replace(line, r"^\s+|\s+$", "")) > 4))), 1, max(4, most - head - tail))
+    cut = F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n// …"))
+    kept = lambda some: F.array_join(F.concat(first, some, last), "\n")
+    return F.when(n <= most, F.coalesce(code, F.lit(""))).when(F.coalesce(F.size(useful), F.lit(0)) <= 0, cut).when(F.size(relevant) > 0, kept(relevant)).when(F.size(structural) > 0, kept(structural)).otherwise(cut)
 
 
 def token_estimate(text: Column) -> Column:
@@ -240,10 +253,10 @@ _STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion",
 
 
 def _shape(word: str) -> str:
-    """The word as v and c; y after a consonant is a vowel."""
+    """The word as v and c; y is a vowel at the start and after a consonant."""
     out = ""
     for c in word:
-        out += "v" if c in "aeiou" or (c == "y" and out.endswith("c")) else "c"
+        out += "v" if c in "aeiou" or (c == "y" and not out.endswith("v")) else "c"
     return out
 
 

@@ -18,6 +18,8 @@ from codeloom.session import cut_lineage
 #: How many candidates a channel passes on, the constant and weights of rank fusion.
 LEXICAL_CAP, VECTOR_CAP, RRF_K = 2000, 200, 60
 LEXICAL_WEIGHT, VECTOR_WEIGHT, NL_VECTOR_WEIGHT, NL_ENRICHED_WEIGHT, SPARSE_WEIGHT = 1.5, 0.7, 0.4, 0.6, 0.2
+#: What a question about styling holds.
+STYLE = r"[.#]|css|scss|stylesheet|selector|\bstyle\b|\bclass\b|color|margin|padding|font|border|background|hover|keyframe|animation|mixin|breakpoint|responsive|\bwidth\b|\bheight\b"
 #: Weights of the learned ranker.
 RANKER = {"rrf": 1.0, "rank": 0.30, "centrality": 0.04, "in_degree": 0.04, "resolved_in": 0.04, "git": 0.03, "is_def": 0.0, "is_test": -0.20}
 
@@ -227,14 +229,16 @@ def fuse(queries: DataFrame, channels: dict[str, DataFrame], chunks: DataFrame,
 
     queries: query_id, text, and optionally exact (a pinned name); channels: lexical, vector, sparse with
     query_id, chunk_id, score, rank. Every factor applies to an addend before the sum. Vector hits in
-    tests and examples are demoted and re-ranked first. Missing chunks are dropped after the cut.
+    tests and examples are demoted and re-ranked first. A re-export is demoted only where its name is
+    defined by another chunk. Hits without a chunk are dropped. ``postings`` give document frequencies,
+    without which no word of a question is rare.
     """
     q = queries if "exact" in queries.columns else queries.withColumn("exact", F.lit(None).cast("string"))
     low = F.lower("text")
     q = q.select(
         "query_id", key_form("exact").alias("exact"), low.alias("q"), T.is_natural_language(F.col("text")).alias("nl"),
         F.filter(F.array_distinct(F.split(low, T.SPLIT)), lambda t: F.length(t) >= 3).alias("tokens"),
-        (F.coalesce(low.rlike("test|spec"), F.lit(False))).alias("asks_tests"),
+        (F.coalesce(low.rlike("test|spec"), F.lit(False))).alias("asks_tests"), (F.col("exact").isNotNull() | F.coalesce(low.rlike(STYLE), F.lit(False))).alias("style"),
     )
     # tokens that are rare enough to boost paths and names
     if postings is not None:
@@ -251,7 +255,9 @@ def fuse(queries: DataFrame, channels: dict[str, DataFrame], chunks: DataFrame,
         q = cut_lineage(q.join(gates, "query_id", "left").withColumn("path_tokens", F.when(F.col("nl"), F.coalesce("rare", F.array().cast("array<string>"))).otherwise(F.col("tokens"))).withColumn("name_tokens", F.coalesce("name_tokens", F.array().cast("array<string>"))))
     else:
         q = q.withColumn("path_tokens", F.col("tokens")).withColumn("name_tokens", F.filter("tokens", lambda t: F.length(t) >= 5))
-    info = chunks.select(F.col("id").alias("chunk_id"), "name", "node_type", "file_path")
+    name_key = key_form("name")
+    info = chunks.select(F.col("id").alias("chunk_id"), "name", "node_type", "file_path", name_key.alias("_key"))
+    defined = info.where("node_type <> 're_export'").select("_key").distinct().withColumn("_defined", F.lit(True))
     weights = {"lexical": F.lit(LEXICAL_WEIGHT), "vector": F.when(F.col("nl"), F.lit(NL_ENRICHED_WEIGHT if enriched else NL_VECTOR_WEIGHT)).otherwise(F.lit(VECTOR_WEIGHT)), "sparse": F.lit(SPARSE_WEIGHT)}
     parts = []
     for name, hits in channels.items():
@@ -264,28 +270,31 @@ def fuse(queries: DataFrame, channels: dict[str, DataFrame], chunks: DataFrame,
     addends = parts[0]
     for p in parts[1:]:
         addends = addends.unionByName(p)
-    j = addends.join(info, "chunk_id", "left").join(q, "query_id")
+    # the bodies of hits that are re-exports meet the definitions; the others don't move
+    j = addends.join(info, "chunk_id").join(q, "query_id")
+    aliases = info.where("node_type = 're_export'").join(defined, "_key").select("chunk_id", "_defined")
+    j = j.join(aliases, "chunk_id", "left")
     path, node, name = F.col("file_path"), F.coalesce("node_type", F.lit("")), F.lower(F.coalesce("name", F.lit("")))
-    path_parts = F.filter(F.split(F.lower(F.coalesce("file_path", F.lit(""))), T.SPLIT), lambda t: F.length(t) >= 3)
+    path_parts = T.raw_tokens(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"[/\-_.]", " "))
     last = F.element_at(F.split(name, r"\."), -1)
-    segments = F.split(name, r"[._]")
+    segments = F.split(name, r"[._]+")
     tail = F.element_at(segments, -1)
-    style = F.col("exact").isNotNull() | F.coalesce(F.col("q").rlike(r"\b(css|style|styles|selector|rule|class)\b"), F.lit(False))
+    synthetic = lambda end: F.coalesce(F.col("name").endswith(end), F.lit(False))
     same = lambda n: F.exists("name_tokens", lambda t: (t == n) | (F.concat(t, F.lit("s")) == n) | (t == F.concat(n, F.lit("s"))))
     factor = (
         F.when(T.is_test_file(path) & ~F.col("asks_tests"), 0.25).otherwise(1.0)
-        * F.when(node.endswith("_rule_set") & ~style, 0.2).otherwise(1.0)
+        * F.when(synthetic("_rule_set") & ~F.col("style"), 0.2).otherwise(1.0)
         * F.when(T.is_example_dir(path), 0.5).otherwise(1.0)
         * F.when(node.isin("expression_statement", "call_expression"), 0.8).otherwise(1.0)
-        * F.when(node.endswith("_export_statement") & F.coalesce(path.endswith(".ts"), F.lit(False)), 0.7).otherwise(1.0)
-        * F.when(node == "re_export", 0.7).otherwise(1.0)
+        * F.when(synthetic("_export_statement") & F.coalesce(path.endswith(".ts"), F.lit(False)), 0.7).otherwise(1.0)
+        * F.when((node == "re_export") & F.coalesce("_defined", F.lit(False)), 0.7).otherwise(1.0)
         * F.when(_matches(path_parts, F.col("path_tokens")), 1.4).when(F.exists("path_tokens", lambda t: (F.length(t) >= 4) & F.exists(path_parts, lambda p: p.startswith(F.substring(t, 1, 5)))), 1.2).otherwise(1.0)
-        * F.when((name == "") | (name == "anonymous"), 1.0).when(same(name) | same(last), 2.0).when((F.size(segments) >= 2) & (F.length(tail) >= 3) & F.array_contains("name_tokens", tail), 1.4).otherwise(1.0)
+        * F.when((name == "") | (F.col("name") == "anonymous"), 1.0).when(same(name) | same(last), 2.0).when((F.size(segments) >= 2) & (F.length(tail) >= 3) & F.array_contains("name_tokens", tail), 1.4).otherwise(1.0)
     )
     boosted = j.select("query_id", "chunk_id", (F.col("addend") * factor).alias("addend"))
     pinned = q.where("exact is not null").select("query_id", "exact").join(chunks.select(F.col("id").alias("chunk_id"), key_form("name").alias("exact")), "exact").select("query_id", "chunk_id", F.lit(1.0 / (k + 1)).alias("addend"))
     total = boosted.unionByName(pinned).groupBy("query_id", "chunk_id").agg(F.round(F.sum("addend"), 9).alias("score"))
-    return ranked(total, top).join(info.select("chunk_id"), "chunk_id", "left_semi")
+    return ranked(total, top)
 
 
 def confidence(results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators.graph import reach
+from codeloom.session import cut_lineage
 
 #: Patterns of untrusted input (pattern, kind) per language family.
 SOURCES = {
@@ -124,28 +125,58 @@ def scan(chunks: DataFrame) -> DataFrame:
     return hits.select("chunk_id", F.col("h.role").alias("role"), name[key].alias("what"), label[key].alias("label"), (F.col("base") + F.col("i")).alias("line"), (F.col("i") * 100 + F.col("h.p")).alias("ord"), F.substring(F.trim("text"), 1, 160).alias("snippet"), "sanitized")
 
 
-def flows(hits: DataFrame, calls: DataFrame, depth: int = 4) -> DataFrame:
+def sanitizing(chunks: DataFrame) -> DataFrame:
+    """chunk_id of the chunks whose code holds something that makes input harmless."""
+    language = T.language_key(F.col("file_path"))
+    found = None
+    for lang, patterns in SANITIZERS.items():
+        any_of = F.col("code_snippet").rlike("|".join(f"(?:{p})" for p in patterns))
+        found = F.when(language == lang, any_of) if found is None else found.when(language == lang, any_of)
+    return chunks.where(found).select(F.col("id").alias("chunk_id"))
+
+
+def flows(hits: DataFrame, calls: DataFrame, clean: DataFrame | None = None, depth: int = 4) -> DataFrame:
     """src, dst, kind, category, label, line, hops, sanitized, confidence: input that may reach a dangerous call.
 
     In one chunk: high, or low if sanitised; over up to ``depth`` calls (src, dst): medium or low. The
     first source of a chunk stands for it; of equal (src, dst, category, line) the first pattern counts.
-    A sanitiser at either end counts.
+    A flow is sanitised if on each of its shortest ways some chunk, its ends included, is one of ``clean``
+    (chunk_id, see :func:`sanitizing`).
+
+    The walk goes backwards from the dangerous calls first, without regard to sources; then forwards
+    from the sources, only over calls from which a dangerous one is within the steps that are left.
     """
     first = Window.partitionBy("chunk_id").orderBy("ord")
     sources = hits.where("role = 'source'").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(F.col("chunk_id").alias("src"), F.col("what").alias("kind"), F.col("sanitized").alias("s1"))
     once = Window.partitionBy("chunk_id", "what", "line").orderBy("ord")
     sinks = hits.where("role = 'sink'").withColumn("_r", F.row_number().over(once)).where("_r = 1").select(F.col("chunk_id").alias("dst"), F.col("what").alias("category"), "label", "line", F.col("sanitized").alias("s2"))
-    ways = reach(calls, sources.select(F.col("src").alias("seed"), F.col("src").alias("node")), depth, per_seed=True).select(F.col("seed").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("hops"))
-    out = ways.join(sinks, "dst").join(sources, "src").withColumn("sanitized", F.col("s1") | F.col("s2"))
+    links = calls.where("src <> dst").select("src", "dst").distinct()
+    left = reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), sinks.select(F.col("dst").alias("node")), depth)
+    useful = cut_lineage(links.join(left.select(F.col("node").alias("dst"), F.col("depth").alias("left")), "dst"))
+    harmless = clean.select(F.col("chunk_id").alias("node"), F.lit(True).alias("_clean")).distinct() if clean is not None else None
+    frontier = cut_lineage(sources.select(F.col("src").alias("seed"), F.col("src").alias("node"), F.lit(0).alias("hops"), (~F.col("s1")).alias("raw")))
+    ways = frontier
+    for step in range(1, depth + 1):
+        ahead = useful.where(F.col("left") <= depth - step).select(F.col("src").alias("node"), "dst")
+        new = frontier.join(ahead, "node").groupBy("seed", F.col("dst").alias("node")).agg(F.max("raw").alias("raw"))
+        new = new.join(ways.select("seed", "node"), ["seed", "node"], "left_anti")
+        if harmless is not None:
+            new = new.join(harmless, "node", "left").withColumn("raw", F.col("raw") & F.col("_clean").isNull()).drop("_clean")
+        frontier = cut_lineage(new.select("seed", "node", F.lit(step).alias("hops"), "raw"))
+        if frontier.isEmpty():
+            break
+        ways = ways.unionByName(frontier)
+    out = ways.select(F.col("seed").alias("src"), F.col("node").alias("dst"), "hops", "raw").join(sinks, "dst").join(sources, "src").withColumn("sanitized", ~F.col("raw") | F.col("s2"))
     return out.select("src", "dst", "kind", "category", "label", "line", "hops", "sanitized", F.when(F.col("sanitized"), "low").when(F.col("hops") == 0, "high").otherwise("medium").alias("confidence"))
 
 
 def trace(found: DataFrame, kind: str | None = None, category: str | None = None, most: int = 100) -> DataFrame:
     """Flows of a kind and category, the worst first; filtered before they are cut."""
     severity = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("category"))
+    sure = F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("confidence"))
     out = found.where(F.col("kind") == kind) if kind else found
     out = out.where(F.col("category") == category) if category else out
-    return out.orderBy(severity, "hops", "src", "dst", "line").limit(most)
+    return out.orderBy(severity, sure, "hops", "src", "dst", "line").limit(most)
 
 
 def tainted_sinks(hits: DataFrame, found: DataFrame, reachable_only: bool = False) -> DataFrame:

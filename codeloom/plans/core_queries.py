@@ -14,7 +14,7 @@ def _statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(_statistics(spark, d), table(spark, d, "postings"), table(spark, d, "call_edges")).select("table_name", "key_value")
+    return skew.heavy_keys(_statistics(spark, d)).select("table_name", "key_value")
 
 
 def p3_key_statistics(spark: SparkSession, d: str) -> DataFrame:

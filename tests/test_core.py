@@ -28,7 +28,7 @@ def test_salted_join_equals_plain_join(spark):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("zz", 4)], "k string, v int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = left.join(right, "k", how)
-        salted = skew.salted_join(left, right, ["k"], how, F.col("i"), hot_keys=2)
+        salted = skew.salted_join(left, right, ["k"], how, F.col("i"), target_rows=20)
         assert sorted(map(str, salted.select(plain.columns).collect())) == sorted(map(str, plain.collect())), how
 
 
@@ -71,8 +71,8 @@ def test_heavy_keys_count_rows_without_a_value(spark):
     p = spark.createDataFrame([("a", "c1", 1)] * 2 + [(None, "c1", 1)] * 98, "term string, chunk_id string, tf int")
     c = spark.createDataFrame([], "callee string, chunk_id string")
     stats = skew.key_statistics(skew.posting_and_call_rows(p, c))
-    assert [(r.table_name, r.key_value) for r in skew.heavy_keys(stats, p, c).collect()] == [("postings", "a")]
-    assert skew.heavy_keys(stats, p, c, 3).count() == 0
+    assert [(r.table_name, r.key_value) for r in skew.heavy_keys(stats).collect()] == [("postings", "a")]
+    assert skew.heavy_keys(stats, 3).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +112,53 @@ def test_orphans_without_parents(spark, parents):
 def test_live_intervals_merge(spark, parents):
     got = orphans.live_intervals(*parents).where("kind = 'id' and key = 'a'").collect()
     assert len(got) == 2  # two versions that touch, and a later one
+
+
+def test_salts_follow_the_count_of_a_key(spark):
+    """One key with 30 % of the rows and 1,000 with 0.07 % each: no task gets more than twice the median."""
+    spread = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 1000).cast("string"))).alias("k"), "id")
+    hot = skew.hot_keys(spread.groupBy("k").count(), 20_000, ["k"], target_rows=500).collect()
+    assert [(r.k, r._salts) for r in hot] == [("hot", 12)]
+    right = spread.select("k").distinct().withColumn("v", F.lit(1))
+    joined = skew.salted_join(spread.repartition(8), right, ["k"], "inner", F.xxhash64("id"), target_rows=500)
+    assert joined.count() == 20_000
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the partitions as they are hashed
+    try:
+        sizes = sorted(r["count"] for r in skew.salted_join(spread, right, ["k"], "inner", F.xxhash64("id"), target_rows=500).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_salted_join_with_counts_and_nothing(spark):
+    left, right = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, i int"), spark.createDataFrame([("a", 9)], "k string, v int")
+    counts = spark.createDataFrame([("a", 2)], "k string, count bigint")
+    assert sorted(r.i for r in skew.salted_join(left, right, ["k"], "left_semi", F.col("i"), counts=counts, target_rows=1).collect()) == [1, 2]
+    assert skew.salted_join(left.limit(0), right, ["k"], "inner", F.col("i")).count() == 0
+
+
+def test_blocks_of_many_codes(spark, monkeypatch):
+    """Tasks hand on their arrays whenever they hold many codes; nothing is lost or counted twice."""
+    monkeypatch.setattr(skew, "MAX_CODES", 10)
+    monkeypatch.setattr(skew, "BLOCK_KEYS", 50)
+    rows = spark.range(3000).select(F.lit("t").alias("table_name"), F.concat(F.lit("k"), (F.col("id") % 300).cast("string")).alias("key_value"), (F.col("id") % 7).cast("string").alias("chunk_id"), F.lit(2).cast("bigint").alias("tf"))
+    got = {r.key_value: (r.n_rows, r.n_chunks, r.total_tf) for r in skew.key_statistics(rows).collect()}
+    assert got == {f"k{i}": (10, 7, 20) for i in range(300)}
+
+
+def test_live_intervals_over_months(spark):
+    chunks = spark.createDataFrame([("x", "N", day(i), day(i + 2)) for i in range(0, 100, 2)] + [("y", "n ", day(200), day(201)), ("z", "N", day(300), None), ("z", "N", day(310), day(320))], "id string, name string, indexed_at timestamp, removed_at timestamp")
+    none = spark.createDataFrame([], "symbol string, origin string")
+    got = sorted((r.s.date(), r.e.date()) for r in orphans.live_intervals(chunks, none).where("kind = 'name' and key = 'n'").collect())
+    assert got == [(day(0).date(), day(100).date()), (day(200).date(), day(201).date()), (day(300).date(), dt.date(9999, 12, 31))]
+
+
+def test_orphans_of_a_hot_callee_without_times(spark, parents, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 5)
+    calls = [(i, "nobody", None) for i in range(40)] + [(100 + i, "foo", day(i)) for i in range(40)]
+    got = {r.row_ord for r in _orphans(spark, parents, calls=calls).collect()}
+    assert got == set(range(40)) | {100 + i for i in range(20, 30)}
