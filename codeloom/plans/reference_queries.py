@@ -148,13 +148,34 @@ def fn_type_tokens(spark, d):
 
 @query(f"""with {CUR}, l as (select id, code_snippet, string_split(coalesce(code_snippet, ''), chr(10)) lines from cur)
 select id, case when len(lines) > 15 then array_to_string(lines[1:15], chr(10)) || chr(10) || '// ... ' || (len(lines) - 15)::varchar || ' more lines' else code_snippet end skeleton,
- (select trim(array_to_string(lines[1:least(10, coalesce(min(i), 10))], chr(10)), ' ') from (select unnest(range(1, least(10, len(lines)) + 1)) i)
-  where (i > 1 and (rtrim(lines[i], ' ') like '%{{' or rtrim(lines[i], ' ') like '%:')) or contains(lines[i], '=>')) signature from l""")
+ (select array_to_string(lines[1:least(10, coalesce(min(i), 10))], chr(10)) from (select unnest(range(1, least(10, len(lines)) + 1)) i)
+  where i > 1 and (regexp_matches(lines[i], '[{{:]\\s*$') or contains(lines[i], '=>'))) signature from l""")
 def fn_signature(spark, d):
     code = F.col("code_snippet")
     return current(spark, d).select("id", T.skeleton(code).alias("skeleton"), T.signature_line(code).alias("signature"))
 
 
+def pruned_sql(code: str, useful: str) -> str:
+    """A body cut to what a query (its lower-case tokens, a list) asks for."""
+    lines = f"string_split(coalesce({code}, ''), chr(10))"
+    between = f"{lines}[6:len({lines}) - 3]"
+    relevant = f"list_filter({between}, lambda l: regexp_matches(lower(l), '^\\s*(return|throw|raise|yield)\\b') or len(list_filter({useful}, lambda u: length(u) >= 3 and contains(lower(l), u))) > 0)"
+    structural = f"list_filter({between}, lambda l: regexp_matches(lower(l), '^\\s*(if |else |for |while |switch |try |catch |finally |return |throw |raise |yield |await )') or (regexp_matches(l, '[a-zA-Z_]\\w*\\s*\\(') and length(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) > 4))[1:32]"
+    cut = f"array_to_string({lines}[1:40], chr(10)) || chr(10) || '// …'"
+    kept = lambda some: f"array_to_string(list_concat(list_concat({lines}[1:5], {some}), {lines}[len({lines}) - 2:]), chr(10))"
+    return f"""(case when len({lines}) <= 40 then coalesce({code}, '') when len(list_filter({useful}, lambda u: length(u) >= 3)) = 0 then {cut}
+      when len({relevant}) > 0 then {kept(relevant)} when len({structural}) > 0 then {kept(structural)} else {cut} end)"""
+
+
+_NAME_TOKENS = tokens_sql("coalesce(name, '')")
+
+
+@query(f"with {CUR} select id, md5({pruned_sql('code_snippet', _NAME_TOKENS)}) by_name, md5({pruned_sql('code_snippet', 'list_value()::varchar[]')}) without_words, md5({pruned_sql('code_snippet', '[chr(113) || chr(113) || chr(113)]')}) by_nothing from cur")
+def fn_pruned_body(spark, d):
+    body = lambda tokens: F.md5(T.pruned_body(F.col("code_snippet"), tokens))
+    return current(spark, d).select("id", body(T.raw_tokens(F.col("name"))).alias("by_name"), body(F.array().cast("array<string>")).alias("without_words"), body(F.array(F.lit("qqq"))).alias("by_nothing"))
+
+
 # -- index and lookups ------------------------------------------------------------------------------
 
 @query(f"with {NAMED} select count(*) n_chunks, count(distinct file_path) n_files, count(distinct name_lower) n_symbols, count(distinct content_hash) n_contents from named")
@@ -224,7 +245,39 @@ def lex_corpus_stats(spark, d):
     return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query()
+def stems_sql(source: str) -> str:
+    """st: term, stem of the distinct terms of a relation that has a column term, where the stem differs. Porter (1980) over a shape of c and v."""
+    shape = "list_reduce(list_prepend('', string_split(w, '')), lambda a, c: a || case when c in ('a', 'e', 'i', 'o', 'u') or (c = 'y' and right(a, 1) <> 'v') then 'v' else 'c' end)"
+    m = lambda sh: f"len(regexp_extract_all({sh}, 'vc'))"
+    less = lambda n, c="w": f"left({c}, length({c}) - {n})"
+    double = "(length(w) > 1 and right(w, 1) = left(right(w, 2), 1) and right(sh, 1) = 'c')"
+    short = lambda w, sh: f"(ends_with({sh}, 'cvc') and right({w}, 1) not in ('w', 'x', 'y'))"
+    hard = f"({double} and right(w, 1) not in ('l', 's', 'z'))"
+
+    def ladder(steps: dict[str, str], least: int) -> str:
+        def one(end: str, new: str) -> str:
+            rest, sh = less(len(end)), less(len(end), "sh")
+            also = f" and right({rest}, 1) in ('s', 't')" if end == "ion" else ""
+            return f"when ends_with(w, '{end}') then case when {m(sh)} > {least}{also} then {rest} || '{new}' else w end"
+
+        return "case " + " ".join(one(e, n) for e, n in steps.items()) + " else w end"
+
+    steps = [
+        f"case when ends_with(w, 'sses') or ends_with(w, 'ies') then {less(2)} when ends_with(w, 's') and not ends_with(w, 'ss') then {less(1)} else w end",
+        f"case when ends_with(w, 'eed') then case when {m(less(3, 'sh'))} > 0 then {less(1)} else w end when ends_with(w, 'ed') and contains({less(2, 'sh')}, 'v') then {less(2)} || '+' when ends_with(w, 'ing') and contains({less(3, 'sh')}, 'v') then {less(3)} || '+' else w end",
+        f"case when not cut then w when ends_with(w, 'at') or ends_with(w, 'bl') or ends_with(w, 'iz') then w || 'e' when {hard} then {less(1)} when {m('sh')} = 1 and {short('w', 'sh')} then w || 'e' else w end",
+        f"case when length(w) > 2 and ends_with(w, 'y') and contains({less(1, 'sh')}, 'v') then {less(1)} || 'i' else w end",
+        ladder(T._STEP2, 0), ladder(T._STEP3, 0), ladder(dict.fromkeys(T._STEP4, ""), 1),
+        f"case when ends_with(w, 'e') and ({m(less(1, 'sh'))} > 1 or ({m(less(1, 'sh'))} = 1 and not {short(less(1), less(1, 'sh'))})) then {less(1)} else w end",
+        f"case when ends_with(w, 'll') and {m('sh')} > 1 then {less(1)} else w end",
+    ]
+    out = [f"s0 as (select term, w, {shape} sh, false cut from (select distinct term, term w from {source} where length(term) > 3 and regexp_full_match(term, '[\\x00-\\x7f]*')))"]
+    for i, step in enumerate(steps, 1):
+        out.append(f"s{i} as (select term, w, {shape} sh, cut from (select term, rtrim(x, '+') w, ends_with(x, '+') cut from (select term, {step} x from s{i - 1})))")
+    return ", ".join(out) + f", st as materialized (select term, '{T.STEM_PREFIX}' || w stem from s{len(steps)} where w <> term and length(w) >= 3)"
+
+
+@query(f"with {POSTINGS}, {stems_sql('p')} select chunk_id, stem term, cast(sum(tf) as bigint) tf from p join st using (term) group by all")
 def lex_stems(spark, d):
     return index.stem_postings(postings(spark, d))
 
@@ -335,10 +388,13 @@ def sparse_expand(spark, d):
     return search.expanded_query(questions(spark, d), _model(spark, d))
 
 
-@query()
+@query(f"""with {POSTINGS}, {_MODEL.removeprefix(CUR + ", ")}, {_EXPANDED}, df as (select term, count(*) df from p group by all),
+sb as (select query_id, chunk_id, round(sum(weight * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.7 + 0.3 * doc_len / avgdl))), 9) score
+  from expanded join p using (term) join df using (term) join lengths using (chunk_id), stats group by all)
+select query_id, chunk_id, round(score, 6) score, row_number() over (partition by query_id order by score desc, chunk_id) "rank" from sb qualify "rank" <= 2000""")
 def sparse_bm25(spark, d):
     added = cut_lineage(search.expanded_query(questions(spark, d), _model(spark, d))).withColumnRenamed("weight", "n")
-    return search.ranked(search.bm25_scores(added, cut_lineage(postings(spark, d))), search.LEXICAL_CAP)
+    return search.ranked(search.bm25_scores(added, cut_lineage(postings(spark, d))), search.LEXICAL_CAP).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -352,12 +408,45 @@ def search_hybrid(spark, d):
     return search.fuse(asked, channels, chunks, terms)
 
 
-@query()
+def fused_sql(asked: str, top: int) -> str:
+    """best: query_id, chunk_id, score, rank of lexical search with stems, fused; after {POSTINGS}. asked: q with query_id, text."""
+    same = lambda n: f"len(list_filter(name_tokens, lambda t: t = {n} or t || 's' = {n} or t = {n} || 's')) > 0"
+    path = tokens_sql("regexp_replace(coalesce(file_path, ''), '[/\\-_.]', ' ', 'g')")
+    return f"""{asked}, qt as materialized (select query_id, term, count(*) n, any_value({nl_sql('"text"')}) nl from (select query_id, "text", unnest({tokens_sql('"text"')}) term from q) group by all),
+spoken as (select term from p union select term from qt), {stems_sql('spoken')},
+held as materialized (select chunk_id, term, tf from p union all select chunk_id, stem, sum(tf) from p join st using (term) group by all),
+ask as (select query_id, term, n from qt union all select query_id, stem, sum(n) from qt join st using (term) where nl group by all),
+df as (select term, count(*) df from held group by all),
+lex as materialized (select query_id, chunk_id, round(sum(n * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.7 + 0.3 * doc_len / avgdl))), 9) score
+  from ask join held using (term) join df using (term) join lengths using (chunk_id), stats group by all),
+hits as materialized (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from lex qualify r <= 2000),
+words as (select query_id, lower("text") q, {nl_sql('"text"')} nl, list_distinct(list_filter(regexp_split_to_array(lower("text"), '[\\s\\W_]+'), lambda t: length(t) >= 3)) tokens from q),
+known as (select query_id, t.term, coalesce(df, 0) df, n_docs from (select query_id, unnest(tokens) term from words) t left join (select term, count(*) df from p group by all) using (term), stats),
+gates as (select query_id, list(term) filter (where ln((n_docs - df + 0.5) / (df + 0.5) + 1) >= ln(greatest(n_docs, 2) / 2)) rare, list(term) filter (where length(term) >= 5 or df <= 0.15 * n_docs) name_tokens from known group by all),
+asking as (select w.query_id, q, case when nl then coalesce(rare, []) else tokens end path_tokens, coalesce(name_tokens, []) name_tokens from words w left join gates using (query_id)),
+met as (select hits.query_id, chunk_id, r, q, path_tokens, name_tokens, file_path, coalesce(node_type, '') node, name, lower(coalesce(name, '')) low, string_split(lower(coalesce(name, '')), '.')[-1] last_part,
+  regexp_split_to_array(lower(coalesce(name, '')), '[._]+') segments, {path} path_parts, exists (select 1 from cur x where {key('x.name')} = {key('cur.name')} and x.node_type <> 're_export') defined
+  from hits join cur on cur.id = chunk_id join asking using (query_id)),
+fused as (select query_id, chunk_id, round(1.5 / (60 + r) * case when regexp_matches(file_path, '{TEST}') and not regexp_matches(q, 'test|spec') then 0.25 else 1 end
+  * case when coalesce(ends_with(name, '_rule_set'), false) and not regexp_matches(q, {_quoted(search.STYLE)}) then 0.2 else 1 end
+  * case when regexp_matches(file_path, '{EXAMPLE}') then 0.5 else 1 end * case when node in ('expression_statement', 'call_expression') then 0.8 else 1 end
+  * case when coalesce(ends_with(name, '_export_statement'), false) and ends_with(file_path, '.ts') then 0.7 else 1 end * case when node = 're_export' and defined then 0.7 else 1 end
+  * case when len(list_intersect(path_tokens, path_parts)) > 0 then 1.4 when len(list_filter(path_tokens, lambda t: length(t) >= 4 and len(list_filter(path_parts, lambda x: starts_with(x, left(t, 5)))) > 0)) > 0 then 1.2 else 1 end
+  * case when low = '' or name = 'anonymous' then 1 when {same('low')} or {same('last_part')} then 2 when len(segments) >= 2 and length(segments[-1]) >= 3 and list_contains(name_tokens, segments[-1]) then 1.4 else 1 end, 9) score from met),
+best as materialized (select *, row_number() over (partition by query_id order by score desc, chunk_id) "rank" from fused qualify "rank" <= {top})"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(f'with {POSTINGS}, {fused_sql(_TITLES, 10)} select query_id, chunk_id, score, "rank", name, file_path, start_line from best join cur on id = chunk_id')
 def search_lexical(spark, d):
     """Flagship: the ten best chunks for each title, fused with boosts, with their place."""
-    chunks = current(spark, d)
+    chunks = cut_lineage(current(spark, d))
     terms = cut_lineage(index.chunk_terms(chunks))
-    found = search.fuse(titles(spark, d), {"lexical": search.lexical_search(titles(spark, d), terms, stems=cut_lineage(index.stem_postings(terms)))}, chunks, terms, top=10)
+    asked = cut_lineage(titles(spark, d))
+    found = search.fuse(asked, {"lexical": search.lexical_search(asked, terms, stems=cut_lineage(index.stem_postings(terms)))}, chunks, terms, top=10)
     return found.join(chunks.select(F.col("id").alias("chunk_id"), "name", "file_path", "start_line"), "chunk_id")
 
 
@@ -460,6 +549,14 @@ def sym_referers(spark, d):
     return graph.referers(current(spark, d), _deps(spark, d))
 
 
+@query(f"""with {_DEFS.replace(CUR, CUR.replace("cur as materialized", "stored as materialized") + ", cur as materialized (select * replace (calls as type_refs, [class_context] as extends) from stored)")}, {_REFERERS}
+select *, case when reason = 'name only' then 'name_only' else 'high' end confidence from referers""")
+def sym_referers_of_calls(spark, d):
+    """The referers of names, with the calls of a chunk in place of its types and its class in place of its bases, which name symbols more often here."""
+    chunks = current(spark, d).withColumn("type_refs", F.col("calls")).withColumn("extends", F.array("class_context"))
+    return graph.referers(cut_lineage(chunks), _deps(spark, d))
+
+
 def _edges_sql(proven: str) -> str:
     return f"""with {_CLASSIFY}, {_REFERERS}, found as (select name, caller, 'calls' kind, case when {proven} then 2 when reason <> 'name only' then 1 else 0 end l from classified
 union all select name, caller, kind, case when reason <> 'name only' then 1 else 0 end from referers)
@@ -539,10 +636,6 @@ def scip_references(spark, d):
 
 # -- taint --------------------------------------------------------------------------------------------
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def _matches_sql(line: str, pattern: str) -> str:
     if "(?<!" in pattern:  # no lookbehind there: take the excluded calls out first
         return f"regexp_matches(regexp_replace({line}, '\\.URL\\.(Query|QueryRow|QueryContext|QueryRowContext)\\s*\\(', ' ', 'g'), {_quoted(pattern.replace('(?<!\\.URL)', ''))})"
@@ -568,21 +661,45 @@ def _call_links(spark, d):
     return edges(spark, d).where("kind = 'calls'").select("src", "dst")
 
 
-_FLOWS = f"""{EDGES}, {_HITS}, sources as materialized (select chunk_id src, what kind, sanitized s1 from hits where role = 'source' qualify row_number() over (partition by chunk_id order by ord) = 1),
-sinks as materialized (select chunk_id dst, what category, label, line, sanitized s2 from hits where role = 'sink' qualify row_number() over (partition by chunk_id, what, line order by ord) = 1),
-walk(src, node, hops) as (select src, src, 0 from sources union select walk.src, e.dst, hops + 1 from walk join e on e.src = walk.node where hops < 4 and e.kind = 'calls'),
-flows as (select src, dst, s.kind, category, label, line, hops, s1 or s2 sanitized from (select src, node dst, min(hops) hops from walk group by all) join sinks using (dst) join sources s using (src))"""
+def _flows_sql(calls: str) -> str:
+    """flows, after calls as links (src, dst)."""
+    return f"""{EDGES}, {_HITS}, {calls}, sources as materialized (select chunk_id src, what kind, sanitized s1 from hits where role = 'source' qualify row_number() over (partition by chunk_id order by ord) = 1),
+sinks as materialized (select chunk_id dst, what category, label, line from hits where role = 'sink' qualify row_number() over (partition by chunk_id, what, line order by ord) = 1),
+harmless as materialized (select distinct id from tl where sanitized),
+walk(src, node, hops, raw) as (select src, src, 0, not s1 from sources union select walk.src, l.dst, hops + 1, raw and l.dst not in (select id from harmless) from walk join links l on l.src = walk.node where hops < 4),
+nearest as (select src, node, min(hops) hops from walk group by all), ways as (select src, node dst, hops, bool_or(raw) raw from walk join nearest using (src, node, hops) group by all),
+flows as (select w.src, w.dst, s.kind, category, label, line, hops, not raw sanitized from ways w join sinks using (dst) join sources s on s.src = w.src)"""
 
 
-@query(f"with recursive {_FLOWS} select *, case when sanitized then 'low' when hops = 0 then 'high' else 'medium' end confidence from flows")
+_EDGE_CALLS = "links as materialized (select distinct src, dst from e where kind = 'calls' and src <> dst)"
+_NAME_CALLS = f"""links as materialized (select distinct c.id src, t.id dst from (select id, {key('x')} n from (select id, unnest(calls) x from cur)) c
+  join (select id, case when {key('name')} <> 'anonymous' then {key('name')} end n from cur) t using (n) where c.id <> t.id)"""
+_CONFIDENCE = "case when sanitized then 'low' when hops = 0 then 'high' else 'medium' end confidence"
+
+
+@query(f"with recursive {_flows_sql(_EDGE_CALLS)} select *, {_CONFIDENCE} from flows")
 def taint_flows(spark, d):
-    return taint.flows(cut_lineage(taint.scan(current(spark, d))), _call_links(spark, d))
+    chunks = cut_lineage(current(spark, d))
+    return taint.flows(cut_lineage(taint.scan(chunks)), _call_links(spark, d), taint.sanitizing(chunks))
+
 
+def name_links(chunks):
+    """Calls resolved by name alone, as an index without a symbol graph has them: src, dst."""
+    named = chunks.select(F.col("id").alias("src"), F.explode("calls").alias("c")).select("src", key_form("c").alias("name")).distinct()
+    return named.join(graph.definitions(chunks).select("name", F.col("def_id").alias("dst")), "name").select("src", "dst").distinct()
 
-@query(f"with recursive {_FLOWS} select category, count(*) n_sinks, count(*) filter (where reached) n_reached from (select distinct h.chunk_id, what category, label, line, exists (select 1 from flows f where f.dst = h.chunk_id and f.category = h.what and f.line = h.line) reached from hits h where role = 'sink') group by all")
+
+@query(f"with recursive {_flows_sql(_NAME_CALLS)} select *, {_CONFIDENCE} from flows")
+def taint_flows_by_name(spark, d):
+    chunks = cut_lineage(current(spark, d))
+    return taint.flows(cut_lineage(taint.scan(chunks)), name_links(chunks), taint.sanitizing(chunks))
+
+
+@query(f"with recursive {_flows_sql(_EDGE_CALLS)} select category, count(*) n_sinks, count(*) filter (where reached) n_reached from (select distinct h.chunk_id, what category, label, line, exists (select 1 from flows f where f.dst = h.chunk_id and f.category = h.what and f.line = h.line) reached from hits h where role = 'sink') group by all")
 def taint_sinks(spark, d):
-    hits = cut_lineage(taint.scan(current(spark, d)))
-    found = taint.tainted_sinks(hits, taint.flows(hits, _call_links(spark, d)))
+    chunks = cut_lineage(current(spark, d))
+    hits = cut_lineage(taint.scan(chunks))
+    found = taint.tainted_sinks(hits, taint.flows(hits, _call_links(spark, d), taint.sanitizing(chunks)))
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_sinks"), F.count(F.when(F.col("reached"), 1)).alias("n_reached"))
 
 
@@ -682,11 +799,25 @@ def extract_chunks(spark, d):
     return extract.extract_chunks(_files(spark, d))
 
 
-@query()
+def _modules(spark, d):
+    """The code of current chunks as files of their own."""
+    return current(spark, d).select(F.concat(F.col("id"), F.lit("/"), F.element_at(F.split("file_path", "/"), -1)).alias("file_path"), F.col("code_snippet").alias("content"))
+
+
+@query(f"""with {CUR}, f as (select id || '/' || string_split(file_path, '/')[-1] file_path, code_snippet content from cur where code_snippet is not null),
+ok as (select *, lower(string_split(file_path, '.')[-1]) ext from f where length(content) <= 500000 and trim(content) <> '' and not regexp_matches(file_path, '\\.bundle\\.|\\.min\\.'))
+select distinct file_path, raw from (select file_path, unnest(case ext when 'py' then list_concat(regexp_extract_all(content, '(?m)^\\s*from\\s+([.\\w]+)\\s+import\\b', 1), regexp_extract_all(content, '(?m)^\\s*import\\s+([\\w.]+)', 1))
+  when 'go' then regexp_extract_all(content, '(?m)^\\s*(?:import\\s+)?(?:[\\w.]+\\s+)?"([\\w./-]+)"\\s*$', 1) when 'java' then regexp_extract_all(content, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.]+)', 1)
+  when 'c' then regexp_extract_all(content, '(?m)^\\s*#include\\s+"([^"]+)"', 1) when 'h' then regexp_extract_all(content, '(?m)^\\s*#include\\s+"([^"]+)"', 1)
+  else case when ext in ('js', 'mjs', 'cjs', 'jsx', 'ts', 'tsx') then list_concat(list_concat(regexp_extract_all(content, '(?m)import\\s+(?:[^''";]*?\\s+from\\s+)?[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(?m)require\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1)), regexp_extract_all(content, '(?m)export\\s+[^''";]*?\\s+from\\s+[''"]([^''"]+)[''"]', 1)) end end) raw from ok)""")
 def extract_imports(spark, d):
-    return extract.extract_imports(_files(spark, d))
+    return extract.extract_imports(_modules(spark, d))
 
 
-@query()
+@query(f"""with {_ROUTES}, r2 as (select row_number() over (order by route_ord) n, * from r where r.method in ('GET', 'POST', 'PUT', 'PATCH', 'DELETE') and path is not null and regexp_full_match(coalesce(handler_name, ''), '[A-Za-z_$][\\w$]*'))
+select r2.method, case when length(rtrim(regexp_replace('/' || path, '/{{2,}}', '/', 'g'), '/')) > 0 then rtrim(regexp_replace('/' || path, '/{{2,}}', '/', 'g'), '/') else '/' end path, handler_name, 'src/route' || route_ord::varchar || '.ts' file_path, 2 line, 'express' framework from r2 where not regexp_matches(path, '[''"`]') and path <> ''""")
 def extract_routes(spark, d):
-    return extract.extract_routes(_files(spark, d))
+    """Declarations written from the routes table and read back."""
+    routes = index.current_routes(table(spark, d, "routes")).where(F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE") & F.col("handler_name").rlike(r"^[A-Za-z_$][\w$]*$") & (F.col("path") != "") & ~F.col("path").rlike("['\"`]"))
+    declared = F.concat(F.lit("// routes\nrouter."), F.lower("method"), F.lit("('"), F.col("path"), F.lit("', "), F.col("handler_name"), F.lit(");\n"))
+    return extract.extract_routes(routes.select(F.concat(F.lit("src/route"), F.col("route_ord").cast("string"), F.lit(".ts")).alias("file_path"), declared.alias("content")))
