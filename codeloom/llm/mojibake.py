@@ -9,10 +9,10 @@ of a lattice that is searched with Viterbi.
 
 from __future__ import annotations
 
-import heapq
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the hashed tables: words and pairs of characters. They don't grow with the corpus.
 WORDS, PAIRS = 1 << 20, 1 << 18
+#: Ways that the searches keep at a place: by last character over bytes, and over letters for a lost one.
+BYTE_BEAM, LETTER_BEAM = 24, 64
 
 #: Encodings in which text was wrongly read, or in which it was written.
 SINGLE = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15", "cp866", "cp852", "mac_cyrillic", "cp1255", "cp1256", "cp874", "cp1258")
@@ -68,9 +70,14 @@ def _to_bytes(text: str, codec: str) -> str | None:
     return text.translate(_TABLES[codec])
 
 
+@lru_cache(maxsize=200_000)
+def _is_odd(c: str) -> bool:
+    return c > "\x7f" and c != LOST and unicodedata.category(c) not in _SANE
+
+
 def _odd(text: str) -> int:
     """Characters that text doesn't hold: control codes, unassigned ones."""
-    return sum(c > "\x7f" and unicodedata.category(c) not in _SANE and c != LOST for c in text)
+    return sum(map(_is_odd, text))
 
 
 def _sane(text: str) -> bool:
@@ -95,24 +102,34 @@ class Source:
     pairs: np.ndarray
     cache: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self._words, self._pairs = array("f", self.words.tolist()), array("f", self.pairs.tolist())  # faster to read one by one
+
     def __getstate__(self) -> dict:
-        return {"words": self.words, "pairs": self.pairs, "cache": {}}
+        return {"words": self.words, "pairs": self.pairs}
+
+    def __setstate__(self, state: dict) -> None:
+        self.words, self.pairs, self.cache = state["words"], state["pairs"], {}
+        self.__post_init__()
+
+    def word(self, token: str) -> float:
+        return self._words[_word_slot(token)]
 
     def pair(self, a: str, b: str) -> float:
-        return float(self.pairs[_pair_slot(a, b)])
+        return self._pairs[_pair_slot(a, b)]
 
     def score(self, token: str) -> float:
         """How usual a token is: the mean over its pairs, and the word itself unless it is of a script without spaces."""
-        pairs = [self.pair(a, b) for a, b in zip(token, token[1:]) if a > "\x7f" or b > "\x7f"]
-        mean = sum(pairs) / len(pairs) if pairs else float(self.words[_word_slot(token)])
+        total, n, last, table = 0.0, 0, 0, self._pairs
+        for c in map(ord, token):
+            if last and (last > 0x7F or c > 0x7F):
+                total += table[(last * 0x9E3779B1 + c * 0x85EBCA6B >> 7) % PAIRS]
+                n += 1
+            last = c
+        mean = total / n if n else self.word(token)
         if len(_CJK.findall(token)) * 2 > len(token):
             return mean
-        return 0.6 * float(self.words[_word_slot(token)]) + 0.4 * mean
-
-    def text_score(self, text: str) -> tuple[float, int]:
-        """Sum of the scores of the tokens of a text, and their number."""
-        scores = [self.score(t) for t in _TOKEN.findall(text)]
-        return sum(scores), len(scores)
+        return 0.6 * self.word(token) + 0.4 * mean
 
 
 def _unquoted(text: str) -> str:
@@ -129,8 +146,7 @@ def train(documents: DataFrame) -> Source:
                 if text and not text.isascii():
                     seen.update(_TOKEN.findall(_unquoted(text)))
             for token, n in seen.items():
-                if len(token) <= 64:
-                    words[_word_slot(token)] += n
+                words[_word_slot(token)] += n
                 for a, b in zip(token, token[1:]):
                     if a > "\x7f" or b > "\x7f":
                         pairs[_pair_slot(a, b)] += n
@@ -165,33 +181,40 @@ def _viterbi_utf8(source: Source, data: list[int | None]) -> tuple[str, int, int
         if held is None or path[0] > held[0]:
             best[at][last] = path
 
+    def steps(i: int, b: int | None) -> list[tuple[int, str, float, int]]:
+        """End, character, cost and whether all of its bytes are there, of the characters that may begin at ``i``."""
+        out = []
+        for n in (1, 2, 3, 4) if b is None else (lengths(b),):
+            part = data[i : i + n]
+            if not n or len(part) < n or (n == 1 and b is None) or sum(x is None for x in part) > 1:
+                continue
+            if None not in part:
+                try:
+                    out.append((i + n, bytes(part).decode(), 0.0, 1))
+                except UnicodeDecodeError:
+                    pass
+                continue
+            hole = part.index(None)
+            rest = [x for x in part if x is not None]
+            if (hole > 0 and lengths(rest[0]) != n) or any(x is not None and not 0x80 <= x < 0xC0 for x in part[1:]):
+                continue
+            for x in range(0x80, 0xC0) if hole else range({2: 0xC2, 3: 0xE0, 4: 0xF0}[n], {2: 0xE0, 3: 0xF0, 4: 0xF5}[n]):
+                try:
+                    c = bytes([x if y is None else y for y in part]).decode()
+                except UnicodeDecodeError:
+                    continue
+                if not _is_odd(c):
+                    out.append((i + n, c, -2.0, 0))
+        return out
+
     for i, b in enumerate(data):
-        for score, text, complete, misfits in sorted(best[i].values(), reverse=True)[:24]:
-            step = lambda c, cost: score + cost + (source.pair(text[-1], c) if text and (c > "\x7f" or text[-1] > "\x7f") else 0.0)
+        paths = sorted(best[i].values(), reverse=True)[:BYTE_BEAM]
+        ahead = steps(i, b) if paths else []
+        for score, text, complete, misfits in paths:
             reach(i + 1, (score - 8.0, text + (LOST if not text.endswith(LOST) else ""), complete, misfits + (b is not None)))
-            for n in (1, 2, 3, 4) if b is None else (lengths(b),):
-                part = data[i : i + n]
-                if not n or len(part) < n or (n == 1 and b is None) or sum(x is None for x in part) > 1:
-                    continue
-                if None not in part:
-                    try:
-                        c = bytes(part).decode()
-                    except UnicodeDecodeError:
-                        continue
-                    reach(i + n, (step(c, 0.0), text + c, complete + 1, misfits))
-                    continue
-                hole = part.index(None)
-                rest = [x for x in part if x is not None]
-                if (hole > 0 and lengths(rest[0]) != n) or any(x is not None and not 0x80 <= x < 0xC0 for x in part[1:]):
-                    continue
-                options = range(0x80, 0xC0) if hole else range({2: 0xC2, 3: 0xE0, 4: 0xF0}[n], {2: 0xE0, 3: 0xF0, 4: 0xF5}[n])
-                for x in options:
-                    try:
-                        c = bytes([x if y is None else y for y in part]).decode()
-                    except UnicodeDecodeError:
-                        continue
-                    if unicodedata.category(c) in _SANE:
-                        reach(i + n, (step(c, -2.0), text + c, complete, misfits))
+            last = text[-1:]
+            for end, c, cost, whole in ahead:
+                reach(end, (score + cost + (source.pair(last, c) if last and (c > "\x7f" or last > "\x7f") else 0.0), text + c, complete + whole, misfits))
     found = max(best[len(data)].values(), default=(0.0, LOST, 0, len(data)))
     return found[1], found[2], found[3]
 
@@ -234,7 +257,12 @@ def _from_utf8(source: Source, token: str, codec: str) -> str | None:
         out, complete, misfits = _viterbi_utf8(source, data)
         return out if complete >= max(1, 2 * misfits) and complete >= lost / 2 and _sane(out) else None
     data = _to_bytes(token, codec)
-    if data is None or not _UTF8.search(data):
+    return None if data is None else _utf8_of(source, token, data)
+
+
+def _utf8_of(source: Source, token: str, data: str) -> str | None:
+    """The token decoded from its bytes (characters below 256, or lost) as UTF-8; null if they aren't."""
+    if not _UTF8.search(data):
         return None
     if LOST in data:
         out, complete, misfits = _viterbi_utf8(source, [None if c == LOST else ord(c) for c in data])
@@ -251,19 +279,14 @@ def _from_utf8(source: Source, token: str, codec: str) -> str | None:
     return out if out != token else None
 
 
-def _from_legacy(token: str, read: str, written: str) -> str | None:
-    """The token if it was written in ``written`` and read in ``read``; null if it wasn't."""
-    data = _to_bytes(token, read)
-    if data is None or LOST in data:
-        return None
+def _legacy_of(data: str, written: str) -> str | None:
+    """Bytes (characters below 256) as text of another encoding than UTF-8; null if they aren't."""
     if written in SINGLE:
-        out = data.translate(_READ[written])
-    else:
-        try:
-            out = data.encode("latin_1").decode(written)
-        except UnicodeDecodeError:
-            return None
-    return out if out != token and _sane(out) else None
+        return data.translate(_READ[written])
+    try:
+        return data.encode("latin_1").decode(written)
+    except UnicodeDecodeError:
+        return None
 
 
 @lru_cache(maxsize=1)
@@ -278,40 +301,51 @@ _LEAST = {"utf_8": -1.0}
 _LEGACY_LEAST, _LEGACY_MEAN = 10.0, 2.0
 
 
-def _readings(source: Source, token: str) -> dict[tuple[str, str], tuple[str, float]]:
-    """What each channel makes of a token, and the score won."""
+#: What each channel makes of a token and the score won, and a bound of what any channel can win (infinite if it was UTF-8).
+Readings = tuple[dict[tuple[str, str], tuple[str, float]], float]
+
+
+def _readings(source: Source, token: str) -> Readings:
+    """What each channel makes of a token. Wrong readings that give the same bytes are decoded once."""
     if (held := source.cache.get(token)) is not None:
         return held
-    out: dict[tuple[str, str], tuple[str, float]] = {}
-    own = source.score(token)
-    made: dict[str, float] = {}
+    own, odd = source.score(token), _odd(token)
+    scores: dict[str, float] = {}
+    won: dict[tuple[str, str], tuple[str, float]] = {}
+
+    def note(channel: tuple[str, str], text: str) -> None:
+        if text not in scores:
+            scores[text] = (source.score(text) if not text.isascii() else own - 1) - own
+        if scores[text] > (_LEAST["utf_8"] if channel[1] == "utf_8" else 0.0):
+            won[channel] = text, scores[text]
+
     beyond = {c for c in token if c > "\x7f"}
-    possible = {c for c in SINGLE if beyond <= _CHARS[c]} | (set(WIDE) if _CJK.search(token) else set())
-    for channel in _channels():
-        read, written = channel
-        if read not in possible:
-            continue
-        if written == "utf_8":
-            text = _from_utf8(source, token, read)
-            for _ in range(3):  # read wrongly more than once
-                if text is None or LOST in text or (again := _from_utf8(source, text, read)) is None:
-                    break
-                text = again
-            if text is not None and _odd(text) > _odd(token):
-                text = None
-        else:
-            text = _from_legacy(token, read, written)
-        if text is not None:
-            if text not in made:
-                made[text] = source.score(text) if not text.isascii() else own - 1
-            gain = made[text] - own
-            if gain > (_LEAST["utf_8"] if written == "utf_8" else 0.0):
-                out[channel] = text, gain
-    if len(token) <= 64:
-        if len(source.cache) > 100_000:
-            source.cache.clear()
-        source.cache[token] = out
-    return out
+    by_data: dict[str, list[str]] = {}
+    for read in SINGLE:
+        if beyond <= _CHARS[read]:
+            by_data.setdefault(token.translate(_TABLES[read]), []).append(read)
+    utf8 = [(read, _utf8_of(source, token, data)) for data, reads in by_data.items() if _UTF8.search(data) for read in reads]
+    if _CJK.search(token):
+        utf8 += [(read, _from_utf8(source, token, read)) for read in WIDE]
+    for read, text in utf8:
+        for _ in range(3):  # read wrongly more than once
+            if text is None or LOST in text or (again := _from_utf8(source, text, read)) is None:
+                break
+            text = again
+        if text is not None and _odd(text) <= odd:
+            note((read, "utf_8"), text)
+    for data, reads in by_data.items():
+        for written in (*SINGLE, *WRITTEN_WIDE) if LOST not in data else ():
+            own_reads = [r for r in reads if r in (READ_AS if written in SINGLE else ("cp1252", "latin_1")) and r != written]
+            if own_reads and (text := _legacy_of(data, written)) is not None and text != token and _sane(text):
+                for read in own_reads:
+                    note((read, written), text)
+    found = {c: won[c] for c in _channels() if c in won} if won else won
+    bound = np.inf if any(c[1] == "utf_8" for c in found) else max((g for _, g in found.values()), default=0.0)
+    if len(source.cache) > 100_000:
+        source.cache.clear()
+    source.cache[token] = found, bound
+    return found, bound
 
 
 def _restore_once(source: Source, line: str) -> tuple[str, tuple[str, str]] | None:
@@ -321,9 +355,11 @@ def _restore_once(source: Source, line: str) -> tuple[str, tuple[str, str]] | No
     if not tokens:
         return None
     readings = [_readings(source, m.group()) for m in tokens]
+    weights = [max(1.0, len(m.group()) / 12) for m in tokens]  # text without spaces comes as few long tokens
+    if sum(bound * weight for (_, bound), weight in zip(readings, weights)) < _LEGACY_LEAST:
+        return None  # as for nearly all clean lines: no channel can win enough
     won: dict[tuple[str, str], list[float]] = {}
-    for m, found in zip(tokens, readings):
-        weight = max(1.0, len(m.group()) / 12)  # text without spaces comes as few long tokens
+    for (found, _), weight in zip(readings, weights):
         for channel, (_, gain) in found.items():
             won.setdefault(channel, []).append(gain * weight)
     best, best_value = None, 0.0
@@ -340,7 +376,7 @@ def _restore_once(source: Source, line: str) -> tuple[str, tuple[str, str]] | No
     if best is None:
         return None
     out, at = [], 0
-    for m, found in zip(tokens, readings):
+    for m, (found, _) in zip(tokens, readings):
         out.append(line[at : m.start()])
         out.append(found.get(best, (m.group(), 0.0))[0])
         at = m.end()
@@ -348,10 +384,21 @@ def _restore_once(source: Source, line: str) -> tuple[str, tuple[str, str]] | No
     return "".join(out), best
 
 
-_LETTERS = "".join(sorted({c for codec in ("cp1252", "cp1250", "cp1254", "cp1257") for b in range(0x80, 0x100) if (c := bytes([b]).decode(codec, "ignore")) and (c.isalpha() or c in "‘’“”–—…€£¢§©®™°±µ·¹²³«»¡¿")}))
+_LETTERS = "".join(sorted({c for codec in ("cp1252", "cp1250", "cp1254", "cp1257") for b in range(0x80, 0x100) if (c := bytes([b]).decode(codec, "ignore")) and (c.isalpha() or c in "‘’“”–—…€£¢§©®™°±µ·¹²³«»¡¿")}, reverse=True))
 _HOLED = re.compile(r"[^\s!-&(-/:-@\[-`{-~]*�[^\s!-&(-/:-@\[-`{-~]*")
 
 
+_BEYOND = np.array([c > "\x7f" for c in _LETTERS])
+
+
+def _after(source: Source, last: str) -> np.ndarray:
+    """Scores of all letters after a character."""
+    if (held := source.cache.get((last, None))) is None:
+        row = source.pairs[[_pair_slot(last, c) for c in _LETTERS]] if last else np.zeros(len(_LETTERS), np.float32)
+        held = source.cache[(last, None)] = row if last > "\x7f" else np.where(_BEYOND, row, 0.0)
+    return held
+
+
 def _fill(source: Source, line: str) -> str:
     """The line with lost single characters filled in, where a known word fits."""
     def fill(m: re.Match[str]) -> str:
@@ -360,17 +407,16 @@ def _fill(source: Source, line: str) -> str:
             return held
         beam: list[tuple[float, str]] = [(0.0, "")]
         for i, c in enumerate(word):
+            if c != LOST:
+                beam = [(s + (source.pair(t[-1], c) if t and (c > "\x7f" or t[-1] > "\x7f") else 0.0), t + c) for s, t in beam]
+                continue
             nxt = word[i + 1] if i + 1 < len(word) else ""
-            grown = []
-            for score, text in beam:
-                for o in _LETTERS if c == LOST else c:
-                    s = score + (source.pair(text[-1], o) if text and (o > "\x7f" or text[-1] > "\x7f") else 0.0)
-                    if c == LOST and nxt and nxt != LOST:
-                        s += 0.5 * source.pair(o, nxt)
-                    grown.append((s, text + o))
-            beam = heapq.nlargest(64, grown)
-        best = max(beam, key=lambda b: (float(source.words[_word_slot(b[1])]), b[0]))
-        out = source.cache[(word,)] = best[1] if float(source.words[_word_slot(best[1])]) > 0 else word
+            before = np.array([0.5 * source.pair(o, nxt) for o in _LETTERS]) if nxt and nxt != LOST else 0.0
+            grown = np.array([s for s, _ in beam])[:, None] + np.array([_after(source, t[-1:]) for _, t in beam]) + before
+            best = np.argsort(-grown, axis=None, kind="stable")[:LETTER_BEAM]
+            beam = [(float(grown.flat[k]), beam[k // len(_LETTERS)][1] + _LETTERS[k % len(_LETTERS)]) for k in best]
+        best = max(beam, key=lambda b: (source.word(b[1]), b[0]))
+        out = source.cache[(word,)] = best[1] if source.word(best[1]) > 0 else word
         return out
 
     return _HOLED.sub(fill, line)
@@ -425,3 +471,40 @@ def garbled_documents(documents: DataFrame, source: Source | None = None) -> Dat
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_DDL}")
+
+
+#: Known ways of garbling (written in, read as), by which restoring is measured.
+KNOWN = (("utf_8", "cp1252"), ("utf_8", "latin_1"), ("utf_8", "mac_roman"), ("utf_8", "cp1251"), ("utf_8", "gbk"), ("utf_8", "cp932"), ("cp1251", "latin_1"), ("cp1252", "utf_8"), ("iso8859_2", "cp1252"), ("euc_jp", "latin_1"))
+_MEASURE_DDL = "channel string, found int, exact int, lines int, exact_lines int"
+
+
+def measured_restoration(documents: DataFrame, source: Source | None = None) -> DataFrame:
+    """channel, n_docs, n_found, n_exact, n_lines, n_exact_lines: clean documents garbled in known ways, and what restoring makes of them.
+
+    Each clean document with a character beyond ASCII takes one of KNOWN by its doc_id; what the encoding
+    can't hold leaves it out. Lines are those with a character beyond ASCII. Bytes that the reading has no
+    character for are lost, so that not all can come back.
+    """
+    source = source or train(documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if not text or text.isascii() or restore(source, text)[1]:
+                    continue
+                written, read = KNOWN[(i or 0) % len(KNOWN)]
+                try:
+                    bad = text.encode(written).decode(read, "replace")
+                except UnicodeEncodeError:
+                    continue
+                if bad != text:
+                    back, found, _, _ = restore(source, bad)
+                    lines = [x for x in text.split("\n") if not x.isascii()]
+                    held = Counter((back or "").split("\n"))
+                    rows.append((f"{written} as {read}", int(found > 0), int(back == text), len(lines), sum((Counter(lines) & held).values())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), *[pa.int32()] * 4))], ["channel", "found", "exact", "lines", "exact_lines"])
+
+    per = documents.select("doc_id", "text").mapInArrow(run, _MEASURE_DDL)
+    return per.groupBy("channel").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("found").alias("n_found"), F.sum("exact").alias("n_exact"), F.sum("lines").alias("n_lines"), F.sum("exact_lines").alias("n_exact_lines"))

@@ -94,6 +94,11 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, d, "documents"))
 
 
+def p10_restoration(spark: SparkSession, d: str) -> DataFrame:
+    """How much of clean documents, garbled in known ways, is restored."""
+    return mojibake.measured_restoration(table(spark, d, "documents"))
+
+
 _COUNTING = f"""counting as (
   select term, chunk_id, tf from (
     select *, row_number() over (partition by term, chunk_id order by indexed_at desc nulls last, tf desc nulls last) r
@@ -104,7 +109,7 @@ n as (select count(distinct chunk_id) n_records from counting),
 freq as (select term, cast(sum(tf) as bigint) total_tf, count(*) df from counting group by term)"""
 _MARK = "case when df <= 2 then 'rare' when df * 100 > n_records * 10 then 'common' end"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p6_validation, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_documented_functions, p2_found, p2_pieces, p2_rejoined, p5_found, p5_term_frequencies, p6_found, p6_not_hand_written, p6_validation, p7_found, p7_term_scores, p8_ids, p8_decoded, p9_containers, p9_fill, p10_found, p10_restored, p10_restoration)}
 
 SQL = {
     "p2_found": "select distinct id chunk_id from chunks where removed_at is null and length(code_snippet) > 3000",

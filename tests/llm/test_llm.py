@@ -378,3 +378,11 @@ def test_garbled_documents(spark):
     got = mojibake.garbled_documents(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("restored", F.lit(1)))
     assert [r.doc_id for r in got.collect()] == [1000]
     assert mojibake.garbled_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_measured_restoration(spark):
+    docs = spark.createDataFrame([(i, CLEAN[i % 3]) for i in range(60)] + [(1000, None), (1001, "plain"), (1002, CLEAN[0].encode().decode("latin-1"))], "doc_id bigint, text string")
+    got = {r.channel: r for r in mojibake.measured_restoration(docs).collect()}
+    assert got["utf_8 as latin_1"].n_exact == got["utf_8 as latin_1"].n_docs == got["utf_8 as latin_1"].n_found > 0
+    assert sum(r.n_docs for r in got.values()) <= 60 and all(r.n_exact_lines <= r.n_lines for r in got.values())
+    assert mojibake.measured_restoration(docs.limit(0)).count() == 0
