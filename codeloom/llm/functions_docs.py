@@ -16,117 +16,304 @@ from pyspark.sql import functions as F
 
 # -- islands ----------------------------------------------------------------------------------
 
-_C_ISLAND = re.compile(
-    r"//[^\n\r]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n\r])*\"|'(?:\\.|[^'\\\n\r])*'|`(?:\\.|[^`\\])*`", re.S
-)
+_STRINGS = r"\"(?:\\.|[^\"\\\n\r])*\"|'(?:\\.|[^'\\\n\r])*'"
+_C_COMMENTS = r"//[^\n\r]*|/\*.*?(?:\*/|\Z)"
+_C_ISLAND = re.compile(rf"{_C_COMMENTS}|{_STRINGS}|`(?:\\.|[^`\\])*`", re.S)
+_RUST_ISLAND = re.compile(rf"{_C_COMMENTS}|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n\r])'", re.S)  # a lone quote begins a lifetime
+_HASH_ISLAND = re.compile(rf"{_C_COMMENTS}|#(?!\[)[^\n\r]*|{_STRINGS}", re.S)
+_RUBY_ISLAND = re.compile(rf"#(?!\{{)[^\n\r]*|{_STRINGS}")
 _PY_ISLAND = re.compile(
     r"#[^\n\r]*|\"\"\"(?:\\.|.)*?(?:\"\"\"|\Z)|'''(?:\\.|.)*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n\r])*\"|'(?:\\.|[^'\\\n\r])*'"
     r"|(?<![\w.])(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]\n]*\])?\(", re.S
 )
 _PY_DOCSTRING = re.compile(r"[^\S\n\r]*(?:#[^\n\r]*)?(?:\s*(?:#[^\n\r]*[\n\r])?)*?\s*[rRuU]?(\"\"\"(?P<a>(?:\\.|.)*?)\"\"\"|'''(?P<b>(?:\\.|.)*?)'''|\"(?P<c>(?:\\.|[^\"\\\n\r])*)\"(?!\")|'(?P<d>(?:\\.|[^'\\\n\r])*)'(?!'))\s*?(?:[\n\r;#]|\Z)", re.S)
 _GAP = re.compile(r"[^\S\n\r]*(?:\r\n|\n|\r)?[^\S\n\r]*\Z")
-_ANNOTATION = re.compile(r"\s*@(?!interface\b)[\w.]+")
 _SPACE = re.compile(r"\s*")
 
 _CONTROL = frozenset("if for while switch catch with do else return throw new await yield typeof delete case in of super function sizeof assert synchronized using lock defer go select elif except raise and or not".split())
+_NOT_TYPED = frozenset("class interface enum struct union record typedef return throw new else if for while switch do case goto import package define namespace using delegate event".split())
 
-_JS_FUNCTION = re.compile(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*([\w$]+)?\s*(?:<[^()]*?>\s*)?(?=\()")
+_JS_FUNCTION = re.compile(r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*([\w$]+)?")
 _JS_BOUND = re.compile(
-    r"(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+([\w$]+)\s*(?::[^=;{}]*?)?|(?:(?:public|private|protected|static|readonly)\s+)*([\w$#]+)\s*(?::[^=;{}()]*?)?|(?:[\w$]+\.)+([\w$]+))\s*[=:]\s*(?:async\s+)?"
-    r"(?:function\b\s*\*?\s*[\w$]*\s*(?=\()|(?P<arrow>(?:<[^()]*?>\s*)?(?=\())|[\w$]+\s*(?P<bare>=>))"
+    r"(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+([\w$]+)\s*(?::(?:[^=;{}]|=>)*?)?|(?:(?:public|private|protected|static|readonly)\s+)*([\w$#]+)\s*(?::(?:[^=;{}()]|=>)*?)?|(?:[\w$]+\.)+([\w$]+))\s*[=:](?![=>])\s*(?:async\s+)?"
+    r"(?:(?P<function>function\b\s*\*?\s*[\w$]*)|(?P<bare>[\w$]+\s*=>)|(?P<arrow>(?=[<(])))"
 )
-_JS_DEFAULT_ARROW = re.compile(r"export\s+default\s+(?:async\s+)?(?=\()")
-_JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*\*?\s*(#?[\w$]+|\[[^\]\n]*\])\s*(?:<[^()]*?>\s*)?(?=\()")
-_JS_BODY = re.compile(r"\s*(?::\s*[^{};=]+?)?\s*\{")
-_JS_ARROW_BODY = re.compile(r"\s*(?::\s*[^{};=]+?)?\s*=>")
+_JS_DEFAULT_ARROW = re.compile(r"export\s+default\s+(?:async\s+)?(?=[<(])")
+_JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*\*?\s*(#?[\w$]+|\[[^\]\n]*\])")
 _GO_FUNCTION = re.compile(r"func\s+(?:\([^()]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?(?=\()")
 _GO_BODY = re.compile(r"[^\S\n\r]*(?:\([^{}]*?\)|[^{}()\n\r;]*|[^{}\n\r;]*?)[^\S\n\r]*\{")
-_TYPED_FUNCTION = re.compile(r"((?:[A-Za-z_][\w.<>\[\],?&:]*|\*)(?:[\s*&]+[A-Za-z_][\w.<>\[\],?&:]*)*?[\s*&]+)?([A-Za-z_]\w*)\s*(?=\()")
-_TYPED_BODY = re.compile(r"\s*(?:throws\s+[\w.,\s]+?|const|noexcept|__attribute__\s*\(\(.*?\)\))*\s*\{")
-_NOT_TYPED = frozenset("class interface enum struct union record typedef return throw new else if for while switch do case goto import package define".split())
-
-_PARENS = re.compile(r"[()]|\"(?:\\.|[^\"\\\n\r])*\"|'(?:\\.|[^'\\\n\r])*'|`(?:\\.|[^`\\])*`|//[^\n\r]*|/\*.*?\*/", re.S)
-_BRACES = re.compile(r"[{}]|\"(?:\\.|[^\"\\\n\r])*\"|'(?:\\.|[^'\\\n\r])*'|`(?:\\.|[^`\\])*`|//[^\n\r]*|/\*.*?\*/", re.S)
-
-JS, GO, TYPED, PYTHON = "js", "go", "typed", "python"
+_RUST_FUNCTION = re.compile(r"(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)")
+_PHP_FUNCTION = re.compile(r"(?:(?:public|private|protected|static|final|abstract|readonly)\s+)*function\s+&?\s*(\w+)", re.I)
+_KOTLIN_FUNCTION = re.compile(r"(?:(?:public|private|protected|internal|open|override|abstract|final|suspend|inline|operator|infix|tailrec|external|actual|expect)\s+)*fun\b\s*")
+_KOTLIN_NAME = re.compile(r"(?:[\w?]+(?:<[^()]*?>)?\??\.)*(\w+|`[^`\n]+`)")
+_SWIFT_FUNCTION = re.compile(r"(?:(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|convenience|required|async|nonisolated)(?:\(\w+\))?\s+)*(?:func\s+([\w]+|[-+*/%<>=!&|^~]+)|(init)[?!]?(?=\s*[(<]))")
+_RUBY_FUNCTION = re.compile(r"(?:(?:private|protected|public|module_function|private_class_method)\s+)?def\s+(?:(?:self|[A-Z]\w*)\.)?([\w]+[?!=]?|[-+*/%<>=!~\[\]]+)")
+
+JS, GO, TYPED, PYTHON, RUST, PHP, KOTLIN, SWIFT, RUBY = "js", "go", "typed", "python", "rust", "php", "kotlin", "swift", "ruby"
 #: The grammar for each file extension.
-LANGUAGES = {"ts": JS, "tsx": JS, "js": JS, "jsx": JS, "mjs": JS, "cjs": JS, "mts": JS, "cts": JS, "go": GO, "java": TYPED, "c": TYPED, "h": TYPED, "cc": TYPED, "cpp": TYPED, "hpp": TYPED, "py": PYTHON, "pyi": PYTHON}
-
-
-def _balanced(code: str, at: int, opening: str = "(") -> int:
-    """Position after the bracket that closes the one at ``at``; -1 if it stays open."""
+LANGUAGES = {
+    "ts": JS, "tsx": JS, "js": JS, "jsx": JS, "mjs": JS, "cjs": JS, "mts": JS, "cts": JS, "go": GO, "java": TYPED, "c": TYPED, "h": TYPED, "cc": TYPED, "cpp": TYPED, "cxx": TYPED, "hpp": TYPED, "hh": TYPED, "cs": TYPED,
+    "py": PYTHON, "pyi": PYTHON, "rs": RUST, "php": PHP, "kt": KOTLIN, "kts": KOTLIN, "swift": SWIFT, "rb": RUBY,
+}
+_ISLANDS = {RUST: _RUST_ISLAND, PHP: _HASH_ISLAND, RUBY: _RUBY_ISLAND}
+
+_BRACKETS = {
+    "c": re.compile(rf"[()\[\]{{}}]|{_STRINGS}|`(?:\\.|[^`\\])*`|//[^\n\r]*|/\*.*?\*/", re.S),
+    RUST: re.compile(r"[()\[\]{}]|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n\r])'|//[^\n\r]*|/\*.*?\*/", re.S),
+    PYTHON: re.compile(rf"[()\[\]{{}}]|\"\"\".*?\"\"\"|'''.*?'''|{_STRINGS}|#[^\n\r]*", re.S),
+}
+_RUST_STRINGS = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n\r])'"
+_ANGLES = {k: re.compile(rf"[<>(){{}};]|=>|->|{strings}", re.S) for k, strings in (("c", _STRINGS), (RUST, _RUST_STRINGS))}
+_TYPE_PART = {k: re.compile(rf"[()\[\]{{}}<>;\n\r]|=>|->|{strings}|[^\s()\[\]{{}}<>;=\"-]+|[=-]", re.S) for k, strings in (("c", _STRINGS), (RUST, _RUST_STRINGS))}
+_ANNOTATION = re.compile(r"\s*(?:@(?!interface\b)[\w.:]+|(?=#?!?\[))")
+
+
+def _balanced(code: str, at: int, language: str = "c") -> int:
+    """Position after the bracket that closes the one at ``at``; -1 if it stays open or is closed by another kind."""
+    opening = code[at]
+    closing = {"(": ")", "[": "]", "{": "}"}[opening]
     depth = 0
-    for m in (_PARENS if opening == "(" else _BRACES).finditer(code, at):
+    for m in _BRACKETS.get(language, _BRACKETS["c"]).finditer(code, at):
         c = m.group()
         if c == opening:
             depth += 1
-        elif c in ")}":
+        elif c == closing:
             depth -= 1
             if depth == 0:
                 return m.end()
     return -1
 
 
-def _skip_annotations(code: str, at: int) -> int:
-    while m := _ANNOTATION.match(code, at):
+def _angles(code: str, at: int, language: str = "c") -> int:
+    """Position after the ``>`` that closes the ``<`` at ``at``; arrows don't close, brackets are skipped; -1 if it stays open."""
+    depth = 0
+    while m := _ANGLES.get(language, _ANGLES["c"]).search(code, at):
+        c = m.group()
         at = m.end()
-        if code[at : at + 1] == "(":
-            if (at := _balanced(code, at)) < 0:
+        if c == "<":
+            depth += 1
+        elif c == ">":
+            depth -= 1
+            if depth == 0:
+                return at
+        elif c in "({":
+            if (at := _balanced(code, m.start(), language)) < 0:
+                return -1
+        elif c in ")};":
+            return -1
+    return -1
+
+
+def _skip_annotations(code: str, at: int, brackets: bool = False) -> int:
+    """Position after annotations: @name(...), and, with ``brackets``, [...] or #[...]."""
+    while m := _ANNOTATION.match(code, at):
+        end = m.end()
+        if code[m.start() : end].strip():
+            at = end
+            if code[at : at + 1] == "(" and (at := _balanced(code, at)) < 0:
                 return len(code)
+            continue
+        opening = code.find("[", end)
+        if not brackets or (at := _balanced(code, opening)) < 0:
+            at = end
+            break
     return _SPACE.match(code, at).end()
 
 
+def _parameters(code: str, at: int, language: str = "c") -> int:
+    """Position after a list of parameters, type parameters first; -1 if there is none."""
+    at = _SPACE.match(code, at).end()
+    if code[at : at + 1] == "<":
+        if (at := _angles(code, at, language)) < 0:
+            return -1
+        at = _SPACE.match(code, at).end()
+    return _balanced(code, at, language) if code[at : at + 1] == "(" else -1
+
+
+def _type_end(code: str, at: int, stops: tuple[str, ...], language: str = "c") -> tuple[str, int]:
+    """What ends the type (or clause) at ``at``, one of ``stops`` outside brackets, and the position after it; '' if something else does."""
+    filled, needed = False, True
+    while m := _TYPE_PART.get(language, _TYPE_PART["c"]).search(code, at):
+        c, start = m.group(), m.start()
+        at = m.end()
+        if c in stops and not (c == "{" and needed and "where" not in stops) and not (c == "=>" and not filled):
+            return c, at
+        if c in ";" or c in ")]}":
+            return "", at
+        if c in "\n\r":
+            if "\n" in stops and filled:
+                return "\n", at
+            continue
+        if c == "<":
+            if (at := _angles(code, start, language)) < 0:
+                return "", len(code)
+        elif c in "([{":
+            if (at := _balanced(code, start, language)) < 0:
+                return "", len(code)
+        filled, needed = True, c in ("|", "&", "=>", "->", ":", ",", "=", "extends", "keyof", "typeof", "is")
+    return "", len(code)
+
+
+def _js_body(code: str, at: int, arrow: bool) -> int:
+    """Position after what opens the body behind a list of parameters; -1 if none follows."""
+    at = _SPACE.match(code, at).end()
+    opening = "=>" if arrow else "{"
+    if code.startswith(opening, at):
+        return at + len(opening)
+    if code[at : at + 1] != ":":
+        return -1
+    found, end = _type_end(code, at + 1, (opening,))
+    return end if found else -1
+
+
+def _js_signature(code: str, at: int) -> tuple[str | None, int] | None:
+    for pattern in (_JS_FUNCTION, _JS_BOUND, _JS_DEFAULT_ARROW, _JS_METHOD):
+        if not (m := pattern.match(code, at)):
+            continue
+        name = next((g for g in m.groups()[:3] if g), None) if pattern is not _JS_DEFAULT_ARROW else None
+        if pattern is _JS_BOUND and m.group("bare"):
+            return name, m.end()
+        if pattern is _JS_METHOD and name in _CONTROL:
+            return None
+        arrow = pattern is _JS_DEFAULT_ARROW or (pattern is _JS_BOUND and m.group("arrow") is not None)
+        end = _parameters(code, m.end())
+        if end > 0 and (body := _js_body(code, end, arrow)) > 0:
+            return name, body
+        if end > 0 and not arrow and name and pattern is not _JS_BOUND and (found := _overload(code, end, name)):
+            return found
+        if pattern is _JS_FUNCTION:
+            return None
+    return None
+
+
+def _overload(code: str, at: int, name: str) -> tuple[str | None, int] | None:
+    """The function of the same name whose signature follows one without a body."""
+    at = _SPACE.match(code, at).end()
+    if code[at : at + 1] == ":":
+        found, at = _type_end(code, at + 1, (";", "\n"))
+    elif code[at : at + 1] == ";":
+        found, at = ";", at + 1
+    else:
+        return None
+    if not found:
+        return None
+    following = _js_signature(code, _SPACE.match(code, at).end())
+    return following if following and following[0] == name else None
+
+
+_TYPED_TOKEN = re.compile(r"\s*(operator\s*(?:\(\)|\[\]|[^\s\w(]+|\w[\w\s*&]*?)(?=\s*\()|~?[A-Za-z_]\w*|::|\.\.\.|[.*&?,^]|\[[\s,]*\]|<)")
+_TYPED_SUFFIX = re.compile(r"\s*(?:(?:const|noexcept|override|final|mutable|volatile|unchecked|try)\b|&&?|throws\s+[\w.,\s<>?@]+?(?=\s*\{)|__attribute__(?=\s*\(\())")
+_INITIALISER = re.compile(r"\s*(?:[:,])\s*[A-Za-z_][\w:]*\s*(?:<[^(){};]*>\s*)?(?=[({])")
+
+
+def _typed_signature(code: str, at: int) -> tuple[str | None, int] | None:
+    """Java, C, C++, C#: types and modifiers, a name, which may be qualified, parameters, what may stand behind them, and a body."""
+    words: list[str] = []
+    last = ""
+    for _ in range(60):
+        if not (m := _TYPED_TOKEN.match(code, at)):
+            break
+        token, at = m.group(1), m.end()
+        if token == "<":
+            if (at := _angles(code, m.end() - 1)) < 0:
+                return None
+        elif token[0].isalpha() or token[0] in "_~":
+            if token in _NOT_TYPED:
+                return None
+            if token == "template":
+                opening = _SPACE.match(code, at).end()
+                if code[opening : opening + 1] != "<" or (at := _angles(code, opening)) < 0:
+                    return None
+                if (constraint := re.compile(r"\s*requires\b").match(code, at)):
+                    at = constraint.end()
+                continue
+            words.append(token)
+            last = token
+    start = _SPACE.match(code, at).end()
+    if not words or code[start : start + 1] != "(" or last in _CONTROL or not re.match(r"[\w>)\]~=+\-*/%<!&|^ ]", code[start - 1]):
+        return None
+    if (at := _balanced(code, start)) < 0:
+        return None
+    while m := _TYPED_SUFFIX.match(code, at):
+        at = m.end()
+        opening = _SPACE.match(code, at).end()
+        if m.group().strip() in ("noexcept", "__attribute__") and code[opening : opening + 1] == "(" and (at := _balanced(code, opening)) < 0:
+            return None
+    at = _SPACE.match(code, at).end()
+    if code.startswith("->", at) or code.startswith("where", at):
+        found, at = _type_end(code, at + 2, ("{", "=>", "where") if code.startswith("where", at) else ("{",))
+        return (last, at) if found in ("{", "=>") else None
+    while m := _INITIALISER.match(code, at):
+        opening = m.end()
+        if (at := _balanced(code, opening)) < 0:
+            return None
+    at = _SPACE.match(code, at).end()
+    if code.startswith("=>", at):
+        return last, at + 2
+    return (last, at + 1) if code[at : at + 1] == "{" else None
+
+
 def signature(code: str, at: int, language: str) -> tuple[str | None, int] | None:
     """Name (null if it has none) and end of the signature of a function with a body that starts at ``at``, annotations first."""
-    at = _skip_annotations(code, at)
+    at = _skip_annotations(code, at, language in (TYPED, RUST, PHP))
     if language == PYTHON:
         m = _PY_ISLAND.match(code, at)
         return (m.group(1), m.end()) if m and m.group(1) else None
+    if language == JS:
+        return _js_signature(code, at)
+    if language == TYPED:
+        return _typed_signature(code, at)
     if language == GO:
         if m := _GO_FUNCTION.match(code, at):
             end = _balanced(code, m.end())
             body = _GO_BODY.match(code, end) if end > 0 else None
             return (m.group(1), body.end()) if body else None
         return None
-    if language == TYPED:
-        m = _TYPED_FUNCTION.match(code, at)
-        if not m or m.group(2) in _CONTROL or (m.group(1) and not _NOT_TYPED.isdisjoint(m.group(1).split())):
-            return None
-        end = _balanced(code, m.end())
-        body = _TYPED_BODY.match(code, end) if end > 0 else None
-        return (m.group(2), body.end()) if body else None
-    for pattern in (_JS_FUNCTION, _JS_BOUND, _JS_DEFAULT_ARROW, _JS_METHOD):
-        if not (m := pattern.match(code, at)):
-            continue
-        name = next((g for g in m.groups()[:3] if g), None) if pattern is not _JS_DEFAULT_ARROW else None
-        if pattern is _JS_BOUND and m.group("bare"):
-            return name, m.end()
-        if pattern is _JS_METHOD and name in _CONTROL:
-            return None
-        end = _balanced(code, m.end())
-        if end < 0:
+    if language == RUBY:
+        m = _RUBY_FUNCTION.match(code, at)
+        return (m.group(1), m.end()) if m else None
+    if language == KOTLIN:
+        if not (m := _KOTLIN_FUNCTION.match(code, at)):
             return None
-        arrow = pattern is _JS_DEFAULT_ARROW or (pattern is _JS_BOUND and m.group("arrow") is not None)
-        if body := (_JS_ARROW_BODY if arrow else _JS_BODY).match(code, end):
-            return name, body.end()
-        if pattern is _JS_FUNCTION:
+        at = m.end()
+        if code[at : at + 1] == "<":
+            if (at := _angles(code, at)) < 0:
+                return None
+            at = _SPACE.match(code, at).end()
+        if not (m := _KOTLIN_NAME.match(code, at)) or (end := _parameters(code, m.end())) < 0:
             return None
-    return None
+        at = _SPACE.match(code, end).end()
+        if code[at : at + 1] in ("{", "="):
+            return m.group(1), at + 1
+        found, at = _type_end(code, at + 1, ("{", "=", "\n")) if code[at : at + 1] == ":" else ("", at)
+        return (m.group(1), at) if found in ("{", "=") else None
+    m = {RUST: _RUST_FUNCTION, PHP: _PHP_FUNCTION, SWIFT: _SWIFT_FUNCTION}[language].match(code, at)
+    if not m or (end := _parameters(code, m.end(), language)) < 0:
+        return None
+    found, at = _type_end(code, end, ("{", "where"), language)
+    if found == "where":
+        found, at = _type_end(code, at, ("{", "where"), language)
+    return (next(g for g in m.groups() if g), at) if found == "{" else None
 
 
 def _body_end(code: str, start: int, end: int, language: str) -> int:
     """End of the function whose signature is code[start:end]."""
-    if language == PYTHON:
+    if language in (PYTHON, RUBY):
         line = code.rfind("\n", 0, start) + 1
         indent = start - line if code[line:start].isspace() or line == start else 0
+        if language == RUBY:
+            m = re.compile(r"\n[^\S\n\r]{0,%d}end\b" % indent).search(code, end)
+            first = code.find("\n", end)
+            one = re.compile(r"[;\s]end\b").search(code, end, first if first > 0 else len(code))
+            return one.end() if one else m.end() if m else len(code)
         m = re.compile(r"\n(?=[^\S\n\r]{0,%d}[^\s#)\]}])" % indent).search(code, end)
         return m.start() if m else len(code)
     if code[end - 1] == "{":
-        found = _balanced(code, end - 1, "{")
+        found = _balanced(code, end - 1, language)
         return found if found > 0 else len(code)
     at = _SPACE.match(code, end).end()
     if code[at : at + 1] == "{":
-        found = _balanced(code, at, "{")
+        found = _balanced(code, at, language)
         return found if found > 0 else len(code)
     stop = re.compile(r";|\n\s*\n|\Z").search(code, end)
     return stop.end()
@@ -137,13 +324,14 @@ def functions(code: str, language: str) -> Iterator[tuple[str | None, int, int,
     if language == PYTHON:
         yield from _python_functions(code)
         return
-    if "//" not in code and "/*" not in code:
+    marks = ("#",) if language == RUBY else ("//", "/*", "#") if language == PHP else ("//", "/*")
+    if not any(m in code for m in marks):
         return
     group: list[str] = []
     end = 0
-    for m in _C_ISLAND.finditer(code):
+    for m in _ISLANDS.get(language, _C_ISLAND).finditer(code):
         text = m.group()
-        comment = text.startswith(("//", "/*"))
+        comment = text.startswith(marks)
         if group and not (comment and _GAP.match(code[end : m.start()]) and _own_line(code, m.start())):
             if found := _after(code, end, language):
                 yield *found, group
@@ -172,20 +360,22 @@ def _python_functions(code: str) -> Iterator[tuple[str | None, int, int, list[st
     if "def" not in code:
         return
     comments: list[str] = []
-    end = 0
+    end = after = 0
     for m in _PY_ISLAND.finditer(code):
         if m.group(1):
             start = m.start()
             between = code[end:start]
             above = comments if comments and re.fullmatch(r"[^\S\n\r]*(?:\r\n|\n|\r)(?:[^\S\n\r]*@[^\n\r]*(?:\r\n|\n|\r))*[^\S\n\r]*", between) else []
-            after = _balanced(code, m.end() - 1)
-            colon = re.compile(r"[^:\n\r]*:").match(code, after) if after > 0 else None
-            if colon:
+            if start < after:
+                continue  # within the parameters of a function
+            after = max(after, _balanced(code, m.end() - 1, PYTHON))
+            colon = _python_colon(code, after) if after > start else -1
+            if colon > 0:
                 found = list(above)
-                if (doc := _PY_DOCSTRING.match(code, colon.end())) and _docstring_follows(code, colon.end(), doc.start(1)):
+                if (doc := _PY_DOCSTRING.match(code, colon)) and _docstring_follows(code, colon, doc.start(1)):
                     found.append(doc.group(1))
                 if found:
-                    yield m.group(1), start, colon.end(), found
+                    yield m.group(1), start, colon, found
             comments = []
         elif m.group().startswith("#") and _own_line(code, m.start()):
             comments = [*comments, m.group()] if comments and _GAP.match(code[end : m.start()]) else [m.group()]
@@ -194,6 +384,21 @@ def _python_functions(code: str) -> Iterator[tuple[str | None, int, int, list[st
             comments = []
 
 
+def _python_colon(code: str, at: int) -> int:
+    """Position after the colon that ends a signature, whatever colons its annotation holds; -1 if the line ends first."""
+    stop = re.compile(rf"[:\n\r(\[{{]|{_STRINGS}")
+    while m := stop.search(code, at):
+        c = m.group()
+        if c == ":":
+            return m.end()
+        if c in "\n\r":
+            return -1
+        at = _balanced(code, m.start(), PYTHON) if c in "([{" else m.end()
+        if at < 0:
+            return -1
+    return -1
+
+
 def _docstring_follows(code: str, colon: int, at: int) -> bool:
     return all(not line.strip() or line.strip().startswith("#") or line.strip() in ("r", "u", "R", "U") for line in code[colon:at].splitlines())
 
@@ -232,7 +437,12 @@ _DISABLED = re.compile(r"^(?:(?:export|default|async|public|private|protected|st
 _DATE = re.compile(r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\.? \d{1,2},? \d{4}\b", re.I)
 _POINTER = re.compile(r"^(?:\{?@(?:inherit\w*|link|see|ref|copydoc)\b.*|(?:see|cf\.?|siehe|voir|ver|véase|vea|refer to|as|same as|like|ditto)\s+(?:also\s+)?(?:the\s+)?(?:above|below|here|there|oben|unten|ci-dessus|ci-dessous|arriba|abajo|acima|previous|next|docs?|documentation|wiki|readme|spec|issue|ticket|super(?:class)?|base|parent|interface|https?:\S+|#\d+|[\w./#-]+)(?:\s+(?:for (?:details|more|info\w*)|above|below|one|class|file|section))?\.?|ditto\.?|见上|见下|参见.{0,8}|同上|上記参照|下記参照|см\. (?:выше|ниже))\.?$", re.I)
 _TAG = re.compile(r"^(?:[@\\](\w+)|:(\w+)(?:\s+[^:]*)?:)\s*(.*)$")
-_PARAM_LINE = re.compile(r"^(?:\{[^}]*\}\s*)?\[?[\w.$]+\]?\s*[-–:]?\s*")
+_PARAM_LINE = re.compile(r"^(?:\{[^}]*\}\s*)?\[?[\w.$=]+\]?\s*[-–:]?\s*")
+#: Tags that introduce prose, tags whose first word is a name, and tags that only label.
+_PROSE = frozenset("description desc summary brief details remarks note deprecated".split())
+_NAMED = frozenset("param params arg argument property prop template tparam throws throw exception raises typeparam".split())
+_LABELS = frozenset("type types rtype vartype author authors since version date license licence copyright see link todo category group module class function func method name memberof override private public protected internal static readonly abstract api ignore hidden generated file fileoverview package ingroup defgroup inheritdoc copydoc export exports async".split())
+_XML_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _CODE = re.compile(
     r"^(?:[\w$.\[\]\"']+\s*(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?(?:\.[\w$]+(?:\([^()]*\))?)*\s*(?:[-+*/%|&^]?=(?!=)|:=)\s*\S.*"
     r"|(?:await\s+|return\s+|yield\s+|throw\s+|raise\s+)?[\w$.]+\([^()]*(?:\([^()]*\)[^()]*)*\)(?:\.[\w$]+\([^()]*\))*\s*;?"
@@ -309,13 +519,12 @@ def telling_lines(raw: list[str], name: str) -> list[str]:
                 continue  # a reminder
             if m := _TAG.match(line):
                 tag, rest = (m.group(1) or m.group(2)).lower(), m.group(3)
-                if tag in ("description", "desc", "summary", "brief", "details", "remarks"):
-                    text = rest
-                else:
+                if tag in _LABELS:
                     continue
+                text = rest if tag in _PROSE else _PARAM_LINE.sub("", rest, count=1) if tag in _NAMED and not m.group(2) else re.sub(r"^\{[^}]*\}\s*", "", rest)
             if _CODE.match(text):
                 continue
-            text = _DATE.sub(" ", text)
+            text = _DATE.sub(" ", _XML_TAG.sub(" ", text))
             least = 1 if out else 2
             if informative(text, name_words) >= least:
                 out.append(line)

@@ -43,8 +43,24 @@ def names(path, code, node="program", name="file", doc=None):
     ("a.py", "# Retries twice before giving up on it.\n@retry(times=2)\nasync def fetch(a,\n    b=(1, 2)) -> dict:\n    return a", ["fetch"]),
     ("a.py", "class A:\n    def load(self):\n        '''Reads rows lazily, in blocks.'''\n        return 1\n    def other(self):\n        x = '''Reads rows lazily, in blocks.'''\n", ["load"]),
     ("a.py", "x = '# Retries twice before giving up'\ndef fetch(): pass", []),
-    ("a.rb", "# Retries twice before giving up on it.\ndef fetch; end", []),
     ("a.ts", "", []),
+    ("A.java", "class A {\n  // Waits until the lease is free again.\n  public <T extends Foo<T>> T move(T a) { return a; }\n}", ["move"]),
+    ("A.java", "class A {\n  // Waits until the lease is free again.\n  @Deprecated(since = \"1)\")\n  A(final List<? super Map<K, V[]>> a) { }\n  // Waits until the lease is free again.\n  abstract int none(int a);\n}", ["A"]),
+    ("a.cpp", "// Waits until the lease is free again.\nint Ring::move(int a) const noexcept {\n  return a;\n}", ["move"]),
+    ("a.cpp", "// Waits until the lease is free again.\ntemplate <typename T, int (*F)(T) = nullptr>\nstd::vector<T> clamp(const T& a) {\n  return {a};\n}", ["clamp"]),
+    ("a.cpp", "// Waits until the lease is free again.\nRing::Ring(int n) : size_(n), data_{n} {\n}", ["Ring"]),
+    ("a.cpp", "// Waits until the lease is free again.\nauto size(int n) -> decltype(n) {\n}\n// Waits until the lease is free again.\nint proto(int n);\n// Waits until the lease is free again.\nx = call(n) + 1;", ["size"]),
+    ("a.ts", "// Waits until the lease is free again.\nexport function wrap<T = () => void>(a: T): T {\n  return a;\n}", ["wrap"]),
+    ("a.ts", "// Waits until the lease is free again.\nfunction wrap(a: string): void;\nfunction wrap(a: { b: number }): Promise<{ c: string }>;\nfunction wrap(a: any): any {\n  return a;\n}", ["wrap"]),
+    ("a.ts", "class A {\n  // Waits until the lease is free again.\n  get<K extends keyof M>(k: K): { a: M[K]; b?: () => void } | undefined {\n  }\n  // Waits until the lease is free again.\n  abstract none(a: string): void;\n  x() {}\n}", ["get"]),
+    ("a.ts", "// Waits until the lease is free again.\nexport const keep: (a: number) => void = async (a = { b: 1 }): Promise<void> => { };", ["keep"]),
+    ("a.py", "# Waits until the lease is free again.\ndef f(a: int = 1) -> Dict[str, 'a:b']:\n    return a\n# Waits until the lease is free again.\ndef g(a,  # first (of two\n      b) -> {'x': int}:\n    return a", ["f", "g"]),
+    ("a.rs", "/// Waits until the lease is free again.\n#[inline(always)]\npub(crate) async fn wait<'a, T: Into<String>>(a: &'a str, c: char) -> Result<Vec<T>, Error> where T: Clone {\n    let x = 'x';\n}\n// Waits until the lease is free again.\nfn none(a: i32);", ["wait"]),
+    ("a.cs", "class A {\n  /// <summary>Waits until the lease is free again.</summary>\n  [Obsolete(\"no\")]\n  public async Task<int> Wait<T>(T a, int[] b) where T : class, new() {\n  }\n  // Waits until the lease is free again.\n  int Twice(int a) => a * 2;\n}", ["Twice", "Wait"]),
+    ("a.php", "# Waits until the lease is free again.\n#[Pure]\npublic static function wait(?array $a = [], string ...$b): ?int {\n}", ["wait"]),
+    ("a.kt", "/** Waits until the lease is free again. */\n@Test(\"a\")\nprivate suspend fun <T : Any> List<T>.wait(a: (T) -> Unit): Map<String, T> {\n}\n// Waits until the lease is free again.\nfun twice(a: Int) = a * 2", ["twice", "wait"]),
+    ("a.swift", "/// Waits until the lease is free again.\n@discardableResult\npublic static func wait<T>(for a: @escaping (T) -> Void) async throws -> [String: T] where T: Hashable {\n}\n// Waits until the lease is free again.\ninit?(a: Int) {\n}", ["init", "wait"]),
+    ("a.rb", "# Waits until the lease is free again.\ndef self.wait!(a)\n  a\nend\n\n# Retries twice before giving up on it.\ndef fetch; end", ["fetch", "wait!"]),
 ])
 def test_functions_with_documentation(path, code, want):
     assert names(path, code) == want
@@ -55,7 +71,7 @@ def test_trivial_descriptions(doc):
     assert names("a.ts", f"/**\n * {doc}\n */\nfunction loadUser(a) {{ return a; }}") == []
 
 
-@pytest.mark.parametrize("doc", ["Idempotent; drops stale rows.", "Linear in the plugin count.", "TODO\n * Falls back to the previous snapshot.", "该函数读取结果，每645条写入一次请求。", "Перед записью проверьте, что узел не пуст.", "eslint-disable-next-line\n * Callers must hold the lock."])
+@pytest.mark.parametrize("doc", ["Idempotent; drops stale rows.", "Linear in the plugin count.", "TODO\n * Falls back to the previous snapshot.", "该函数读取结果，每645条写入一次请求。", "Перед записью проверьте, что узел не пуст.", "eslint-disable-next-line\n * Callers must hold the lock.", "@returns {number} microseconds since the last checkpoint", "@param a stays locked until commit"])
 def test_telling_descriptions(doc):
     assert names("a.ts", f"/**\n * {doc}\n */\nfunction loadUser(a) {{ return a; }}") == ["loadUser"]
 
