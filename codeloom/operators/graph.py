@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from codeloom.session import cut_lineage
 
 #: Damping of both page ranks.
 DAMPING = 0.85
+#: Rounds of a page rank that are one plan.
+WRITE_EVERY = 10
 
 
 def file_graph(edges: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def file_page_rank(deps: DataFrame, files: DataFrame, iterations: int = 30) -> D
     for i in range(1, iterations + 1):
         sent = links.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("sent"))
         rank = nodes.join(sent, "node", "left").select("node", ((1 - DAMPING) / max(1, n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("score"))
-        if i % 6 == 0:
+        if i % WRITE_EVERY == 0:
             rank = cut_lineage(rank)
     return rank.select(F.col("node").alias("file_path"), F.round("score", 9).alias("score"))
 
@@ -53,33 +53,42 @@ def edge_weight() -> Column:
 def symbol_centrality(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-12) -> DataFrame:
     """chunk_id, score, rank over the ends of ``edges`` (src, dst, confidence); edges between the same chunks add up.
 
-    The rank of chunks that refer to nothing is shared by all. Stops when the scores move less
-    than ``tolerance`` in all, which is looked at every five rounds.
+    The rank of chunks that refer to nothing is shared by all. What is shared by all is proportional to
+    what each starts a round with, so the rounds leave it out and the scores are scaled to a sum of 1 at
+    the end: the same ranks, but a round reads the one before only once, and WRITE_EVERY rounds are one
+    plan. Stops when the scores move less than ``tolerance`` in all over a round, which is looked at
+    whenever they are written.
     """
     links = edges.groupBy("src", "dst").agg(F.sum(edge_weight()).alias("w"))
     out = links.groupBy("src").agg(F.sum("w").alias("out"))
     links = cut_lineage(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("w")))
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    nodes = cut_lineage(nodes.join(links.select(F.col("src").alias("node")).distinct().withColumn("sends", F.lit(True)), "node", "left").select("node", F.coalesce("sends", F.lit(False)).alias("sends")))
-    n = nodes.count()
-    rank = nodes.withColumn("score", F.lit(1.0 / max(1, n)))
-    before = rank
+    nodes = cut_lineage(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    n = max(1, nodes.count())
+    rank = nodes.withColumn("score", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
-        lost = rank.where("not sends").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost")).withColumn("_one", F.lit(1))  # one row
+        before = rank
         sent = links.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("sent"))
-        # a round is read twice by the next one, so each is written
-        rank = cut_lineage(nodes.join(sent, "node", "left").withColumn("_one", F.lit(1)).join(F.broadcast(lost), "_one").select(
-            "node", "sends", ((1 - DAMPING) / max(1, n) + DAMPING * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("score")))
-        if tolerance and i % 5 == 0:
-            moved = rank.join(before.select("node", F.col("score").alias("old")), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-            if moved is not None and moved < tolerance:
-                break
-            before = rank
+        rank = nodes.join(sent, "node", "left").select("node", ((1 - DAMPING) / n + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("score"))
+        if i % WRITE_EVERY == 0 or i == iterations:
+            if tolerance and i > 1:
+                both = cut_lineage(rank.join(before.select("node", F.col("score").alias("old")), "node"))
+                rank = both.select("node", "score")
+                if (both.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tolerance:
+                    break
+            else:
+                rank = cut_lineage(rank)
+    total = rank.agg(F.sum("score").alias("all")).withColumn("_one", F.lit(1))  # one row
     # rounding first: ranks don't depend on the order of addition. Ranks of all chunks are numbered in two levels.
-    scored = rank.select(F.col("node").alias("chunk_id"), (F.floor(F.col("score") * 1e8 + 0.5) / 1e8).alias("score"))
+    scaled = rank.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").withColumn("score", F.col("score") / F.col("all"))
+    scored = scaled.select(F.col("node").alias("chunk_id"), (F.floor(F.col("score") * 1e8 + 0.5) / 1e8).alias("score"))
     return numbered(scored, [F.desc("score"), F.asc("chunk_id")], "rank")
 
 
+def top_central(centrality: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most central chunks (chunk_id, score, rank)."""
+    return centrality.where(F.col("rank") <= limit).orderBy("rank")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Numbers rows 1.. in ``order`` without sorting them all in one task: range partitions are counted, then numbered."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -107,74 +116,90 @@ def call_sites(chunks: DataFrame) -> DataFrame:
     ).where("name is not null")
 
 
-def classify_callers(chunks: DataFrame, deps: DataFrame, target_class: str | None = None) -> DataFrame:
+def _importable(deps: DataFrame, defs: DataFrame) -> DataFrame:
+    """file, name: names that are defined in a file that ``file`` depends on. A file that many depend on is salted."""
+    def_files = defs.select("name", F.col("def_file").alias("dep")).distinct()
+    return salted_join(deps.select("file", "dep").distinct(), def_files, ["dep"], "inner", F.xxhash64("file")).select("file", "name").distinct()
+
+
+def _flagged(rows: DataFrame, *flags: str) -> DataFrame:
+    """caller, name and the maximum of each flag: all evidence for a pair meets in one aggregation."""
+    return rows.groupBy("caller", "name").agg(*(F.max(f).alias(f) for f in flags))
+
+
+def classify_callers(chunks: DataFrame, deps: DataFrame, target_class: str | None = None, defs: DataFrame | None = None, importable: DataFrame | None = None) -> DataFrame:
     """name, caller, confidence, proven, reason for every chunk that calls a defined name.
 
     The first that holds: sole definition; called on ``this`` within a class that defines it; called
     without receiver where a free function is defined; the receiver's type defines it; the caller's
     file depends on a file that defines it; the same file; the receiver is ``target_class``; else only
     the name. Every test is an equi-join on distinct pairs, so no definition list is ever collected.
+    Call sites and definitions are written once; the evidence of all tests is united and aggregated per
+    pair, and what is known of a name joins the pairs last, salted by the pairs of the name.
     """
-    defs = definitions(chunks)
+    defs = cut_lineage(definitions(chunks)) if defs is None else defs
     if target_class:
         narrowed = defs.where(F.col("def_class") == target_class.lower())
         defs = narrowed.unionByName(defs.join(narrowed.select("name").distinct(), "name", "left_anti"))
-    sites = call_sites(chunks)
-    per_name = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n_defs"), F.max(F.when(F.col("def_class") == "", True).otherwise(False)).alias("free"))
+    sites = cut_lineage(call_sites(chunks).join(defs.select("name").distinct(), "name", "left_semi"))
+    per_name = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n_defs"), F.max(F.col("def_class") == "").alias("free"))
     classes = defs.where("def_class <> ''").select("name", F.col("def_class").alias("cls")).distinct()
     returns = with_symbol(chunks).where("name_lower is not null").select(F.col("name_lower").alias("via"), F.explode(T.type_tokens(F.col("return_type"))).alias("via_type")).distinct()
-    typed = sites.where("type is not null or via is not null").join(returns, "via", "left").select("caller", "name", F.coalesce("type", "via_type").alias("cls")).where("cls is not null")
-    if target_class:
-        classes_typed = classes.unionByName(classes.select("name", F.lit(target_class.lower()).alias("cls"))).distinct()
-    else:
-        classes_typed = classes
-    by_type = typed.join(classes_typed, ["name", "cls"], "left_semi").select("caller", "name").distinct().withColumn("by_type", F.lit(True))
-    by_this = sites.where("recv = 'this' and caller_class <> ''").join(classes.withColumnRenamed("cls", "caller_class"), ["name", "caller_class"], "left_semi").select("caller", "name").distinct().withColumn("by_this", F.lit(True))
-    pairs = sites.groupBy("caller", "caller_file", "name").agg(F.max(F.col("recv") == "").alias("bare"), F.max(F.lower("recv") == (target_class or "\0").lower()).alias("by_target"))
+    typed = sites.where("type is not null or via is not null").join(returns, "via", "left").select("caller", "name", F.coalesce("type", "via_type").alias("cls")).where("cls is not null").distinct()
+    known = classes.unionByName(classes.select("name", F.lit(target_class.lower()).alias("cls"))).distinct() if target_class else classes
     def_files = defs.select("name", F.col("def_file").alias("dep")).distinct()
-    imports = pairs.select("caller", "name", F.col("caller_file").alias("file")).join(deps.select("file", "dep"), "file").join(def_files, ["name", "dep"], "left_semi").select("caller", "name").distinct().withColumn("by_import", F.lit(True))
-    same_file = pairs.select("caller", "name", F.col("caller_file").alias("dep")).join(def_files, ["name", "dep"], "left_semi").select("caller", "name").withColumn("by_file", F.lit(True))
-    j = reduce(lambda a, b: a.join(b, ["caller", "name"], "left"), (by_this, by_type, imports, same_file), pairs.join(per_name, "name"))
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    places = sites.select("caller", "name", F.col("caller_file").alias("file")).distinct()
+    no, yes = F.lit(False), F.lit(True)
+    flags = ("bare", "by_target", "by_this", "by_type", "by_import", "by_file")
+    found = lambda df, flag: df.select("caller", "name", *((yes if f == flag else no).alias(f) for f in flags))
+    evidence = (
+        sites.select("caller", "name", (F.col("recv") == "").alias("bare"), (F.lower("recv") == (target_class or "\0").lower()).alias("by_target"), *(no.alias(f) for f in flags[2:]))
+        .unionByName(found(sites.where("recv = 'this' and caller_class <> ''").join(classes.withColumnRenamed("cls", "caller_class"), ["name", "caller_class"], "left_semi"), "by_this"))
+        .unionByName(found(typed.join(known, ["name", "cls"], "left_semi"), "by_type"))
+        .unionByName(found(places.join((_importable(deps, defs) if importable is None else importable), ["file", "name"], "left_semi"), "by_import"))
+        .unionByName(found(places.join(def_files.withColumnRenamed("dep", "file"), ["file", "name"], "left_semi"), "by_file"))
+    )
+    j = salted_join(cut_lineage(_flagged(evidence, *flags)), per_name, ["name"], "inner", F.xxhash64("caller"))
     reason = (
-        F.when((F.col("n_defs") <= 1) & F.lit(target_class is None), "sole definition").when(yes("by_this"), "own class").when(yes("bare") & yes("free"), "free function").when(yes("by_type"), "receiver type")
-        .when(yes("by_import"), "imports file").when(yes("by_file"), "same file").when(yes("by_target"), "receiver name").otherwise("name only")
+        F.when((F.col("n_defs") <= 1) & F.lit(target_class is None), "sole definition").when(F.col("by_this"), "own class").when(F.col("bare") & F.col("free"), "free function").when(F.col("by_type"), "receiver type")
+        .when(F.col("by_import"), "imports file").when(F.col("by_file"), "same file").when(F.col("by_target"), "receiver name").otherwise("name only")
     )
     return j.select("name", "caller", reason.alias("reason")).select(
         "name", "caller", "reason", F.when(F.col("reason") == "name only", "name_only").otherwise("high").alias("confidence"), F.col("reason").isin("sole definition", "own class", "receiver type").alias("proven"))
 
 
-def referers(chunks: DataFrame, deps: DataFrame) -> DataFrame:
+def referers(chunks: DataFrame, deps: DataFrame, defs: DataFrame | None = None, importable: DataFrame | None = None) -> DataFrame:
     """name, caller, kind (extends or type), reason, confidence of chunks that name a defined symbol; chunks of the same name are left out."""
-    one = lambda c, kind: chunks.select(F.col("id").alias("caller"), F.col("file_path").alias("caller_file"), key_form("name").alias("own"), F.explode(c).alias("r")).select("caller", "caller_file", "own", key_form("r").alias("name"), F.lit(kind).alias("kind"))
+    defs = cut_lineage(definitions(chunks)) if defs is None else defs
+    one = lambda c, kind: chunks.select(F.col("id").alias("caller"), F.col("file_path").alias("file"), key_form("name").alias("own"), F.explode(c).alias("r")).select("caller", "file", "own", key_form("r").alias("name"), F.lit(kind).alias("kind"))
     refs = one("extends", "extends").unionByName(one("type_refs", "type")).where("name is not null and (own is null or own <> name)").drop("own").distinct()
-    defs = definitions(chunks)
+    refs = cut_lineage(refs.join(defs.select("name").distinct(), "name", "left_semi"))
     per_name = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n_defs"))
     def_files = defs.select("name", F.col("def_file").alias("dep")).distinct()
-    imports = refs.select("caller", "name", F.col("caller_file").alias("file")).distinct().join(deps.select("file", "dep"), "file").join(def_files, ["name", "dep"], "left_semi").select("caller", "name").distinct().withColumn("by_import", F.lit(True))
-    same = refs.select("caller", "name", F.col("caller_file").alias("dep")).distinct().join(def_files, ["name", "dep"], "left_semi").select("caller", "name").withColumn("by_file", F.lit(True))
+    imports = refs.join((_importable(deps, defs) if importable is None else importable), ["file", "name"], "left_semi").withColumn("by_import", F.lit(True)).withColumn("by_file", F.lit(False))
+    same = refs.join(def_files.withColumnRenamed("dep", "file"), ["file", "name"], "left_semi").withColumn("by_import", F.lit(False)).withColumn("by_file", F.lit(True))
+    evidence = refs.withColumn("by_import", F.lit(False)).withColumn("by_file", F.lit(False)).unionByName(imports).unionByName(same)
+    met = cut_lineage(evidence.groupBy("name", "caller", "kind").agg(F.max("by_import").alias("by_import"), F.max("by_file").alias("by_file")))
     reason = F.when(F.col("n_defs") <= 1, "sole definition").when(F.col("by_import"), "imports file").when(F.col("by_file"), "same file").otherwise("name only")
-    out = refs.join(per_name, "name").join(imports, ["caller", "name"], "left").join(same, ["caller", "name"], "left").withColumn("reason", reason)
+    out = salted_join(met, per_name, ["name"], "inner", F.xxhash64("caller")).withColumn("reason", reason)
     return out.select("name", "caller", "kind", "reason", F.when(F.col("reason") == "name only", "name_only").otherwise("high").alias("confidence"))
 
 
-_STRENGTH = {"resolved": 2, "high": 1, "name_only": 0}
-
-
 def symbol_graph(chunks: DataFrame, deps: DataFrame, resolver: str = "heuristic") -> DataFrame:
-    """src, dst, kind, confidence: an edge from every caller or referer to each definition of the name, the strongest once.
+    """src, dst, kind, confidence: an edge from every caller or referer to each definition of the name.
 
-    resolver: heuristic keeps the confidence; precise makes proven calls ``resolved``. All edges of a
-    name are kept; names with many callers are salted.
+    ``chunks`` holds one row per id. resolver: heuristic keeps the confidence; precise makes proven calls
+    ``resolved``. All edges of a name are kept; names with many callers are salted. A chunk has one
+    name, so a pair of chunks and a kind come from one name and are unique without another shuffle.
     """
-    calls = classify_callers(chunks, deps).withColumn("kind", F.lit("calls"))
+    defs = cut_lineage(definitions(chunks))
+    importable = cut_lineage(_importable(deps, defs))
+    calls = classify_callers(chunks, deps, None, defs, importable).withColumn("kind", F.lit("calls"))
     if resolver == "precise":
         calls = calls.withColumn("confidence", F.when((F.col("confidence") == "high") & F.col("proven"), "resolved").otherwise(F.col("confidence")))
-    refs = calls.select("name", "caller", "kind", "confidence").unionByName(referers(chunks, deps).select("name", "caller", "kind", "confidence"))
-    edges = salted_join(cut_lineage(refs), definitions(chunks).select("name", F.col("def_id").alias("dst")), ["name"], "inner", F.xxhash64("caller")).withColumnRenamed("caller", "src")
-    level = F.when(F.col("confidence") == "resolved", 2).when(F.col("confidence") == "high", 1).otherwise(0)
-    best = edges.groupBy("src", "dst", "kind").agg(F.max(level).alias("level"))
-    return best.select("src", "dst", "kind", F.when(F.col("level") == 2, "resolved").when(F.col("level") == 1, "high").otherwise("name_only").alias("confidence"))
+    refs = calls.select("name", "caller", "kind", "confidence").unionByName(referers(chunks, deps, defs, importable).select("name", "caller", "kind", "confidence"))
+    edges = salted_join(cut_lineage(refs), defs.select("name", F.col("def_id").alias("dst")), ["name"], "inner", F.xxhash64("caller"))
+    return edges.select(F.col("caller").alias("src"), "dst", "kind", "confidence")
 
 
 def apply_bindings(edges: DataFrame, bindings: DataFrame, covered: DataFrame) -> DataFrame:
@@ -259,12 +284,30 @@ def propagate_types(seeds: DataFrame, returns: DataFrame, rounds: int = 8) -> Da
 
 # -- spans -----------------------------------------------------------------------------------------------
 
+#: Lines of a bin of the finest level, how many times longer the bins of the next one are, and the number of levels.
+BIN_LINES, BIN_GROWTH, BIN_LEVELS = 16, 8, 8
+
+
 def innermost(points: DataFrame, chunks: DataFrame) -> DataFrame:
-    """For each of ``points`` (point_id, file_path, line) the chunk whose lines hold it: the shortest, then the latest, then the first id."""
+    """For each of ``points`` (point_id, file_path, line) the chunk whose lines hold it: the shortest, then the latest, then the first id.
+
+    A span lies in the bins of the finest level whose bins are as long as it is, at most two; a point
+    asks its bin of every level. So a file of very many spans and points is spread, and a point meets
+    only spans near it.
+    """
+    size = [BIN_LINES * BIN_GROWTH**i for i in range(BIN_LEVELS)]
     spans = chunks.where("start_line is not null and end_line >= start_line").select("file_path", F.col("id").alias("chunk_id"), "start_line", "end_line")
-    held = points.join(spans, "file_path").where("line between start_line and end_line")
-    order = Window.partitionBy("point_id").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "chunk_id")
-    return held.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("point_id", "chunk_id")
+    length = F.col("end_line") - F.col("start_line") + 1
+    level = F.lit(BIN_LEVELS - 1)
+    for i in reversed(range(BIN_LEVELS - 1)):
+        level = F.when(length <= size[i], i).otherwise(level)
+    sizes = F.array(*(F.lit(n).cast("bigint") for n in size))
+    at = lambda line, lev: F.floor(line / F.element_at(sizes, lev + 1)).cast("bigint")
+    binned = spans.withColumn("level", level.cast("int")).withColumn("bin", F.explode(F.sequence(at(F.col("start_line"), F.col("level")), at(F.col("end_line"), F.col("level")))))
+    asked = points.select("point_id", "file_path", "line").where("line is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(BIN_LEVELS - 1)))).withColumn("bin", at(F.col("line"), F.col("level")))
+    held = asked.join(binned, ["file_path", "level", "bin"]).where("line between start_line and end_line")
+    best = held.groupBy("point_id").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), (-F.col("start_line")).alias("s"), "chunk_id")).alias("b"))
+    return best.select("point_id", F.col("b.chunk_id").alias("chunk_id"))
 
 
 def bound_references(occurrences: DataFrame, chunks: DataFrame) -> DataFrame:

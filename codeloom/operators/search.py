@@ -8,11 +8,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from codeloom.functions import text as T
 from codeloom.functions.keys import key_form
 from codeloom.operators.index import stems_of
+from codeloom.operators.skew import salted_join
 from codeloom.session import cut_lineage
 
 #: How many candidates a channel passes on, the constant and weights of rank fusion.
@@ -69,21 +70,6 @@ def lexical_search(queries: DataFrame, postings: DataFrame, cap: int = LEXICAL_C
     return ranked(bm25_scores(tokens.unionByName(added), postings, stems), cap)
 
 
-#: Blocks of queries, and tasks among which the vectors that meet a block are spread.
-BLOCKS, SALTS = 16, 32
-
-
-def _blocks(queries: DataFrame, *columns: str) -> DataFrame:
-    """One row per block and task: block, salt, qs."""
-    block = F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int")
-    return queries.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _spread(vectors: DataFrame) -> DataFrame:
-    """Each vector once per block, in a task chosen by its id."""
-    return vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-
-
 def _score_block(min_score: float, schema: pa.Schema):
     def matrix(table: pa.Table, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose vector has ``size`` values, and their unit vectors."""
@@ -113,6 +99,14 @@ def _score_block(min_score: float, schema: pa.Schema):
 BLOCK_QUERIES, BLOCK_VECTORS = 1024, 20_000
 
 
+def _cogrouped(queries: DataFrame, vectors: DataFrame, score, schema: StructType | str) -> DataFrame:
+    """``score`` over every block of queries and every block of vectors; both are of bounded size, and their number follows from the tables."""
+    blocks, salts = -(-max(1, queries.count()) // BLOCK_QUERIES), max(8, -(-vectors.count() // BLOCK_VECTORS))
+    left = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(score, schema)
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, min_score: float) -> DataFrame:
     """query_id, vec_id, chunk_id, cosine above ``min_score`` of a stated set of query vectors against all vectors.
 
@@ -120,12 +114,9 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, min_score: float) -> D
     vectors, both of bounded size, as matrices; only scores above the limit (rounded to 9 places)
     leave the task. Vectors of another length than the query's, and null ones, are left out.
     """
-    blocks, salts = -(-max(1, queries.count()) // BLOCK_QUERIES), max(8, -(-vectors.count() // BLOCK_VECTORS))
-    left = vectors.select("vec_id", "chunk_id", "vec").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("query_id", "qvec").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     kind = lambda df, c: df.schema[c].dataType
     schema = StructType([StructField("query_id", kind(queries, "query_id")), StructField("vec_id", kind(vectors, "vec_id")), StructField("chunk_id", kind(vectors, "chunk_id")), StructField("score", DoubleType())])
-    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_score_block(min_score, to_arrow_schema(schema)), schema)
+    return _cogrouped(queries.select("query_id", "qvec"), vectors.select("vec_id", "chunk_id", "vec"), _score_block(min_score, to_arrow_schema(schema)), schema)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, min_score: float = 0.3, cap: int = VECTOR_CAP) -> DataFrame:
@@ -134,20 +125,52 @@ def vector_search(queries: DataFrame, vectors: DataFrame, min_score: float = 0.3
     return ranked(best, cap)
 
 
-def sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: int = 4, least: int = 64, min_score: float = 0.3) -> DataFrame:
-    """Two phases: the nearest max(over · top, least) by Hamming distance of sign bits, then their exact cosine.
+def _signs(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose vector has ``size`` values, and their signs packed to bytes."""
+    vectors = column.combine_chunks()
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), size), False).to_numpy(zero_copy_only=False))
+    values = pc.list_flatten(vectors.take(pa.array(rows))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), size)
+    return rows, np.packbits(values > 0, axis=1)
+
+
+def _near_block(most: int, schema: pa.Schema):
+    """The ``most`` vectors of a block that are nearest to each query by Hamming distance of signs, then id."""
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        ids = left.column("vec_id").combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))  # ties by id
+        for size in [n for n in pc.unique(pc.list_value_length(right.column("qvec").combine_chunks())).to_pylist() if n]:
+            (q_rows, q), (v_rows, v) = _signs(right.column("qvec"), size), _signs(left.column("vec"), size)
+            for i, bits in zip(q_rows, q):
+                distance = np.bitwise_count(v ^ bits).sum(axis=1, dtype=np.int64)
+                order = distance * len(ids) + place[v_rows]
+                best = np.argpartition(order, most - 1)[:most] if len(order) > most else np.arange(len(order))
+                out.append(pa.Table.from_arrays([pa.repeat(right.column("query_id")[int(i)], len(best)), ids.take(pa.array(v_rows[best])), pa.array(distance[best].astype(np.int32))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return near
+
+
+#: Share of all vectors that a sketch search scores exactly.
+SKETCH_SHARE = 0.2
 
-    queries: query_id, qvec; vectors: vec_id, vec. Blocks of queries meet all vectors,
-    spread over SALTS tasks. The number of candidates is fixed, so neighbours are lost;
-    ``exact_sketch_search`` loses none.
+
+def sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, over: int = 4, least: int = 64, min_score: float = 0.3, share: float = SKETCH_SHARE) -> DataFrame:
+    """Two phases: the nearest by Hamming distance of sign bits, then their exact cosine.
+
+    queries: query_id, qvec; vectors: vec_id, vec. The first phase keeps max(over · top, least, share · all
+    vectors) per query: a fixed number would lose more neighbours the more vectors there are. Blocks of
+    queries meet blocks of vectors as packed bits, and only the nearest of a block leave its task.
+    Approximate; ``exact_sketch_search`` loses no neighbour.
     """
-    sketches = vectors.select("vec_id", T.sign_bits(F.col("vec")).alias("bits"))
-    blocks = _blocks(queries.select("query_id", T.sign_bits(F.col("qvec")).alias("qbits")), "query_id", "qbits")
-    near = _spread(sketches).join(blocks, ["block", "salt"]).select(
-        "vec_id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), T.hamming(q["qbits"], F.col("bits")).alias("distance")))).alias("s"))
+    kind = lambda df, c: df.schema[c].dataType
+    most = max(over * top, least, -int(-share * vectors.count() // 1))
+    schema = StructType([StructField("query_id", kind(queries, "query_id")), StructField("vec_id", kind(vectors, "vec_id")), StructField("distance", IntegerType())])
+    near = _cogrouped(queries.select("query_id", "qvec"), vectors.select("vec_id", "vec"), _near_block(most, to_arrow_schema(schema)), schema)
     window = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    first = near.select("s.query_id", "vec_id", "s.distance").withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= max(over * top, least))
-    exact = first.join(vectors.select("vec_id", "vec"), "vec_id").join(queries, "query_id").withColumn("score", F.round(T.cosine(F.col("qvec"), F.col("vec")), 9)).where(F.col("score") > min_score)
+    first = near.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= most)
+    exact = first.join(vectors.select("vec_id", "vec"), "vec_id").join(queries.select("query_id", "qvec"), "query_id").withColumn("score", F.round(T.cosine(F.col("qvec"), F.col("vec")), 9)).where(F.col("score") > min_score)
     return ranked(exact.select("query_id", "vec_id", "distance", "score"), top, key="vec_id")
 
 
@@ -155,29 +178,52 @@ def exact_sketch_search(queries: DataFrame, vectors: DataFrame, top: int = 10, o
     """The ``top`` nearest by cosine, as brute force has them: query_id, vec_id, distance, score, rank.
 
     Values of unlike sign only lower a product, so at Hamming distance h the cosine is at most
-    sqrt(1 - the h smallest squares of the query / all its squares). The lowest score of
-    ``sketch_search`` bounds the distance of what can still enter; all vectors within are scored.
-    Vectors of another length than the query's are left out.
+    sqrt(1 - the h smallest squares of the query / all its squares). The lowest score of a
+    ``sketch_search`` over few candidates bounds the distance of what can still enter; all vectors within
+    are scored. Vectors of another length than the query's are left out.
     """
-    first = sketch_search(queries, vectors, top, over, least, min_score)
+    first = sketch_search(queries, vectors, top, over, least, min_score, 0.0)
     floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
-    squares = F.array_sort(F.transform("qvec", lambda x: x.cast("double") * x.cast("double")))
-    total = F.aggregate("squares", F.lit(0.0), lambda s, x: s + x)
-    # a margin for the rounding of scores and of the sum
-    room = (1 - F.pow(F.greatest(F.col("floor") - 1e-8, F.lit(0.0)), 2)) * F.col("total") * (1 + 1e-9)
-    within = F.aggregate("squares", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + F.when(s["sum"] + x <= F.col("room"), 1).otherwise(0)).alias("n")))["n"]
-    asked = queries.select("query_id", "qvec").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(min_score)))
-    asked = asked.withColumn("squares", squares).withColumn("total", total).withColumn("room", room).select("query_id", "qvec", T.sign_bits(F.col("qvec")).alias("qbits"), "floor", within.alias("within"))
-    blocks = _blocks(asked, "query_id", "qvec", "qbits", "floor", "within")
+    asked = cut_lineage(queries.select("query_id", "qvec").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(min_score))))
+    kind = lambda df, c: df.schema[c].dataType
+    schema = StructType([StructField("query_id", kind(queries, "query_id")), StructField("vec_id", kind(vectors, "vec_id")), StructField("distance", IntegerType()), StructField("score", DoubleType())])
+    met = _cogrouped(asked, vectors.select("vec_id", "vec"), _within_block(top, min_score, to_arrow_schema(schema)), schema)
+    return ranked(met, top, key="vec_id")
+
+
+def _within_block(top: int, min_score: float, schema: pa.Schema):
+    """The best ``top`` of a block for each query, among vectors so near by Hamming distance that they can reach its floor."""
+    def within(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        ids = left.column("vec_id").combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        for size in [n for n in pc.unique(pc.list_value_length(right.column("qvec").combine_chunks())).to_pylist() if n]:
+            (q_rows, q_bits), (v_rows, v_bits) = _signs(right.column("qvec"), size), _signs(left.column("vec"), size)
+            values = lambda t, c, rows: pc.list_flatten(t.column(c).combine_chunks().take(pa.array(rows))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), size)  # noqa: E731,B023
+            q, v = values(right, "qvec", q_rows), values(left, "vec", v_rows)
+            norms = np.linalg.norm(v, axis=1)
+            floors = right.column("floor").to_numpy()[q_rows]
+            for i, row in enumerate(q_rows):
+                squares = np.sort(q[i] * q[i])
+                # a margin for the rounding of scores and of the sum
+                room = (1 - max(floors[i] - 1e-8, 0.0) ** 2) * squares.sum() * (1 + 1e-9)
+                distance = np.bitwise_count(v_bits ^ q_bits[i]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(distance <= np.searchsorted(np.cumsum(squares), room, side="right"))
+                length = norms[near] * np.linalg.norm(q[i])
+                score = np.round(np.divide(v[near] @ q[i], length, out=np.zeros(len(near)), where=length > 0), 9)
+                good = np.flatnonzero((score > min_score) & (score >= floors[i]))
+                best = good[np.lexsort((place[v_rows[near[good]]], -score[good]))[:top]]
+                out.append(pa.Table.from_arrays([pa.repeat(right.column("query_id")[int(row)], len(best)), ids.take(pa.array(v_rows[near[best]])), pa.array(distance[near[best]].astype(np.int32)), pa.array(score[best])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return within
 
-    def scored(q: Column) -> Column:
-        distance = T.hamming(q["qbits"], F.col("bits"))
-        near = (F.size(q["qvec"]) == F.size("vec")) & (distance <= q["within"])
-        return F.struct(q["query_id"].alias("query_id"), distance.alias("distance"), F.when(near, F.round(T.cosine(q["qvec"], F.col("vec")), 9)).alias("score"), q["floor"].alias("floor"))
 
-    met = _spread(vectors.select("vec_id", "vec", T.sign_bits(F.col("vec")).alias("bits"))).join(blocks, ["block", "salt"])
-    kept = met.select("vec_id", F.explode(F.filter(F.transform("qs", scored), lambda s: (s["score"] > min_score) & (s["score"] >= s["floor"]))).alias("s"))
-    return ranked(kept.select("s.query_id", "vec_id", "s.distance", "s.score"), top, key="vec_id")
+def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: n_queries, n_true, recall of ``found`` (query_id, vec_id) against ``truth``, pairs of both sides once."""
+    pairs = truth.select("query_id", "vec_id").distinct().join(found.select("query_id", "vec_id").distinct().withColumn("_hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return pairs.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), F.round(F.count("_hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
 def max_sim(query_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame:
@@ -200,7 +246,9 @@ def association_model(chunks: DataFrame, rare_tokens: int = 40, per_term: int =
     tokens = chunks.select("chunk_id", F.explode(F.array_distinct(F.filter(T.raw_tokens(F.col("text")), lambda t: F.length(t) >= 3))).alias("term"))
     n = chunks.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))  # one row
     df = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(least), F.floor(F.col("n") * share)))).drop("_one")
-    rare = tokens.join(df, "term").withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("df", "term"))).where(F.col("_r") <= rare_tokens)
+    df = cut_lineage(df)
+    band = salted_join(tokens, df, ["term"], "inner", F.xxhash64("chunk_id"), counts=df.select("term", F.col("df").alias("count")))
+    rare = band.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("df", "term"))).where(F.col("_r") <= rare_tokens)
     listed = rare.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"))
     pairs = listed.select(F.explode("terms").alias("term"), "terms").select("term", F.explode("terms").alias("assoc")).where("term <> assoc")
     together = pairs.groupBy("term", "assoc").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)

@@ -23,13 +23,16 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(counts: DataFrame, n_rows: int, keys: Sequence[str], target_rows: int | None = None) -> DataFrame:
-    """keys, _salts of the keys of ``counts`` (keys, count) with more than ``target_rows`` rows: one salt per so many rows.
+def hot_keys(counts: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> DataFrame | None:
+    """keys, _salts of the keys of ``counts`` (keys, count) with more than ``target_rows`` rows: one salt per so many rows. Null if there are none.
 
-    The list has at most n_rows / target_rows entries; by default that is SHARE times the number of
+    The list has at most (all rows) / target_rows entries; by default that is SHARE times the number of
     shuffle partitions, whatever the size of the data. It is written, so its size is known when it is joined.
     """
-    target = target_rows or max(LEAST_ROWS, n_rows // (SHARE * _partitions(counts)))
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    target = target_rows or max(LEAST_ROWS, (total or 0) // (SHARE * _partitions(counts)))
+    if (most or 0) <= target:
+        return None
     return cut_lineage(counts.where(F.col("count") > target).select(*keys, F.ceil(F.col("count") / target).cast("int").alias("_salts")))
 
 
@@ -48,10 +51,9 @@ def salted_join(
     inner, left, left_semi or left_anti.
     """
     keys = list(keys)
-    n_rows = left.count() if counts is None else int(counts.agg(F.sum("count")).first()[0] or 0)
-    hot = hot_keys(left.groupBy(*keys).count() if counts is None else counts, n_rows, keys, target_rows)
+    hot = hot_keys(left.groupBy(*keys).count() if counts is None else counts, keys, target_rows)
     renamed = {k: f"_r_{k}" for k in keys}
-    if hot.isEmpty():
+    if hot is None:
         on_left, on_right, condition = left, right.withColumnsRenamed(renamed), F.lit(True)
     else:
         # the list is bounded by SHARE times the number of partitions

@@ -30,8 +30,13 @@ def query(sql: str | None = None):
     return add
 
 
-def current(spark: SparkSession, d: str) -> DataFrame:
-    return index.current_chunks(table(spark, d, "chunks"))
+def current(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return index.current_chunks(table(spark, d, "chunks"), *columns)
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    """What the program graph needs of the current chunks, written once: it is read from several sides."""
+    return cut_lineage(current(spark, d, "name", "class_context", "call_sites", "return_type", "type_refs", "extends"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -326,15 +331,27 @@ def vec_max_per_chunk(spark, d):
     return search.vector_search(_vector_queries(spark, d), _vectors(spark, d), 0.1).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("""with v as (select vec_id, embedding::double[] vec, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings),
+_SKETCH = """v as (select vec_id, embedding::double[] vec, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings), size as (select greatest(64, ceil(0.2 * count(*)))::int most from v),
 near as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.bits, v.bits), lambda x: abs(x[1] - x[2])))::int distance, round(list_cosine_similarity(q.vec, v.vec), 9) score
-  from v q, v where q.vec_id % 50 = 0 qualify row_number() over (partition by q.vec_id order by distance, v.vec_id) <= 64)
-select query_id, vec_id, distance, round(score, 6) score from near where score > 0.3 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""")
+  from v q, v, size where q.vec_id % 50 = 0 qualify row_number() over (partition by q.vec_id order by distance, v.vec_id) <= most),
+sketch as (select query_id, vec_id, distance, score from near where score > 0.3 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10)"""
+
+
+@query(f"with {_SKETCH} select query_id, vec_id, distance, round(score, 6) score from sketch")
 def vec_sketch(spark, d):
     out = search.sketch_search(_vector_queries(spark, d), _vectors(spark, d))
     return out.select("query_id", "vec_id", "distance", F.round("score", 6).alias("score"))
 
 
+@query(f"""with {_SKETCH}, exact as (select q.vec_id query_id, v.vec_id from v q, v where q.vec_id % 50 = 0 and round(list_cosine_similarity(q.vec, v.vec), 9) > 0.3
+  qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.vec, v.vec), 9) desc, v.vec_id) <= 10)
+select count(distinct query_id) n_queries, count(*) n_true, round(count(s.vec_id) / count(*), 4) recall from exact left join sketch s using (query_id, vec_id)""")
+def vec_sketch_recall(spark, d):
+    """Recall of the sketch search against brute force."""
+    q, v = _vector_queries(spark, d), _vectors(spark, d)
+    return search.recall(search.sketch_search(q, v), search.ranked(search.vector_scores(q, v, 0.3), 10, key="vec_id"))
+
+
 @query("""with v as (select vec_id, embedding::double[] vec, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings),
 pairs as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.bits, v.bits), lambda x: abs(x[1] - x[2])))::int distance, round(list_cosine_similarity(q.vec, v.vec), 9) score
   from v q, v where q.vec_id % 50 = 0)
@@ -501,9 +518,9 @@ n as materialized (select count(*)::double n from nodes), p0 as materialized (se
 select node chunk_id, floor(score * 1e8 + 0.5) / 1e8 score from p{rounds}"""
 
 
-@query(_centrality_sql(40))
+@query(_centrality_sql(100))
 def graph_centrality(spark, d):
-    return graph.symbol_centrality(edges(spark, d), 40, 0.0).select("chunk_id", "score")
+    return graph.symbol_centrality(edges(spark, d)).select("chunk_id", "score")
 
 
 @query(f"with {NAMED}, {CALLS} select distinct callee, chunk_id from calls where callee in (select name_lower from named)")
@@ -528,12 +545,12 @@ classified as materialized (select name, caller, case when (select count(*) from
 
 
 def _deps(spark, d):
-    return cut_lineage(graph.file_graph(edges(spark, d), current(spark, d)))
+    return cut_lineage(graph.file_graph(edges(spark, d), current(spark, d, "id")))
 
 
 @query(f"""with {_CLASSIFY} select name, caller, reason, case when reason = 'name only' then 'name_only' else 'high' end confidence, reason in ('sole definition', 'own class', 'receiver type') proven from classified""")
 def sym_classify_callers(spark, d):
-    return graph.classify_callers(current(spark, d), _deps(spark, d))
+    return graph.classify_callers(symbols(spark, d), _deps(spark, d))
 
 
 _REFERERS = f"""refs as (select distinct caller, caller_file, name, kind from (
@@ -546,7 +563,7 @@ referers as materialized (select name, caller, kind, case when (select count(*)
 
 @query(f"with {_DEFS}, {_REFERERS} select *, case when reason = 'name only' then 'name_only' else 'high' end confidence from referers")
 def sym_referers(spark, d):
-    return graph.referers(current(spark, d), _deps(spark, d))
+    return graph.referers(symbols(spark, d), _deps(spark, d))
 
 
 @query(f"""with {_DEFS.replace(CUR, CUR.replace("cur as materialized", "stored as materialized") + ", cur as materialized (select * replace (calls as type_refs, [class_context] as extends) from stored)")}, {_REFERERS}
@@ -565,12 +582,12 @@ select caller src, def_id dst, kind, case max(l) when 2 then 'resolved' when 1 t
 
 @query(_edges_sql("false"))
 def sym_edges(spark, d):
-    return graph.symbol_graph(current(spark, d), _deps(spark, d))
+    return graph.symbol_graph(symbols(spark, d), _deps(spark, d))
 
 
 @query(_edges_sql("reason in ('sole definition', 'own class', 'receiver type')"))
 def sym_edges_precise(spark, d):
-    return graph.symbol_graph(current(spark, d), _deps(spark, d), "precise")
+    return graph.symbol_graph(symbols(spark, d), _deps(spark, d), "precise")
 
 
 @query(f"with {NAMED}, {CALLS} select callee, count(*) n_callers from calls where callee not in (select name_lower from named where name_lower is not null) and callee not in (select {key('symbol')} from external_symbols where {key('symbol')} is not null) group by all")

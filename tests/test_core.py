@@ -117,8 +117,8 @@ def test_live_intervals_merge(spark, parents):
 def test_salts_follow_the_count_of_a_key(spark):
     """One key with 30 % of the rows and 1,000 with 0.07 % each: no task gets more than twice the median."""
     spread = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 1000).cast("string"))).alias("k"), "id")
-    hot = skew.hot_keys(spread.groupBy("k").count(), 20_000, ["k"], target_rows=500).collect()
-    assert [(r.k, r._salts) for r in hot] == [("hot", 12)]
+    hot = skew.hot_keys(spread.groupBy("k").count(), ["k"], target_rows=500).collect()
+    assert [(r.k, r._salts) for r in hot] == [("hot", 12)] and skew.hot_keys(spread.groupBy("k").count(), ["k"], target_rows=6000) is None
     right = spread.select("k").distinct().withColumn("v", F.lit(1))
     joined = skew.salted_join(spread.repartition(8), right, ["k"], "inner", F.xxhash64("id"), target_rows=500)
     assert joined.count() == 20_000
