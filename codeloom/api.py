@@ -58,8 +58,20 @@ class Index:
 
     # -- the sixteen questions
 
-    def search_code(self, queries: DataFrame, top_k: int = 5, min_score: float = 0.3, learned: bool = False, git_weight: float = 0.0) -> DataFrame:
-        """Chunks for queries (query_id, text, and optionally exact), with their pruned bodies."""
+    def topology(self, files: DataFrame) -> DataFrame:
+        """file_path, dependencies, used_by of a set of files (file_path): sorted lists."""
+        own = files.select("file_path").distinct()
+        out = self.deps.withColumnRenamed("file", "file_path").join(own, "file_path", "left_semi").groupBy("file_path").agg(F.sort_array(F.collect_set("dep")).alias("dependencies"))
+        back = self.deps.withColumnRenamed("dep", "file_path").join(own, "file_path", "left_semi").groupBy("file_path").agg(F.sort_array(F.collect_set("file")).alias("used_by"))
+        none = F.array().cast("array<string>")
+        return own.join(out, "file_path", "left").join(back, "file_path", "left").select("file_path", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("used_by", none).alias("used_by"))
+
+    def search_code(self, queries: DataFrame, top_k: int = 5, min_score: float = 0.3, learned: bool = False, git_weight: float = 0.0, budget: int | None = None, topology: bool = False) -> DataFrame:
+        """Chunks for queries (query_id, text, and optionally exact), with their pruned bodies.
+
+        ``budget`` keeps the results whose bodies fit into so many tokens; ``topology`` adds what the file
+        of each depends on, and what uses it.
+        """
         pool = min(max(2 * top_k, 12), 25) if learned or git_weight else top_k
         channels = {"lexical": search.lexical_search(queries, self.postings, stems=index.stem_postings(self.postings))}
         if self.vectors is not None:
@@ -79,7 +91,10 @@ class Index:
             found = search.git_boost(found, signals.hot_files(signals.file_stats(self.commits), now), git_weight)
         bodies = self.chunks.select(F.col("id").alias("chunk_id"), "code_snippet")
         words = queries.select("query_id", T.raw_tokens(F.col("text")).alias("tokens"))
-        return found.where(F.col("rank") <= top_k).join(bodies, "chunk_id").join(words, "query_id").withColumn("body", T.pruned_body(F.col("code_snippet"), F.col("tokens"))).drop("code_snippet", "tokens")
+        found = found.where(F.col("rank") <= top_k).join(bodies, "chunk_id").join(words, "query_id").withColumn("body", T.pruned_body(F.col("code_snippet"), F.col("tokens"))).drop("code_snippet", "tokens")
+        if budget is not None:
+            found = search.within_budget(found.withColumn("tokens", T.token_estimate(F.col("body"))), budget)
+        return found.join(self.topology(found), "file_path", "left") if topology else found
 
     def get_chunk(self, chunk_id: str) -> DataFrame:
         return index.chunk_by_id(self.chunks, chunk_id)

@@ -89,6 +89,27 @@ def embedding_windows(payload: Column, most: int | None = MAX_WINDOWS) -> Column
     return F.when(F.length(payload) > WINDOW, cut).otherwise(F.array().cast("array<string>"))
 
 
+def full_body(code: Column, content: Column, start: Column, end: Column, cut_at: int = 3000) -> Column:
+    """The whole definition from its file where the stored code was cut; null where it wasn't, for a skeleton, and without lines."""
+    body = F.array_join(F.slice(F.split(content, "\n", -1), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+    cut = (F.length(code) >= cut_at) & ~code.contains("// ... ") & (start >= 1) & end.isNotNull()
+    return F.when(cut & (F.length(body) > F.length(code)), body)
+
+
+def summary_text() -> Column:
+    """What is embedded of a chunk's enrichment (columns of ``chunks``): summary, tags and qualified name; null without enrichment."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    tags = F.array_join(F.coalesce("concepts", F.array().cast("array<string>")), ", ")
+    named = F.when(text("class_context") != "", F.concat(text("class_context"), F.lit("."), text("name"))).otherwise(text("name"))
+    parts = F.filter(F.array(text("summary"), tags, named), lambda p: p != "")
+    return F.when((text("summary") != "") | (F.size(F.coalesce("concepts", F.array().cast("array<string>"))) > 0), F.array_join(parts, ". "))
+
+
+def truncated(text: Column) -> Column:
+    """The first window of a text."""
+    return F.substring(text, 1, WINDOW)
+
+
 def embedding_key(content_hash: Column, summary: Column, concepts: Column) -> Column:
     """Hash of the content, marked with that of the enrichment if there is one."""
     listed = F.array_join(F.coalesce(concepts, F.array().cast("array<string>")), ",")
@@ -225,6 +246,17 @@ def enrich_prompt(name: Column, code: Column) -> Column:
     return F.concat(F.lit("Describe in one sentence what the function "), name, F.lit(" does, as SUMMARY: ..., and give up to 8 TAGS: ...\n\n"), code)
 
 
+def rerank_prompt(query: Column, cards: Column) -> Column:
+    """Asks a model to order numbered candidates (an array of one-line cards)."""
+    numbered = F.transform(cards, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c))
+    return F.concat(F.lit("Order the candidates by how well they answer the question. Reply with their numbers, the best first.\n\nQuestion: "), query, F.lit("\n\n"), F.array_join(numbered, "\n"))
+
+
+def hyde_prompt(query: Column, language: Column) -> Column:
+    """Asks a model for code that would answer a question, in the language of the repository if it is known."""
+    return F.concat(F.lit("Write a short "), F.coalesce(F.concat(language, F.lit(" ")), F.lit("")), F.lit("function that does the following. Reply with code only.\n\n"), query)
+
+
 def string_list(text: Column) -> Column:
     """A JSON array of strings; empty for anything else."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

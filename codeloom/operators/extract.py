@@ -186,12 +186,17 @@ def extract_chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (file_path, content); unknown languages, ignored paths, blank and oversized files give none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for path, source in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()) for r in chunks_of(path, source)]
+            rows = [r for path, source in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()) for r in (*chunks_of(path, source), *_re_export_rows(path, source))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(_CHUNK), _CHUNK)], schema=_CHUNK)
 
     return indexable(files).select("file_path", "content").mapInArrow(run, CHUNK_DDL)
 
 
+def _re_export_rows(path: str, source: str) -> Iterator[tuple]:
+    for id, name, doc, code, first, last in re_exports(path, source):
+        yield id, path, "re_export", name, doc, code, hashlib.sha256((doc + code).encode()).hexdigest(), first, last, [], [], "", "", [], [], []
+
+
 def indexable(files: DataFrame) -> DataFrame:
     return files.where(F.col("file_path").isNotNull() & F.col("content").isNotNull() & ~F.col("file_path").rlike(IGNORED) & (F.length("content") <= MAX_BYTES) & (F.trim("content") != ""))
 
@@ -207,6 +212,59 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return indexable(files).select("file_path", F.explode(F.array_distinct(found)).alias("raw"))
 
 
+_RE_EXPORT = re.compile(r"^from\s+([.\w]+)\s+import\s+(\([^)]*\)|[^\n]+)", re.M)
+_ALIAS = re.compile(r"([\w.]+)\s+as\s+(\w+)")
+
+
+def re_exports(path: str, source: str) -> list[tuple[str, str, str, str, int, int]]:
+    """id, name, docstring, code, first and last line of the names a Python file imports in order to export them (``import X as X``)."""
+    out = []
+    for m in _RE_EXPORT.finditer(source) if path.endswith(".py") else ():
+        row = source.count("\n", 0, m.start())
+        for a in _ALIAS.finditer(source, m.start(2), m.end()):
+            if a.group(1).split(".")[-1] == a.group(2):
+                column = a.start() - (source.rfind("\n", 0, a.start()) + 1)
+                out.append((chunk_id(path, row, column), a.group(2), f"Public re-export of {a.group(2)} from {m.group(1)}.", m.group()[:300], row + 1, row + 1 + m.group().count("\n")))
+    return out
+
+
+_BARREL = re.compile(r"export\s+(?:type\s+)?(\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*['\"](\.[^'\"]*)['\"]")
+
+
+def barrel_exports(files: DataFrame) -> DataFrame:
+    """file_path, name, raw of the names that script files hand on from others (``*`` for all of them); raw as written, for resolve_imports."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, source in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist()):
+                if language_of(path) in ("javascript", "typescript"):
+                    for m in _BARREL.finditer(source):
+                        names = ["*"] if m.group(1)[0] == "*" else [re.split(r"\s+as\s+", n.strip())[-1] for n in m.group(1)[1:-1].split(",") if n.strip()]
+                        rows += [(path, name.removeprefix("type "), m.group(2)) for name in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 3)], ["file_path", "name", "raw"])
+
+    return indexable(files).select("file_path", "content").mapInArrow(run, "file_path string, name string, raw string")
+
+
+_RETURN = re.compile(r"\breturn\s+(?:await\s+)?(new\s+)?&?((?:[\w$]+\.)*)([A-Za-z_$][\w$]*)\s*([({])")
+_ANY_RETURN = re.compile(r"\breturn\b[^\n;]*")
+
+
+def return_via(code: str) -> tuple[str | None, str | None]:
+    """The type that a function returns an instance of, or the function whose result it returns; neither unless all clear returns agree."""
+    types, calls = set(), set()
+    for m in _ANY_RETURN.finditer(code):
+        if found := _RETURN.match(m.group()):
+            new, owner, name, bracket = found.groups()
+            if new or (name[0].isupper() and not owner):
+                types.add(name)
+            elif bracket == "(" and not owner and name not in _STOP:
+                calls.add(name)
+    if len(types) == 1 and not calls:
+        return next(iter(types)), None
+    return (None, next(iter(calls))) if len(calls) == 1 and not types else (None, None)
+
+
 #: What is tried, in this order, for an import that is a path.
 PROBES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".go", ".java", ".rs", ".c", ".h", ".rb", ".php", "/index.ts", "/index.tsx", "/index.js", "/__init__.py", "/mod.rs")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -152,6 +152,21 @@ def index_quality(chunks: DataFrame) -> DataFrame:
     )
 
 
+def size_percentile(chunks: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row: the estimated tokens at place floor(share · n) of the sorted sizes, from counts per size."""
+    sizes = chunks.groupBy(T.token_estimate(F.col("code_snippet")).alias("tokens")).agg(F.count(F.lit(1)).alias("c"))  # one row per distinct size
+    order = Window.orderBy("tokens")
+    placed = sizes.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    return placed.where(F.col("upto") > F.floor(share * F.col("n"))).agg(F.min("tokens").alias("p95_tokens"))
+
+
+def dependency_stats(deps: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: n_dep_edges, n_files_with_deps, pct_files_with_deps of deps (file, dep) over the files of chunks."""
+    edges = deps.agg(F.count(F.lit(1)).alias("n_dep_edges"), F.countDistinct("file").alias("n_files_with_deps")).withColumn("_one", F.lit(1))  # one row
+    files = chunks.agg(F.countDistinct("file_path").alias("n_files")).withColumn("_one", F.lit(1))  # one row
+    return edges.join(F.broadcast(files), "_one").select("n_dep_edges", "n_files_with_deps", F.round(100 * F.col("n_files_with_deps") / F.col("n_files"), 4).alias("pct_files_with_deps"))
+
+
 def repo_map(chunks: DataFrame, per_file: int = 8) -> DataFrame:
     """file_path, n_symbols and the first symbols of each file, once per name whatever its case."""
     first = F.row_number().over(Window.partitionBy("file_path", "name_lower").orderBy("start_line", "id"))
@@ -167,6 +182,64 @@ def language_votes(chunks: DataFrame) -> DataFrame:
     return chunks.select("file_path").distinct().groupBy(T.language_key(F.col("file_path")).alias("language")).agg(F.count(F.lit(1)).alias("n_files")).where("language is not null")
 
 
+#: Language of each extension, folders of one framework, words of paths.
+FAMILIES = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin",
+    "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "c": "c", "h": "c", "sh": "bash", "bash": "bash", "zsh": "bash", "scss": "scss", "css": "scss", "sass": "scss",
+}
+LARAVEL_DIRS = ("models", "http", "controllers", "console", "providers", "middleware", "requests", "builders", "repositories", "services")
+LARAVEL_WORDS = ("laravel", "eloquent", "artisan", "symfony")
+
+
+def repo_language(chunks: DataFrame, scanned: int = 400) -> DataFrame:
+    """language: one row, the language or framework that most chunks are in; null if the second has nine tenths as many, or none is known.
+
+    Frameworks show in the paths of the first ``scanned`` chunks by file, line and id. The web is one
+    family; it is TypeScript if three fifths of it are.
+    """
+    ext = F.lower(F.element_at(F.split("file_path", r"\."), -1))
+    family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))[ext]
+    votes = chunks.select(family.alias("family")).where("family is not null").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    web = F.col("family").isin("typescript", "javascript")
+    merged = votes.groupBy(F.when(web, "web").otherwise(F.col("family")).alias("family")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("family") == "typescript", F.col("n")).otherwise(0)).alias("ts"))
+    best = F.sort_array(F.collect_list(F.struct(F.col("n"), "family", "ts")), asc=False)  # one entry per language
+    ranked = merged.agg(best.alias("r"), F.max(F.col("family") == "java").alias("java")).withColumn("_one", F.lit(1))
+    low = F.lower("file_path")
+    first = chunks.where("file_path is not null").orderBy("file_path", F.asc_nulls_first("start_line"), "id").limit(scanned).select(low.alias("p"), F.split(low, "/").alias("parts"))
+    signs = first.agg(
+        F.max(F.col("p").contains("springframework")).alias("spring"), F.max(F.arrays_overlap("parts", F.array(*map(F.lit, LARAVEL_WORDS)))).alias("words"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("parts", F.array(*map(F.lit, LARAVEL_DIRS))))))).alias("folders"),  # of at most ``scanned`` rows
+    ).withColumn("_one", F.lit(1))
+    j = ranked.join(F.broadcast(signs), "_one")
+    top, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    spring = F.coalesce("spring", F.lit(False))
+    name = (
+        F.when(F.coalesce("java", F.lit(False)) & spring, "java-spring").when(F.coalesce(second["n"], F.lit(0)) >= 0.9 * top["n"], F.lit(None))
+        .when(top["family"] == "web", F.when(top["ts"] >= 0.6 * top["n"], "typescript").otherwise("javascript"))
+        .when(top["family"] == "php", F.when(F.coalesce("words", F.lit(False)) | (F.col("folders") >= 2), "php-laravel").otherwise("php")).otherwise(top["family"])
+    )
+    return j.select(name.alias("language"))
+
+
+# -- vectors by content -----------------------------------------------------------------------------
+
+def vector_keys(chunks: DataFrame) -> DataFrame:
+    """key, chunk_id: the keys under which the vectors of a chunk may be stored. Chunks of equal content share them.
+
+    The key of the content and its enrichment, those of its summary and windows, and the bare hash of
+    the content, as older stores have it.
+    """
+    own = T.embedding_key(F.col("content_hash"), F.col("summary"), F.col("concepts"))
+    marks = ["", "|s", *(f"|w{i}" for i in range(1, T.MAX_WINDOWS))]
+    keys = F.array_distinct(F.concat(F.array(*(F.concat(own, F.lit(m)) for m in marks)), F.array("content_hash")))
+    return chunks.where("content_hash is not null").select(F.explode(keys).alias("key"), F.col("id").alias("chunk_id"))
+
+
+def chunks_of_vectors(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score: hits on stored vectors (query_id, key, score) as chunks, the best of each."""
+    return hits.join(vector_keys(chunks), "key").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
 # -- upkeep ---------------------------------------------------------------------------------------
 
 def replace_files(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
@@ -186,5 +259,18 @@ def core_chunks(chunks: DataFrame, rank: DataFrame | None = None, most: int | No
     return found.orderBy(F.desc("score"), "file_path", "id").limit(most) if most else found
 
 
-def symbol_column(name: str) -> Column:
-    return key_form(name)
+def update_frequencies(df: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """term, df after the postings ``old`` are taken out and ``new`` are put in; terms that no chunk holds any more are dropped.
+
+    Only the postings of changed chunks are read; the rest of the index isn't.
+    """
+    delta = lambda p, sign: p.groupBy("term").agg(F.count(F.lit(sign)).alias("n")).select("term", (F.col("n") * sign).alias("df"))
+    both = df.select("term", "df").unionByName(delta(old, -1)).unionByName(delta(new, 1))
+    return both.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+def update_stats(stats: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row, n_docs and avgdl, of ``stats`` (the same) after documents of lengths ``old`` go and ``new`` come (chunk_id, doc_len)."""
+    part = lambda lengths, sign: lengths.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("doc_len"), F.lit(0)) * sign).cast("double").alias("total"))
+    rows = stats.select(F.col("n_docs").alias("n"), (F.col("n_docs") * F.coalesce("avgdl", F.lit(0.0))).alias("total")).unionByName(part(old, -1)).unionByName(part(new, 1))
+    return rows.agg(F.sum("n").alias("n_docs"), F.sum("total").alias("total")).select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).alias("avgdl"))

@@ -235,6 +235,33 @@ def max_sim(query_vectors: DataFrame, candidate_vectors: DataFrame) -> DataFrame
     return best.groupBy("query_id", "chunk_id").agg(F.round(F.sum("best"), 6).alias("score"))
 
 
+#: Words that are no unit of a query by themselves.
+UNIT_STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "at", "by", "from", "that", "this", "is", "are", "was", "were", "be", "how", "what", "when", "where", "which", "who", "why", "does", "do", "it", "its", "into", "if", "then", "there", "all", "any")
+
+
+def query_units(queries: DataFrame, most: int = 8) -> DataFrame:
+    """query_id, q_ord, text: what a query is encoded as for late interaction, the whole of it first, then its distinct words of content."""
+    words = F.filter(F.split(F.lower("text"), T.SPLIT), lambda w: (F.length(w) >= 3) & ~w.isin(*UNIT_STOPWORDS))
+    units = F.concat(F.array("text"), F.slice(F.array_distinct(words), 1, most - 1))
+    return queries.select("query_id", F.posexplode(units).alias("q_ord", "text"))
+
+
+def late_interaction(results: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, top: int = 12) -> DataFrame:
+    """Results (query_id, chunk_id, rank, ...) with the first ``top`` of each query in the order of :func:`max_sim`.
+
+    query_vectors: query_id, q_ord, qvec; chunk_vectors: chunk_id, vec. Chunks without a vector sink, in the
+    order of their ids. A query of whose candidates fewer than two have distinct scores keeps its order.
+    Nothing else of the results changes.
+    """
+    head = results.where(F.col("rank") <= top).select("query_id", "chunk_id")
+    scores = max_sim(query_vectors, head.join(chunk_vectors.select("chunk_id", "vec"), "chunk_id")).withColumnRenamed("score", "_sim")
+    clear = scores.groupBy("query_id").agg((F.countDistinct("_sim") >= 2).alias("_clear"))
+    j = results.join(scores, ["query_id", "chunk_id"], "left").join(clear, "query_id", "left")
+    moved = F.coalesce("_clear", F.lit(False)) & (F.col("rank") <= top)
+    order = Window.partitionBy("query_id").orderBy(F.col("rank") > top, F.when(moved, F.col("_sim").isNull()), F.when(moved, -F.col("_sim")), F.when(moved, F.col("chunk_id")), "rank")
+    return j.withColumn("_place", F.row_number().over(order)).drop("rank", "_sim", "_clear").withColumnRenamed("_place", "rank")
+
+
 # -- learned vocabulary -----------------------------------------------------------------------------
 
 def association_model(chunks: DataFrame, rare_tokens: int = 40, per_term: int = 8, share: float = 0.3, least: int = 2) -> DataFrame:
@@ -415,3 +442,19 @@ def ranking_metrics(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFra
         F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("nd"), F.coalesce((F.col("first") == 1).cast("double"), F.lit(0.0)).alias("r1"),
     )
     return scored.agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(c), 6).alias(a) for c, a in (("s", "success_at_k"), ("p", "precision_at_k"), ("rr", "mrr"), ("nd", "ndcg_at_k"), ("r1", "rank1"))))
+
+
+def token_savings(results: DataFrame, file_tokens: DataFrame, top: int = 5, expansions: int = 1, card_tokens: int = 20) -> DataFrame:
+    """query_id, chunk_tokens, card_tokens, file_tokens, gross_pct, amortised_pct: what reading results instead of their files saves.
+
+    results: query_id, chunk_id, file_path, tokens, rank; file_tokens: file_path, tokens. Gross counts the code
+    of all results, amortised a card for each of the first ``top`` and the code of the largest ``expansions``.
+    """
+    files = lambda r: r.select("query_id", "file_path").distinct().join(file_tokens.select("file_path", F.col("tokens").alias("ft")), "file_path").groupBy("query_id").agg(F.sum("ft").alias("f"))
+    first = results.where(F.col("rank") <= top)
+    sized = first.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tokens"), "chunk_id")))
+    cards = sized.groupBy("query_id").agg((F.count(F.lit(1)) * card_tokens + F.sum(F.when(F.col("_n") <= expansions, F.col("tokens")).otherwise(0))).alias("card_tokens"))
+    gross = results.groupBy("query_id").agg(F.sum("tokens").alias("chunk_tokens")).join(files(results).withColumnRenamed("f", "file_tokens"), "query_id", "left")
+    both = gross.join(cards, "query_id", "left").join(files(first).withColumnRenamed("f", "_first"), "query_id", "left")
+    saved = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.greatest(F.lit(0.0), 100 * (1 - F.col(part) / F.col(whole))), 4)).otherwise(0.0)
+    return both.select("query_id", "chunk_tokens", "card_tokens", F.coalesce("file_tokens", F.lit(0)).alias("file_tokens"), saved("chunk_tokens", "file_tokens").alias("gross_pct"), saved("card_tokens", "_first").alias("amortised_pct"))

@@ -185,3 +185,11 @@ def tainted_sinks(hits: DataFrame, found: DataFrame, reachable_only: bool = Fals
     reached = found.select(F.col("dst").alias("chunk_id"), "category", "line").distinct().withColumn("reached", F.lit(True))
     out = sinks.join(reached, ["chunk_id", "category", "line"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
     return out.where("reached") if reachable_only else out
+
+
+def cached_flows(cache: DataFrame, cached_depth: int, depth: int = 4, category: str | None = None) -> DataFrame | None:
+    """Flows up to ``depth`` from a table of all flows up to ``cached_depth``; null if that isn't deep enough and they have to be computed."""
+    if depth > cached_depth:
+        return None
+    found = cache.where(F.col("hops") <= depth)
+    return found.where(F.col("category") == category) if category else found

@@ -181,6 +181,21 @@ def fn_pruned_body(spark, d):
     return current(spark, d).select("id", body(T.raw_tokens(F.col("name"))).alias("by_name"), body(F.array().cast("array<string>")).alias("without_words"), body(F.array(F.lit("qqq"))).alias("by_nothing"))
 
 
+@query(f"""with {CUR} select id, md5(case when coalesce(summary, '') <> '' or len(coalesce(concepts, [])) > 0 then array_to_string(list_filter([coalesce(summary, ''), coalesce(array_to_string(concepts, ', '), ''),
+  case when coalesce(class_context, '') <> '' then class_context || '.' || coalesce(name, '') else coalesce(name, '') end], lambda x: x <> ''), '. ') end) summary_text, length(left({_PAYLOAD}, 8000)) n_kept from cur""")
+def fn_summary_text(spark, d):
+    return current(spark, d).select("id", F.md5(T.summary_text()).alias("summary_text"), F.length(T.truncated(T.embedding_payload())).alias("n_kept"))
+
+
+@query(f"""with {CUR}, f as (select id, code_snippet c, left(code_snippet, 3000) cut, len(string_split(code_snippet, chr(10))) n from cur where code_snippet is not null)
+select id, case when length(cut) >= 3000 and not contains(cut, '// ... ') and length(c) > 3000 then md5(c) end body from f""")
+def fn_full_body(spark, d):
+    """The whole of a chunk again from its file, which is the chunk's own code here, where the stored part is its first 3,000 characters."""
+    code = F.col("code_snippet")
+    own = current(spark, d).where("code_snippet is not null")
+    return own.select("id", F.md5(T.full_body(F.substring(code, 1, 3000), code, F.lit(1), F.size(F.split(code, "\n", -1)))).alias("body"))
+
+
 # -- index and lookups ------------------------------------------------------------------------------
 
 @query(f"with {NAMED} select count(*) n_chunks, count(distinct file_path) n_files, count(distinct name_lower) n_symbols, count(distinct content_hash) n_contents from named")
@@ -207,6 +222,36 @@ def idx_languages(spark, d):
     return index.language_votes(current(spark, d))
 
 
+@query(f"with {CUR}, s as (select ceil(length(coalesce(code_snippet, '')) / 4)::int tokens, row_number() over (order by ceil(length(coalesce(code_snippet, '')) / 4)) - 1 i, count(*) over () n from cur) select tokens p95_tokens from s where i = floor(0.95 * n)::bigint")
+def idx_size_p95(spark, d):
+    return index.size_percentile(current(spark, d))
+
+
+@query(f"with {CUR}, {EDGES}, {DEPS} select count(*) n_dep_edges, count(distinct file) n_files_with_deps, round(100 * count(distinct file) / (select count(distinct file_path) from cur), 4) pct_files_with_deps from deps")
+def idx_dependencies(spark, d):
+    return index.dependency_stats(_deps(spark, d), current(spark, d, "id"))
+
+
+_FAMILY = "case " + " ".join(f"when ext = '{e}' then '{f}'" for e, f in index.FAMILIES.items()) + " end"
+
+
+@query(f"""with {CUR}, v as (select {_FAMILY} family from (select lower(string_split(file_path, '.')[-1]) ext from cur)), m as (select case when family in ('typescript', 'javascript') then 'web' else family end family, count(*) n,
+  count(*) filter (where family = 'typescript') ts from v where family is not null group by 1), r as (select *, row_number() over (order by n desc, family desc) o from m),
+first as (select lower(file_path) p from cur where file_path is not null order by file_path, start_line nulls first, id limit 400),
+s as (select bool_or(contains(p, 'springframework')) spring, bool_or(list_has_any(string_split(p, '/'), ['laravel', 'eloquent', 'artisan', 'symfony'])) words,
+  (select count(distinct x) from (select unnest(string_split(p, '/')) x from first) where x in {index.LARAVEL_DIRS!r}) folders from first)
+select case when exists (select 1 from m where family = 'java') and spring then 'java-spring' when coalesce((select n from r where o = 2), 0) >= 0.9 * a.n then null
+  when a.family = 'web' then case when a.ts >= 0.6 * a.n then 'typescript' else 'javascript' end when a.family = 'php' then case when words or folders >= 2 then 'php-laravel' else 'php' end else a.family end "language" from r a, s where a.o = 1""")
+def idx_repo_language(spark, d):
+    return index.repo_language(current(spark, d, "id"))
+
+
+@query(f"""with {CUR}, k as (select id, content_hash h, case when coalesce(summary, '') <> '' or len(coalesce(concepts, [])) > 0 then content_hash || '|e:' || substring(sha256(coalesce(summary, '') || '|' || coalesce(array_to_string(concepts, ','), '')), 1, 12) else content_hash end key from cur where content_hash is not null)
+select distinct key, id chunk_id from (select key, id from k union all select key || '|s', id from k union all select key || '|w' || i::varchar, id from k, (select unnest([1, 2, 3]) i) union all select h, id from k)""")
+def vec_keys(spark, d):
+    return index.vector_keys(current(spark, d, "summary", "concepts"))
+
+
 @query(f"""with {NAMED}, firsts as (select * from named where name_lower is not null qualify row_number() over (partition by file_path, name_lower order by start_line nulls first, id) = 1),
 r as (select *, row_number() over (partition by file_path order by start_line nulls first, id) o from firsts)
 select file_path, count(*) n_symbols, string_agg(name, ',' order by o) filter (where o <= 8) symbols from r group by all""")
@@ -374,6 +419,25 @@ def vec_late_interaction(spark, d):
     return best.groupBy("query_id.query_id", "chunk_id").agg(F.round(F.sum("b"), 6).alias("score"))
 
 
+@query(f"""with u as (select doc_id query_id, coalesce(text, '') "text" from documents where doc_id % 50 = 0),
+w as (select query_id, "text", list_filter(regexp_split_to_array(lower("text"), '[\\s\\W_]+'), lambda t: length(t) >= 3 and not list_contains({list(search.UNIT_STOPWORDS)!r}, t)) ws from u),
+x as (select query_id, list_concat(["text"], list_filter(ws, lambda t, i: list_position(ws, t) = i)[1:7]) units from w)
+select query_id, i::int q_ord, md5(units[i + 1]) unit from (select query_id, units, unnest(range(len(units))) i from x)""")
+def vec_query_units(spark, d):
+    return search.query_units(questions(spark, d)).select("query_id", "q_ord", F.md5("text").alias("unit"))
+
+
+@query(f"""with {_COS}, top as (select query_id, vec_id, label, row_number() over (partition by query_id order by score desc, vec_id) r from scored where score > 0.0 qualify r <= 15),
+sims as (select query_id, t.vec_id, round(sum(b), 6) sim from (select t.query_id, t.vec_id, q.vec_id q_ord, max(list_cosine_similarity(q.vec, c.vec)) b from top t join v q on q.vec_id between t.query_id and t.query_id + 2 join v c on c.vec_id = t.vec_id where t.r <= 12 group by all) t group by all),
+j as (select t.*, sim, count(distinct sim) over (partition by t.query_id) >= 2 and r <= 12 moved from top t left join sims using (query_id, vec_id))
+select query_id, vec_id::varchar chunk_id, row_number() over (partition by query_id order by r > 12, case when moved then -sim end, case when moved then vec_id::varchar end, r) "rank" from j""")
+def vec_late_reorder(spark, d):
+    v = _vectors(spark, d)
+    first = search.ranked(search.vector_scores(_vector_queries(spark, d), v, 0.0), 15, key="vec_id").select("query_id", F.col("vec_id").cast("string").alias("chunk_id"), "rank")
+    several = _vector_queries(spark, d).select("query_id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 2)).alias("vec_id")).join(v, "vec_id").select("query_id", F.col("vec_id").alias("q_ord"), F.col("vec").alias("qvec"))
+    return search.late_interaction(first, several, v.select(F.col("vec_id").cast("string").alias("chunk_id"), "vec"))
+
+
 _MODEL = f"""{CUR}, texts as (select id chunk_id, coalesce(name, '') || ' ' || coalesce(docstring, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(code_snippet, '') "text" from cur),
 mt as materialized (select chunk_id, unnest(list_distinct(list_filter({tokens_sql('"text"')}, lambda t: length(t) >= 3))) term from texts),
 mn as (select count(*) n from texts), mdf as materialized (select term, df, n from (select term, count(*) df from mt group by all), mn where df >= 2 and df <= greatest(2, floor(n * 0.3))),
@@ -480,6 +544,21 @@ def ir_metrics(spark, d):
     return search.ranking_metrics(search.ranked(scores, 5), asked.join(v, "label").select("query_id", "chunk_id"))
 
 
+@query(f"""with {POSTINGS}, {_BM25}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) r from lex qualify r <= 8),
+c as (select r.*, file_path, ceil(length(coalesce(code_snippet, '')) / 4)::int tokens from r join cur on id = chunk_id), ft as (select file_path, sum(ceil(length(coalesce(code_snippet, '')) / 4)::int) tokens from cur group by all),
+g as (select query_id, sum(tokens) chunk_tokens from c group by all), f as (select query_id, sum(ft.tokens) f from (select distinct query_id, file_path from c) join ft using (file_path) group by all),
+f5 as (select query_id, sum(ft.tokens) f from (select distinct query_id, file_path from c where r <= 5) join ft using (file_path) group by all),
+a as (select query_id, count(*) * 20 + max(tokens) cards from c where r <= 5 group by all)
+select query_id, chunk_tokens, cards card_tokens, coalesce(f.f, 0) file_tokens, case when f.f > 0 then round(greatest(0, 100 * (1 - chunk_tokens / f.f)), 4) else 0 end gross_pct, case when f5.f > 0 then round(greatest(0, 100 * (1 - cards / f5.f)), 4) else 0 end amortised_pct
+from g left join f using (query_id) left join a using (query_id) left join f5 using (query_id)""".replace("{_BM25}", _BM25))
+def ir_token_savings(spark, d):
+    """Files are as long as their chunks together here."""
+    chunks = cut_lineage(current(spark, d))
+    found = search.lexical_search(titles(spark, d), cut_lineage(index.chunk_terms(chunks)), 8)
+    sized = chunks.select(F.col("id").alias("chunk_id"), "file_path", T.token_estimate(F.col("code_snippet")).alias("tokens"))
+    return search.token_savings(found.join(sized, "chunk_id"), sized.groupBy("file_path").agg(F.sum("tokens").alias("tokens")))
+
+
 # -- graph --------------------------------------------------------------------------------------------
 
 @query(f"with {CUR}, {EDGES}, {DEPS} select * from deps")
@@ -780,6 +859,27 @@ def upkeep_core_ranked(spark, d):
     return index.core_chunks(chunks, rank, None).select("id", "file_path", F.round("score", 6).alias("score"))
 
 
+@query(f"""with {POSTINGS}, gone as (select distinct file_path from chunks where removed_at is not null),
+left_over as (select p.* from p join cur on id = chunk_id where file_path not in (select file_path from gone)) select term, count(*) df from left_over group by all""")
+def upkeep_frequencies(spark, d):
+    """Document frequencies after the files of removed versions went, from those before and the postings of these files."""
+    chunks = cut_lineage(current(spark, d))
+    gone = table(spark, d, "chunks").where("removed_at is not null").select("file_path").distinct()
+    terms = cut_lineage(index.chunk_terms(chunks))
+    old = terms.join(chunks.join(gone, "file_path", "left_semi").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return index.update_frequencies(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), old, terms.limit(0))
+
+
+@query(f"""with {POSTINGS}, gone as (select distinct file_path from chunks where removed_at is not null),
+kept as (select doc_len from lengths join cur on id = chunk_id where file_path not in (select file_path from gone)) select count(*) n_docs, round(avg(doc_len), 6) avgdl from kept""")
+def upkeep_stats(spark, d):
+    chunks = cut_lineage(current(spark, d))
+    gone = table(spark, d, "chunks").where("removed_at is not null").select("file_path").distinct()
+    lengths = cut_lineage(index.document_lengths(index.chunk_terms(chunks)))
+    old = lengths.join(chunks.join(gone, "file_path", "left_semi").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return index.update_stats(index.corpus_stats(lengths), old, lengths.limit(0)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
 # -- streams, extraction -----------------------------------------------------------------------------------
 
 def _streamed(spark, d, make, mode):

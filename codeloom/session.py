@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,17 +38,42 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+#: Tables written within the scratch blocks that are open, the innermost last.
+_scratch: list[list[str]] = []
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that cut_lineage wrote within it, so that a driver that lives long doesn't fill the shared folder.
+
+    Results have to be written or collected within the block.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            fs, target = _hadoop(spark, path)
+            fs.delete(target, True)
+
+
 def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Later reads survive lost executors and get column pruning. The table is removed when the
-    driver's JVM ends.
+    Later reads survive lost executors and get column pruning. The table is removed at the end of the
+    innermost :func:`scratch` block, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/codeloom/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = _hadoop(spark, path)
+    fs.deleteOnExit(target)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -77,15 +77,32 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key string, vec array<float>")
 
 
+def vectors_by_key(vectors: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, vec of the vectors whose key is asked for (key), in one pass over them; the last of equal keys isn't told from the others."""
+    return vectors.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+#: Bytes after which a vector file is closed and another begun: a file is read as one row.
+FILE_BYTES = 256 << 20
+
+
 def write_vectors(vectors: DataFrame, folder: str) -> list[str]:
-    """Writes key, vec as one vector file per task into a folder that all executors share; an existing file is never touched."""
+    """Writes key, vec as vector files of about FILE_BYTES into a folder that all executors share; an existing file is never touched."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/part-{uuid.uuid4().hex}.bin"
-        with open(f"{name}.tmp", "wb") as f:
-            for batch in batches:
-                f.write(vector_bytes(zip(batch.column("key").to_pylist(), batch.column("vec").to_pylist())))
-        os.replace(f"{name}.tmp", name)
-        yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+        names: list[str] = []
+        f = None
+        for batch in batches:
+            if f is None or f.tell() > FILE_BYTES:
+                if f is not None:
+                    f.close()
+                names.append(f"{folder}/part-{uuid.uuid4().hex}.bin")
+                f = open(f"{names[-1]}.tmp", "wb")  # noqa: SIM115
+            f.write(vector_bytes(zip(batch.column("key").to_pylist(), batch.column("vec").to_pylist())))
+        if f is not None:
+            f.close()
+        for name in names:
+            os.replace(f"{name}.tmp", name)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
     os.makedirs(folder, exist_ok=True)
     return [r.file for r in vectors.select("key", "vec").mapInArrow(run, "file string").collect()]

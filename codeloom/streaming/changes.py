@@ -44,6 +44,11 @@ def maintain(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def catch_up(files: DataFrame, built_at: str | None) -> DataFrame:
+    """Files (file_path, modified_at, ...) that a first scan has to look at: those changed after the index was built; all if it never was."""
+    return files if built_at is None else files.where(F.col("modified_at").isNull() | (F.col("modified_at") > F.lit(built_at).cast("timestamp")))
+
+
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The table ``events`` of a folder as a stream with an event time."""
     static = spark.read.parquet(f"{folder}/events.parquet")

@@ -31,6 +31,13 @@ def test_search(spark, small):
         assert small.search_code(q, **options).orderBy("rank").first().chunk_id == "a"
 
 
+def test_topology_and_budget(spark, small):
+    q = spark.createDataFrame([(1, "load config")], "query_id int, text string")
+    r = small.search_code(q, topology=True).where("chunk_id = 'a'").first()
+    assert r.dependencies == [] and sorted(r.used_by) == ["src/server.ts", "tests/config.ts"]
+    assert small.search_code(q, budget=0).count() == 0
+
+
 def test_questions(spark, small):
     assert ids(small.get_chunk("a"), "id") == ["a"] and ids(small.resolve_symbol("LOADCONFIG")) == ["a"]
     assert ids(small.get_chunk_summary("b")) == ["a"] and ids(small.get_file_skeleton("src/config.ts"), "name") == ["loadConfig"]
