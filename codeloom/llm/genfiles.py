@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 TRAINING_FILES, BODY_FILES, TRAINING_ROWS, BODY_ROWS, TRAINING_HEADS, HEAD_CHARS = 16_000, 3000, 200, 20, 50, 2000
 #: Slots of the hashed features.
 GRAMS, PATHS, HEADS = 1 << 15, 1 << 15, 1 << 15
+#: N-grams that are added to the number of those of a file, so that a few of a short one don't decide.
+SMOOTHING = 200
 #: Penalties of the classifiers. They are small for head and path, whose labels miss about half of the
 #: files they should mark: many equal examples then outweigh a few labels.
-_C = {"head": 0.01, "path": 0.0004, "body": 0.3}
+_C = {"head": 0.003, "path": 0.0004, "body": 0.3}
 #: Penalties where a view has to learn from its own marks.
 _OWN_C = {"head": 1.0, "path": 1.0, "body": 0.3}
 #: F1 on held-out repositories below which a view learns from its own marks instead.
@@ -238,7 +240,7 @@ class Model:
         return float(self.weights["path"][path_slots(path)].sum() + self.bias["path"])
 
     def body_margin(self, gram_sum: float, gram_n: float) -> float:
-        return gram_sum / gram_n + self.bias["body"] if gram_n else NOTHING
+        return gram_sum / (gram_n + SMOOTHING) + self.bias["body"] if gram_n else NOTHING
 
     def verdict(self, path: str, head: float, gram_sum: float, gram_n: float) -> tuple[str, float]:
         """The view that says most against the file, and how far its margin is above the threshold."""
@@ -319,7 +321,7 @@ def train(chunks: DataFrame, max_files: int = TRAINING_FILES, body_files: int =
     views = {
         "head": (HEADS, np.ones(HEADS), [i for i, _ in heads], [v for _, v in heads], head, path | form),
         "path": (PATHS, path_scale, list(range(len(rows))), [(s, path_scale[s]) for s in slots], path, head | form),
-        "body": (GRAMS, gram_scale, coded, [(s, np.frombuffer(rows[i].counts, "<u2") / rows[i].gram_n * gram_scale[s]) for i, s in zip(coded, found)], form, form),
+        "body": (GRAMS, gram_scale, coded, [(s, np.frombuffer(rows[i].counts, "<u2") / (rows[i].gram_n + SMOOTHING) * gram_scale[s]) for i, s in zip(coded, found)], form, form),
     }
     model = Model({}, {}, {})
     for view, (size, scale, owner, vectors, own, other) in views.items():
