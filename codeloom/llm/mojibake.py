@@ -9,6 +9,7 @@ of a lattice that is searched with Viterbi.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import zlib
@@ -23,8 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import cut_lineage
+
 #: Entries of the hashed tables: words and pairs of characters. They don't grow with the corpus.
 WORDS, PAIRS = 1 << 20, 1 << 18
+#: Most frequent tokens that are decoded once for all tasks, how often one must occur for that, and distinct tokens a task
+#: counts before it hands them on.
+SHARED_TOKENS, SHARED_LEAST, COUNTED_TOKENS = 20_000, 2, 500_000
 #: Ways that the searches keep at a place: by last character over bytes, and over letters for a lost one.
 BYTE_BEAM, LETTER_BEAM = 24, 64
 
@@ -101,15 +107,16 @@ class Source:
     words: np.ndarray
     pairs: np.ndarray
     cache: dict = field(default_factory=dict)
+    shared: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self._words, self._pairs = array("f", self.words.tolist()), array("f", self.pairs.tolist())  # faster to read one by one
+        self._words, self._pairs = array("f", self.words.tobytes()), array("f", self.pairs.tobytes())  # faster to read one by one
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "pairs": self.pairs}
+        return {"words": self.words, "pairs": self.pairs, "shared": self.shared}
 
     def __setstate__(self, state: dict) -> None:
-        self.words, self.pairs, self.cache = state["words"], state["pairs"], {}
+        self.words, self.pairs, self.shared, self.cache = state["words"], state["pairs"], state["shared"], {}
         self.__post_init__()
 
     def word(self, token: str) -> float:
@@ -136,34 +143,69 @@ def _unquoted(text: str) -> str:
     return _QUOTED.sub(" ", text) if "`" in text else text
 
 
-def train(documents: DataFrame) -> Source:
-    """The source model over all texts; tasks send only the filled entries of tables of fixed size."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = np.zeros(WORDS, np.int64), np.zeros(PAIRS, np.int64)
-        for batch in batches:
-            seen: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                if text and not text.isascii():
-                    seen.update(_TOKEN.findall(_unquoted(text)))
-            for token, n in seen.items():
-                words[_word_slot(token)] += n
-                for a, b in zip(token, token[1:]):
-                    if a > "\x7f" or b > "\x7f":
-                        pairs[_pair_slot(a, b)] += n
-        for kind, table in ((0, words), (1, pairs)):
-            index = np.flatnonzero(table)
-            for at in range(0, len(index), 50_000):
-                i = index[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(table[i])], ["kind", "slot", "n"])
-
-    counts = documents.select("text").mapInArrow(run, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most WORDS + PAIRS rows
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the texts of one task with their number."""
+    seen: Counter[str] = Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        tokens = list(seen)
+        for at in range(0, len(tokens), 50_000):
+            part = tokens[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([t.encode("utf-8", "replace").decode() for t in part], pa.string()), pa.array([seen[t] for t in part], pa.int64())], ["token", "n"])
+        seen.clear()
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if text and not text.isascii():
+                seen.update(_TOKEN.findall(_unquoted(text)))
+        if len(seen) > COUNTED_TOKENS:
+            yield from rows()
+    yield from rows()
+
+
+def _fill_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filled entries of the tables of words and pairs over counted tokens."""
+    words, pairs = np.zeros(WORDS, np.int64), np.zeros(PAIRS, np.int64)
+    for batch in batches:
+        for token, n in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist()):
+            words[_word_slot(token)] += n
+            for a, b in zip(token, token[1:]):
+                if a > "\x7f" or b > "\x7f":
+                    pairs[_pair_slot(a, b)] += n
+    for kind, table in ((0, words), (1, pairs)):
+        index = np.flatnonzero(table)
+        for at in range(0, len(index), 50_000):
+            i = index[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)), pa.array(table[i])], ["kind", "slot", "n"])
+
+
+def train(documents: DataFrame, shared_tokens: int = SHARED_TOKENS) -> Source:
+    """The source model over all texts.
+
+    Tokens are counted once over the whole corpus; from the counts come the tables of words and pairs, of
+    which tasks send only the filled entries, and the ``shared_tokens`` most frequent tokens (of at least
+    SHARED_LEAST occurrences). Those are decoded once, over all tasks, and go with the model: they are nearly all tokens of a corpus, and would else be
+    decoded again by every worker. Any other token is decoded where it occurs.
+    """
+    tokens = cut_lineage(documents.select("text").mapInArrow(_count_tokens, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = tokens.mapInArrow(_fill_tables, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most WORDS + PAIRS rows
     tables = []
     for kind, size in ((0, WORDS), (1, PAIRS)):
         table = np.zeros(size)
         own = counts.filter(pa.compute.equal(counts.column("kind"), kind))
         table[own.column("slot").to_numpy()] = own.column("n").to_numpy()
         tables.append(np.log2(table * 1e6 / max(1.0, table.sum()) + 0.5).astype(np.float32))
-    return Source(*tables)
+    source = Source(*tables)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("token").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([pickle.dumps(_readings(source, t)) for t in found], pa.binary())], ["token", "readings"])
+
+    tasks = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100)
+    frequent = tokens.where(F.col("n") >= SHARED_LEAST).orderBy(F.desc("n"), "token").limit(shared_tokens).repartition(tasks)
+    decoded = frequent.select("token").mapInArrow(decode, "token string, readings binary").toArrow()  # at most shared_tokens rows
+    return Source(*tables, {}, {t: pickle.loads(r) for t, r in zip(decoded.column("token").to_pylist(), decoded.column("readings").to_pylist())})
 
 
 # -- channel --------------------------------------------------------------------------------------
@@ -307,7 +349,7 @@ Readings = tuple[dict[tuple[str, str], tuple[str, float]], float]
 
 def _readings(source: Source, token: str) -> Readings:
     """What each channel makes of a token. Wrong readings that give the same bytes are decoded once."""
-    if (held := source.cache.get(token)) is not None:
+    if (held := source.shared.get(token) or source.cache.get(token)) is not None:
         return held
     own, odd = source.score(token), _odd(token)
     scores: dict[str, float] = {}
