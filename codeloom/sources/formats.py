@@ -218,21 +218,43 @@ class Catalog:
     """Tables of an index as Parquet versions under a root, with a manifest that names the current ones.
 
     Readers resolve the manifest when they plan; a table that it doesn't name is absent, and what
-    depends on it is off. Replacing the manifest is atomic.
+    depends on it is off. Replacing the manifest is one rename, in any file system that Hadoop reaches.
     """
 
     #: Tables over the whole program, which any change of a file makes invalid.
     WHOLE_PROGRAM = ("edges", "centrality", "taint_flows", "scip_refs", "associations")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.removeprefix("file://")
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str):
+        """File system and path of a file under the root, whichever store it is in."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def manifest(self) -> dict:
-        try:
-            with open(f"{self.root}/manifest.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
+        fs, path = self._at("manifest.json")
+        if not fs.exists(path):
             return {"version": 0, "tables": {}, "meta": {}}
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _swap(self, manifest: dict) -> None:
+        """Replaces the manifest: the new one is written beside it and renamed over it."""
+        sc = self.spark.sparkContext
+        fs, path = self._at(f"manifest.{uuid.uuid4().hex}")
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        stream.close()
+        rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = sc._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(path), fs.makeQualified(self._at("manifest.json")[1]), options)
 
     def table(self, name: str) -> DataFrame | None:
         path = self.manifest()["tables"].get(name)
@@ -252,10 +274,7 @@ class Catalog:
         for name in drop:
             m["tables"].pop(name, None)
         m["meta"].update(meta or {})
-        os.makedirs(self.root, exist_ok=True)
-        with open(f"{self.root}/manifest.tmp", "w") as f:
-            json.dump(m, f, sort_keys=True)
-        os.replace(f"{self.root}/manifest.tmp", f"{self.root}/manifest.json")
+        self._swap(m)
         return m["version"]
 
     def replace_files(self, chunks: DataFrame, changed: DataFrame) -> int:

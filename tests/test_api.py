@@ -18,7 +18,7 @@ def small(spark):
     calls = spark.createDataFrame([("loadconfig", "b")], "callee string, chunk_id string")
     routes = spark.createDataFrame([(1, "GET", "/api/start", "startServer", "b", "src/server.ts", 3)], "route_ord bigint, method string, path string, handler_name string, handler_chunk_id string, file_path string, line int")
     commits = spark.createDataFrame([("1", 10, "src/config.ts"), ("1", 10, "src/server.ts")], "commit_id string, ts bigint, file string")
-    return Index(chunks, edges, calls, routes, commits, centrality=graph.symbol_centrality(edges))
+    return Index(chunks, edges, calls, routes, commits, centrality=graph.symbol_centrality(edges, 20))
 
 
 def ids(df, column="chunk_id"):

@@ -160,7 +160,7 @@ def test_core_chunks_of_all_files(spark):
 
 
 def test_page_ranks(spark, links):
-    score = {r.chunk_id: (r.score, r["rank"]) for r in graph.symbol_centrality(links).collect()}
+    score = {r.chunk_id: (r.score, r["rank"]) for r in graph.symbol_centrality(links, 60).collect()}
     assert math.isclose(sum(s for s, _ in score.values()), 1, abs_tol=1e-6) and sorted(r for _, r in score.values()) == [1, 2, 3, 4, 5]
     deps = spark.createDataFrame([("x", "y"), ("x", "gone")], "file string, dep string")
     files = {r.file_path: r.score for r in graph.file_page_rank(deps, spark.createDataFrame([("x",), ("y",)], "file_path string")).collect()}
