@@ -52,3 +52,7 @@ def test_scores_equal_those_from_postings(spark, chunks, queries, monkeypatch, b
 
 def test_token_savings_shuffle_no_postings(spark):
     assert "hashpartitioning(term" not in (p := plan(__spark_entry__.queries()["ir_token_savings"](spark, SMALL))) and ", term" not in p
+
+
+def test_lex_bm25_shuffles_nothing_once_chunks_are_vectors(spark):
+    assert "Exchange" not in plan(__spark_entry__.queries()["lex_bm25"](spark, SMALL))
