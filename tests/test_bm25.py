@@ -56,3 +56,8 @@ def test_token_savings_shuffle_no_postings(spark):
 
 def test_lex_bm25_shuffles_nothing_once_chunks_are_vectors(spark):
     assert "Exchange" not in plan(__spark_entry__.queries()["lex_bm25"](spark, SMALL))
+
+
+def test_lex_top10_shuffles_only_what_can_be_among_the_best(spark):
+    p = plan(__spark_entry__.queries()["lex_top10"](spark, SMALL))
+    assert "hashpartitioning(bag" in p and "term#" not in p
