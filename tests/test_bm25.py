@@ -61,3 +61,23 @@ def test_lex_bm25_shuffles_nothing_once_chunks_are_vectors(spark):
 def test_lex_top10_shuffles_only_what_can_be_among_the_best(spark):
     p = plan(__spark_entry__.queries()["lex_top10"](spark, SMALL))
     assert "hashpartitioning(bag" in p and "term#" not in p
+
+
+@pytest.mark.parametrize("name", ["search_lexical"])
+def test_fused_search_makes_no_postings(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("postings of all chunks are made")
+
+    monkeypatch.setattr(index, "chunk_terms", never)
+    monkeypatch.setattr(index, "stem_postings", never)
+    assert __spark_entry__.queries()[name](spark, SMALL).count()
+
+
+def test_fused_search_equals_fusion_over_postings(spark, chunks, queries):
+    current = index.current_chunks(chunks).where("id is not null")
+    terms = index.chunk_terms(current)
+    info = current.withColumn("node_type", F.lit("function"))
+    want = search.fuse(queries, {"lexical": search.lexical_search(queries, terms, stems=index.stem_postings(terms))}, info, terms, top=7)
+    kept = {"name": F.col("name"), "node_type": F.lit("function"), "file_path": F.col("file_path")}
+    found, _ = bm25.fused_search(queries, lambda t: bm25.vectors_of(current, t, **kept), 7)
+    assert sorted(found.collect()) == sorted(want.collect())
