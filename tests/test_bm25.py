@@ -63,7 +63,7 @@ def test_lex_top10_shuffles_only_what_can_be_among_the_best(spark):
     assert "hashpartitioning(bag" in p and "term#" not in p
 
 
-@pytest.mark.parametrize("name", ["search_lexical"])
+@pytest.mark.parametrize("name", ["search_lexical", "q_search_code"])
 def test_fused_search_makes_no_postings(spark, monkeypatch, name):
     def never(*_):
         raise AssertionError("postings of all chunks are made")
