@@ -81,3 +81,58 @@ def test_fused_search_equals_fusion_over_postings(spark, chunks, queries):
     kept = {"name": F.col("name"), "node_type": F.lit("function"), "file_path": F.col("file_path")}
     found, _ = bm25.fused_search(queries, lambda t: bm25.vectors_of(current, t, **kept), 7)
     assert sorted(found.collect()) == sorted(want.collect())
+
+
+def _hybrid_inputs(spark):
+    import codeloom.plans.reference_queries as r
+    from codeloom.operators import embed
+
+    d = "/root/testdata/sf0.001"
+    asked, all_chunks = r.questions(spark, d), r.table(spark, d, "chunks")
+    qvec = embed.embedded(asked.select("query_id", "text"), key="query_id").withColumnRenamed("vec", "qvec")
+    return r, d, asked, all_chunks, qvec
+
+
+def test_search_hybrid_makes_no_postings_and_keeps_few_vector_pairs(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("rows of all postings or pairs are made")
+
+    for module, name in ((index, "chunk_terms"), (index, "stem_postings"), (search, "association_model"), (search, "vector_scores"), (search, "bm25_scores")):
+        monkeypatch.setattr(module, name, never)
+    assert __spark_entry__.queries()["search_hybrid"](spark, SMALL).count()
+
+
+@pytest.mark.parametrize("first, head", [(32, 512), (5, 6)])
+def test_hybrid_search_equals_fusion_of_whole_channels(spark, monkeypatch, first, head):
+    from codeloom.operators import embed
+
+    r, d, asked, all_chunks, qvec = _hybrid_inputs(spark)
+    chunks = r.cut_lineage(r.current(spark, d))
+    terms = r.cut_lineage(index.chunk_terms(chunks))
+    vectors = embed.embedded(chunks.select(F.col("id").alias("chunk_id"), T.embedding_payload().alias("text"))).withColumn("vec_id", F.col("chunk_id"))
+    added = r.cut_lineage(search.expanded_query(asked, r._model(spark, d))).withColumnRenamed("weight", "n")
+    channels = {"lexical": search.lexical_search(asked, terms, stems=index.stem_postings(terms)), "vector": search.vector_search(qvec, vectors), "sparse": search.ranked(search.bm25_scores(added, terms), search.LEXICAL_CAP)}
+    want = search.fuse(asked, channels, chunks, terms)
+    monkeypatch.setattr(search, "FIRST", first)
+    monkeypatch.setattr(search, "HEAD", head)
+    assert sorted(__spark_entry__.queries()["search_hybrid"](spark, d).collect()) == sorted(want.collect())
+
+
+def test_associations_of_asked_terms_are_those_of_the_whole_model(spark, monkeypatch):
+    from codeloom.operators import associations
+
+    rng = np.random.default_rng(5)
+    texts = [(str(i), " ".join(f"word{w}" for w in rng.zipf(1.3, 30) if w < 400)) for i in range(150)] + [("e", ""), ("n", "word7 loadConfig loadConfig")]
+    chunks = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
+    whole = sorted(search.association_model(chunks).collect())
+    asked = spark.createDataFrame([(f"word{i}",) for i in range(1, 60, 2)] + [("nowhere",)], "term string")
+    monkeypatch.setattr(associations, "HELD_PAIRS", 5_000)
+    want = [row for row in whole if row.term.removeprefix("word").isdigit() and int(row.term[4:]) in range(1, 60, 2)]
+    assert want and sorted(associations.asked_associations(chunks, asked).collect()) == want
+    monkeypatch.setattr(associations, "VOCABULARY", 3)
+    assert sorted(associations.asked_associations(chunks, asked).collect()) == want
+
+
+def test_current_rows_are_the_current_chunks(spark, chunks):
+    assert sorted(bm25.current_rows(chunks).collect(), key=str) == sorted(index.current_chunks(chunks).collect(), key=str)
+    assert bm25.current_rows(chunks).count() == 202
