@@ -22,7 +22,7 @@ from codeloom.operators.skew import _partitions
 from codeloom.session import cut_lineage
 
 #: Terms that are sent to the tasks, terms and pairs that a task holds before it hands them on, chunks paired at once, pairs of a block of the reduction.
-VOCABULARY, HELD_TERMS, HELD_PAIRS, PAIRED, BLOCK_PAIRS = 1_000_000, 500_000, 12_000_000, 1024, 4_000_000
+VOCABULARY, HELD_TERMS, HELD_PAIRS, PAIRED, BLOCK_PAIRS = 1_000_000, 500_000, 4_000_000, 1024, 4_000_000
 
 
 def _distinct_tokens(text: str | None, seen: dict) -> set[str]:
